@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .mixing import op2_mixing
+from .ogg import op1_ogg
+from .packing import op3_packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ogg": op1_ogg,
         "op2_mixing": op2_mixing,
+        "op3_packing": op3_packing,
     }
 
 
