@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import StorageLevel  # noqa: F401  (re-exported for callers that persist)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +57,14 @@ def chunks(batches, column: str, limit: int = CHUNK_BYTES):
             start = stop
 
 
+def per_process(key, make):
+    """What ``make`` returns, made once in a Python worker and kept for its later tasks."""
+    kept = sys.__dict__.setdefault("_per_process", {})
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 class WordHashes(dict):
     """64-bit hashes of byte strings; forgets all when it holds ``limit`` entries."""
 
