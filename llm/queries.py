@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .langid import op9_language
 from .mixing import op2_mixing
 from .ogg import op1_ogg
 from .packing import op3_packing
+from .toxicity import op4_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +18,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_ogg": op1_ogg,
         "op2_mixing": op2_mixing,
         "op3_packing": op3_packing,
+        "op4_toxicity": op4_toxicity,
+        "op9_language": op9_language,
     }
 
 
