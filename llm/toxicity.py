@@ -98,6 +98,14 @@ def logits(model: dict, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.concatenate(pooled, 1) @ model["out"] + model["bias"]
 
 
+def without_rare(codes: np.ndarray, counts: np.ndarray, least: int = 3) -> np.ndarray:
+    """Codes with those of words in fewer than ``least`` texts replaced by the empty word's: what they teach doesn't carry over."""
+    names, number = np.unique(codes, return_inverse=True)
+    owner = np.repeat(np.arange(len(counts)), counts)
+    texts = np.bincount(np.unique(owner * len(names) + number) % len(names), minlength=len(names))
+    return np.where(texts[number] < least, WordCodes()[b""], codes)
+
+
 def new_model(codes: np.ndarray, counts: np.ndarray, y: np.ndarray, draw) -> dict:
     """Random weights, but for one direction of the embeddings: shrunken log-odds of each row among toxic texts."""
     model = {
@@ -199,6 +207,8 @@ def fit(texts: list[str], y: np.ndarray, seed: int = 1) -> dict:
         return {"constant": float(y.mean()) if len(y) else 0.0}
     codes, counts = codes_of([t.encode() for t in texts], WordCodes())
     starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
+    lang = languages_of(codes, starts)
+    codes = without_rare(codes, counts)
     fold = np.random.default_rng(seed).permutation(len(y)) % 5 == 0
     if y[fold].sum() < 5:
         fold[:] = False
@@ -207,7 +217,7 @@ def fit(texts: list[str], y: np.ndarray, seed: int = 1) -> dict:
     model = fit_network(codes[spread], counts[train], y[train], seed)
     rows = fold if fold.any() else train
     own = np.repeat(rows, counts)
-    model["calibration"] = calibrate(logits(model, codes[own], counts[rows]), y[rows], languages_of(codes, starts)[rows])
+    model["calibration"] = calibrate(logits(model, codes[own], counts[rows]), y[rows], lang[rows])
     return model
 
 
