@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .embeddings import op10_embeddings
 from .langid import op9_language
 from .mixing import op2_mixing
 from .ogg import op1_ogg
 from .packing import op3_packing
+from .quality import op8_quality
 from .toxicity import op4_toxicity
 
 
@@ -19,7 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_mixing": op2_mixing,
         "op3_packing": op3_packing,
         "op4_toxicity": op4_toxicity,
+        "op8_quality": op8_quality,
         "op9_language": op9_language,
+        "op10_embeddings": op10_embeddings,
     }
 
 
