@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .embeddings import op10_embeddings
 from .langid import op9_language
 from .mixing import op2_mixing
+from .nearset import op5_nearset
 from .ogg import op1_ogg
 from .packing import op3_packing
 from .quality import op8_quality
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_mixing": op2_mixing,
         "op3_packing": op3_packing,
         "op4_toxicity": op4_toxicity,
+        "op5_nearset": op5_nearset,
         "op8_quality": op8_quality,
         "op9_language": op9_language,
         "op10_embeddings": op10_embeddings,
