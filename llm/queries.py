@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .embeddings import op10_embeddings
+from .html_text import op6_html
 from .langid import op9_language
 from .mixing import op2_mixing
 from .nearset import op5_nearset
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_packing": op3_packing,
         "op4_toxicity": op4_toxicity,
         "op5_nearset": op5_nearset,
+        "op6_html": op6_html,
         "op8_quality": op8_quality,
         "op9_language": op9_language,
         "op10_embeddings": op10_embeddings,
