@@ -15,6 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import chunks, split_of, table, text_bytes
 from .training import labelled, sample
@@ -121,24 +122,26 @@ def train(docs: DataFrame, labels: DataFrame, condition, label: str = "quality",
     return fit(rows["text"].tolist(), good, {1: ones / max(1, ones + rest), 0: rest / max(1, ones + rest)})
 
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """(doc_id, score) of every whole text; null texts are scored as empty ones, equal texts get equal scores.
+def with_score(docs: DataFrame, model: dict, name: str = "score") -> DataFrame:
+    """``docs``, all columns, with a score of every whole text; null texts are scored as empty ones, equal texts get equal scores.
 
     Without labelled rows of both classes the score is the share of label 1 (1 without any).
+    Only ``text`` is read; a column that is called ``name`` already is replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.drop(name)
 
     def run(batches):
         known = WordCodes()
         for batch in chunks(batches, "text", 1 << 20):
             found = probabilities(shared.value, text_bytes(batch.column("text")), known)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, name])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = split_of("doc_id", 4) == 2
     model = train(docs, table(spark, sf_dir, "labels"), ~held)
-    return score(docs, model).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return with_score(docs.select("doc_id", "text"), model).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

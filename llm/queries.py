@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import backoff, embeddings, nearset
+from .backoff import op7_backoff
 from .embeddings import op10_embeddings
 from .html_text import op6_html
 from .langid import op9_language
@@ -25,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_toxicity": op4_toxicity,
         "op5_nearset": op5_nearset,
         "op6_html": op6_html,
+        "op7_backoff": op7_backoff,
         "op8_quality": op8_quality,
         "op9_language": op9_language,
         "op10_embeddings": op10_embeddings,
@@ -32,4 +35,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_nearset": nearset.SQL, "op7_backoff": backoff.SQL, "op10_embeddings": embeddings.SQL}
