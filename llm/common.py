@@ -102,30 +102,47 @@ def hashed_words(texts: list[bytes | None], hashes: dict, lower: bool = True) ->
     return np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)), counts
 
 
+def salted_join(rows: DataFrame, lookup: DataFrame, key: str, lookup_key: str, salts: int = 16) -> DataFrame:
+    """Inner join of ``rows`` to a lookup with one row per key; a key that most rows share is spread over ``salts`` tasks."""
+    left = rows.withColumn("salt_", (F.rand(1) * salts).cast("int"))
+    right = lookup.withColumn("other_salt_", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, (F.col(key) == F.col(lookup_key)) & (F.col("salt_") == F.col("other_salt_"))).drop("salt_", "other_salt_")
+
+
+def with_least(edges: DataFrame, n_edges: int) -> DataFrame:
+    """(u, v, m): every edge with the least neighbour of u.
+
+    Nodes with more than a thousandth of all edges, which are a thousand at most, are looked up by broadcast,
+    so that no task gathers the edges of a hub; all others are joined.
+    """
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
+    limit = max(1000, n_edges // 1000)
+    hubs = least.where(F.col("degree") > limit).select(F.col("u").alias("hub"), F.col("m").alias("hub_m"))
+    marked = edges.join(F.broadcast(hubs), F.col("u") == F.col("hub"), "left")
+    rest = marked.where("hub IS NULL").select("u", "v").join(least.where(F.col("degree") <= limit).select("u", "m"), "u")
+    return marked.where("hub IS NOT NULL").select("u", "v", F.col("hub_m").alias("m")).unionByName(rest)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (a, b long) as (node, root), root being the least id.
 
     Alternating large-star and small-star steps.  Minima are aggregated per node before the shuffle and
-    joined back, so a hub's edges are never gathered in one task; AQE splits the join on a hub.  Lineage is
-    cut with a checkpoint after each round; only counts reach the driver.
+    joined back; hubs' minima are broadcast (see ``with_least``).  Lineage is cut with a checkpoint after
+    each step; only counts and one checksum reach the driver.
     """
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
+    n, before = edges.count(), None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        edges = cut(
-            small.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-            .select("e.u", "e.v").where("u <> v").distinct()
-        )
-        now = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
+        large = cut(with_least(both, 2 * n).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
+        small = with_least(large, n)
+        pairs = F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        edges = cut(small.select(F.explode(pairs).alias("e")).select("e.u", "e.v").where("u <> v").distinct())
+        now = tuple(edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first())
         if now == before:
             break
-        before = now
+        n, before = now[0], now
     else:
         raise RuntimeError("components did not settle")
-    roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+    # Every node but a root now points at its root.
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import salted_join
+
 
 def tile_pairs(members: DataFrame, group: str, key: str, rows: int, weight: str | None = None, heavy: int = 0) -> DataFrame:
     """``members`` with (tile, other, first, second): one row for each pair of tiles that the row takes part in.
@@ -18,7 +20,7 @@ def tile_pairs(members: DataFrame, group: str, key: str, rows: int, weight: str
     if weight:
         size = F.greatest(size, F.ceil(F.sum(weight) / F.lit(heavy)))
     tiles = members.groupBy(group).agg(F.greatest(F.lit(1), size).cast("int").alias("tiles")).withColumnRenamed(group, "g_")
-    dealt = members.join(tiles, F.col(group) == F.col("g_")).drop("g_").withColumn("tile", F.pmod(F.xxhash64(F.lit(7), key), F.col("tiles")).cast("int"))
+    dealt = salted_join(members, tiles, group, "g_").drop("g_").withColumn("tile", F.pmod(F.xxhash64(F.lit(7), key), F.col("tiles")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     return dealt.withColumn("first", F.least("tile", "other")).withColumn("second", F.greatest("tile", "other")).drop("tiles", "other")
 
