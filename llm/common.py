@@ -15,10 +15,20 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 2 << 20
 
 
+#: Bytes of a record batch between Spark and its Python workers: a few texts at a time, however long they are.
+BATCH = "4m"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(rows: DataFrame) -> DataFrame:
+    """``rows``, with the session told to hand Python small record batches; without it a task holds 64 MB or more at once."""
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+    return rows
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder that the cluster names."""
     spark = df.sparkSession
@@ -58,9 +68,10 @@ def chunks(batches, column: str, limit: int = CHUNK_BYTES):
 
 
 def per_process(key, make):
-    """What ``make`` returns, made once in a Python worker and kept for its later tasks."""
+    """What ``make`` returns, made once in a Python worker and kept for its later tasks, until another is asked for."""
     kept = sys.__dict__.setdefault("_per_process", {})
     if key not in kept:
+        kept.clear()
         kept[key] = make()
     return kept[key]
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, split_of, table
+from .common import chunks, small_batches, split_of, table
 from .training import sample
 
 #: Families by language code; a code of no family here is a family of its own.
@@ -185,8 +185,7 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
 
     Only doc_id and text are read, so further columns may have any name; repeated rows get equal results.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    shared = small_batches(docs).sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         words = WordMargins(shared.value)

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import chunks, table, text_bytes
+from .common import chunks, small_batches, table, text_bytes
 
 CONTINUED, FIRST, LAST = 1, 2, 4
 HEADER = "<4sBBqIIIB"
@@ -213,7 +213,7 @@ def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary())], names=["id", "n_bytes", "media"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(run, f"id {kind}, n_bytes long, media binary")
+    return small_batches(df).select(id_col, text_col).mapInArrow(run, f"id {kind}, n_bytes long, media binary")
 
 
 def decode_media(df: DataFrame) -> DataFrame:
@@ -235,7 +235,7 @@ def decode_media(df: DataFrame) -> DataFrame:
                 )
 
     kind = df.schema["id"].dataType.simpleString()
-    return df.mapInArrow(run, f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return small_batches(df).mapInArrow(run, f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def read_packets(df: DataFrame, id_col: str = "id", media_col: str = "media") -> DataFrame:

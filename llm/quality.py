@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, split_of, table, text_bytes
+from .common import chunks, small_batches, split_of, table, text_bytes
 from .training import labelled, sample
 
 THRESHOLD = 0.7
@@ -128,7 +128,7 @@ def with_score(docs: DataFrame, model: dict, name: str = "score") -> DataFrame:
     Without labelled rows of both classes the score is the share of label 1 (1 without any).
     Only ``text`` is read; a column that is called ``name`` already is replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = small_batches(docs).sparkSession.sparkContext.broadcast(model)
     docs = docs.drop(name)
 
     def run(batches):

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, split_of, table, text_bytes
+from .common import chunks, small_batches, split_of, table, text_bytes
 from .training import labelled, sample
 
 BITS, WIDTH, DIM, FILTERS, SIZES = 18, 1 << 18, 8, 12, (1, 2, 3)
@@ -206,7 +206,9 @@ def fit(texts: list[str], y: np.ndarray, seed: int = 1) -> dict:
     y = np.asarray(y, np.int64)
     if len(set(y.tolist())) < 2:
         return {"constant": float(y.mean()) if len(y) else 0.0}
-    codes, counts = codes_of([t.encode() for t in texts], WordCodes())
+    known = WordCodes()
+    coded = [codes_of([t.encode() for t in texts[i : i + 200]], known) for i in range(0, len(texts), 200)]
+    codes, counts = (np.concatenate(x) for x in zip(*coded, strict=True))
     starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
     lang = languages_of(codes, starts)
     codes = without_rare(codes, counts)
@@ -243,7 +245,7 @@ def with_score(docs: DataFrame, model: dict, name: str = "score") -> DataFrame:
     Without labelled rows of both classes the score is the share of label 1 (0 without any).
     Only ``text`` is read; a column that is called ``name`` already is replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = small_batches(docs).sparkSession.sparkContext.broadcast(model)
     docs = docs.drop(name)
 
     def run(batches):
