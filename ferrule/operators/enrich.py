@@ -93,7 +93,7 @@ def cross_package_anomaly(packages: DataFrame, group: str) -> DataFrame:
     scores = []
     for m, (none, cap) in ANOMALY_MEASURES.items():
         mean = (F.col(f"s_{m}") - F.col(m)) / others
-        variance = F.greatest(F.lit(0.0), F.round((F.col(f"q_{m}") - F.col(m).cast("double") * F.col(m)) / others - mean * mean, 9))
+        variance = F.greatest(F.lit(0.0), (F.col(f"q_{m}") - F.col(m).cast("double") * F.col(m)) / others - mean * mean)
         z = F.abs(F.col(m) - mean) / F.when(variance > 0, F.sqrt(variance)).otherwise(none)
         scores.append(F.least(F.lit(cap), z) if cap else z)
     total = reduce(lambda a, b: a + b, scores)

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import any_match, contains_any
 
-# ---- Fixed values: path patterns. ----
-TRAVERSAL = [r"\.\./", r"\.\.\\", r"%2e%2e%2f", r"%2e%2e/", r"\.\.%2f"]
-INJECTION = [r"[;&|`$(){}\[\]<>]", r"\$\(", r"`"]
-BLOCKED = ["/etc/", "/proc/", "/sys/", "/dev/", "/root/", "C:\\Windows\\"]
+# ---- Fixed values: path patterns; those of traversal ignore case. ----
+TRAVERSAL = [r"\.\./", r"\.\.\\", r"\.\.%2f", r"\.\.%5c", r"\.\.%252f", r"\.\.%255c"]
+INJECTION = [r"[;&|`$(){}\[\]]", r"\$\(", r"`[^`]*`", r"\$\{[^}]*\}"]
+BLOCKED = ["/etc/passwd", "/etc/shadow", "/proc/", "/sys/", "C:\\Windows\\System32", "C:\\Windows\\SysWOW64"]
 MAX_PATH = 4096
 
 
