@@ -134,14 +134,37 @@ def with_least(edges: DataFrame, n_edges: int) -> DataFrame:
     return marked.where("hub IS NOT NULL").select("u", "v", F.col("hub_m").alias("m")).unionByName(rest)
 
 
+def least_labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of some edges, and for each the least node that these edges connect it with."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    left, right = at[: len(a)], at[len(a) :]
+    labels = np.arange(len(nodes))
+    while True:
+        before = labels.copy()
+        low = np.minimum(labels[left], labels[right])
+        np.minimum.at(labels, left, low)
+        np.minimum.at(labels, right, low)
+        labels = labels[labels]
+        if (labels == before).all():
+            return nodes, nodes[labels]
+
+
+def contracted(batches):
+    """Each record batch of edges (a, b) as edges (u, v) from its nodes to the least node they are connected with in it."""
+    for batch in batches:
+        nodes, least = least_labels(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+        moved = nodes != least
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(least[moved])], names=["u", "v"])
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (a, b long) as (node, root), root being the least id.
 
-    Alternating large-star and small-star steps.  Minima are aggregated per node before the shuffle and
+    Record batches of edges are contracted where they lie; then alternating large-star and small-star steps.  Minima are aggregated per node before the shuffle and
     joined back; hubs' minima are broadcast (see ``with_least``).  Lineage is cut with a checkpoint after
     each step; only counts and one checksum reach the driver.
     """
-    edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    edges = cut(edges.where("a <> b").select("a", "b").mapInArrow(contracted, "u long, v long").distinct())
     n, before = edges.count(), None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
