@@ -150,32 +150,46 @@ def least_labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def contracted(batches):
-    """Each record batch of edges (a, b) as edges (u, v) from its nodes to the least node they are connected with in it."""
-    for batch in batches:
-        nodes, least = least_labels(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+    """A partition of edges (a, b) as edges (u, v) from its nodes to the least node they are connected with in it."""
+    pairs = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if pairs:
+        nodes, least = least_labels(*(np.concatenate(x) for x in zip(*pairs, strict=True)))
         moved = nodes != least
         yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(least[moved])], names=["u", "v"])
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+#: Edges that one task contracts at a time.
+EDGES = 200_000
+
+
+def components(edges: DataFrame, task_edges: int = EDGES, rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (a, b long) as (node, root), root being the least id.
 
-    Record batches of edges are contracted where they lie; then alternating large-star and small-star steps.  Minima are aggregated per node before the shuffle and
-    joined back; hubs' minima are broadcast (see ``with_least``).  Lineage is cut with a checkpoint after
-    each step; only counts and one checksum reach the driver.
+    Edges are gathered into partitions of about ``task_edges``, and each is contracted: its nodes then point
+    at the least node they are connected with there.  A graph that fits one such partition is done.  A larger
+    one goes through alternating large-star and small-star steps in between, until nothing changes: minima
+    are aggregated per node before the shuffle and joined back, those of hubs by broadcast (see
+    ``with_least``).  Lineage is cut with a checkpoint after each step; only counts and one checksum reach
+    the driver.
     """
-    edges = cut(edges.where("a <> b").select("a", "b").mapInArrow(contracted, "u long, v long").distinct())
-    n, before = edges.count(), None
+    edges = cut(edges.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
+    before = None
     for _ in range(rounds):
+        n = edges.count()
+        parts = max(1, -(-n // task_edges))
+        small = edges.coalesce(parts).mapInArrow(contracted, "u long, v long")
+        if parts == 1:
+            edges = cut(small)
+            break
+        edges = cut(small)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = cut(with_least(both, 2 * n).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
-        small = with_least(large, n)
         pairs = F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
-        edges = cut(small.select(F.explode(pairs).alias("e")).select("e.u", "e.v").where("u <> v").distinct())
+        edges = cut(with_least(large, n).select(F.explode(pairs).alias("e")).select("e.u", "e.v").where("u <> v").distinct())
         now = tuple(edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first())
         if now == before:
             break
-        n, before = now[0], now
+        before = now
     else:
         raise RuntimeError("components did not settle")
     # Every node but a root now points at its root.
