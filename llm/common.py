@@ -79,7 +79,7 @@ def per_process(key, make):
 class WordHashes(dict):
     """64-bit hashes of byte strings; forgets all when it holds ``limit`` entries."""
 
-    def __init__(self, seed: int = 0, limit: int = 300_000):
+    def __init__(self, seed: int = 0, limit: int = 150_000):
         super().__init__()
         self.seed, self.limit = seed, limit
 
