@@ -1 +1,63 @@
-"""Queries."""
+"""Queries that run as streams over the event table, and their batch equivalents."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..registry import query, table
+from ..streaming import state
+
+
+def stream_of(spark, d, *columns):
+    """The event table as a stream of files."""
+    schema = table(spark, d, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).select(*columns)
+
+
+def folder(spark) -> str:
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='stream')}/stream-{uuid.uuid4().hex}"
+
+
+def written(spark, stream, mode: str):
+    """What the stream has written when all is read, from a folder that the cluster shares."""
+    out = folder(spark)
+    if mode == "append":
+        q = stream.writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/check").outputMode(mode).trigger(availableNow=True).start()
+    else:
+        q = stream.writeStream.foreachBatch(lambda rows, n: rows.write.mode("overwrite").parquet(f"{out}/data")).option("checkpointLocation", f"{out}/check").outputMode(mode).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{out}/data")
+
+
+@query("daily_trend", "SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*)::BIGINT AS n FROM events GROUP BY ALL")
+def daily_trend(spark, d):
+    """The plan of the stream, on the table."""
+    return state.daily_counts(table(spark, d, "events").select("ts", "event_type"), "ts", "event_type")
+
+
+@query("stream_daily_trend", "SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*)::BIGINT AS n FROM events GROUP BY ALL")
+def stream_daily_trend(spark, d):
+    """The same counts from a stream with a watermark."""
+    return written(spark, state.daily_counts(stream_of(spark, d, "ts", "event_type"), "ts", "event_type"), "complete")
+
+
+@query("stream_rate_limit")
+def stream_rate_limit(spark, d):
+    """Each event let through or refused by the limiter."""
+    return written(spark, state.rate_limit(stream_of(spark, d, "user_id", "ts", "event_id"), "user_id", "ts", "event_id", 86_400.0, 3), "append")
+
+
+TRUST = "CASE WHEN event_type = 'purchase' THEN 'verify' WHEN event_type = 'error' OR value > 80 THEN 'fail' ELSE 'ok' END"
+
+
+@query("stream_trust", f"""
+WITH e AS (SELECT user_id, {TRUST} AS kind, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+l AS (SELECT user_id, max(CASE WHEN kind <> 'ok' THEN n END) AS last_set, count(*) AS c FROM e GROUP BY user_id)
+SELECT l.user_id, round(least(1.0, CASE WHEN last_set IS NULL THEN 0.8 WHEN e.kind = 'verify' THEN 1.0 ELSE 0.3 END + 0.1 * (c - coalesce(last_set, 1)))::DOUBLE, 6) AS trust FROM l LEFT JOIN e ON e.user_id = l.user_id AND e.n = l.last_set""")
+def stream_trust(spark, d):
+    """Trust folded over the stream."""
+    rows = stream_of(spark, d, "user_id", "event_type", "value", "event_id").select("user_id", F.expr(TRUST).alias("kind"), "event_id")
+    return written(spark, state.trust_updates(rows, "user_id", "kind", "event_id"), "update")
