@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import tempfile
 
@@ -16,7 +17,7 @@ CHUNK_BYTES = 2 << 20
 
 
 #: Bytes of a record batch between Spark and its Python workers: a few texts at a time, however long they are.
-BATCH = "4m"
+BATCH = "2m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +68,13 @@ def chunks(batches, column: str, limit: int = CHUNK_BYTES):
             start = stop
 
 
+def trim() -> None:
+    """Gives freed memory back to the system, where the C library can; Python workers live on after their tasks."""
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def per_process(key, make):
     """What ``make`` returns, made once in a Python worker and kept for its later tasks, until another is asked for."""
     kept = sys.__dict__.setdefault("_per_process", {})
