@@ -93,3 +93,16 @@ def code_types(spark, d):
 def content_ids(spark, d):
     """Content identifiers in base 32."""
     return table(spark, d, "documents").select("doc_id", report.content_id(F.coalesce("text", F.lit(""))).alias("cid"))
+
+
+def insult_plugin(content: str, file_id: int) -> list[dict]:
+    return [{"type": "PLUGIN_INSULT", "severity": "LOW", "confidence": 0.4}] if "idiot" in content else []
+
+
+@query("plugin_udtf", "SELECT doc_id AS file_id, 'PLUGIN_INSULT' AS type, 'LOW' AS severity, 0.4::DOUBLE AS confidence FROM documents WHERE contains(text, 'idiot')")
+def plugin_udtf(spark, d):
+    """A plugin's threats."""
+    from ..operators.plugins import run_plugin
+    from .standins import document_files
+
+    return run_plugin(document_files(spark, d), insult_plugin)
