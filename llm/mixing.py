@@ -135,15 +135,16 @@ def mix_sources(docs: DataFrame, weights=(1.0, 2.0, 3.0), max_repeats: int = 3,
 def apply_mix(docs: DataFrame, weights=(1.0, 2.0, 3.0), max_repeats: int = 3, seed: int = 17) -> DataFrame:
     """``docs``, all columns, with every row as often as the mix takes it; rows without words are not taken."""
     mix = mix_sources(docs, weights, max_repeats, seed).where("taken > 0")
-    plan = mix.groupBy(F.col("doc_id").alias("id_"), F.col("size").alias("size_")).agg(F.sum((F.col("taken") / F.col("size")).cast("long")).alias("all_"), F.count("*").alias("rows_"))
+    plan = mix.groupBy(F.col("doc_id").alias("id"), F.col("size").alias("words")).agg(F.sum((F.col("taken") / F.col("size")).cast("long")).alias("times"), F.count("*").alias("rows"))
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
-    sized = docs.withColumn("own_size_", size)
-    joined = sized.join(plan, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("own_size_") == F.col("size_")))
+    # Rows travel as one struct, so that no column of theirs can clash with those made here.
+    sized = docs.select(F.col("doc_id").alias("own_id"), size.alias("own_words"), F.struct("*").alias("row"))
+    joined = sized.join(plan, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_words") == F.col("words")))
     # Rows that repeat an id share out what the mix takes of them; a single row takes it all.
-    turn = F.row_number().over(W.partitionBy("doc_id", "own_size_").orderBy("doc_id"))
-    times = F.floor(F.col("all_") / F.col("rows_")) + (F.col("turn_") <= F.col("all_") % F.col("rows_")).cast("long")
-    taken = joined.withColumn("turn_", turn).withColumn("times_", times.cast("int")).where("times_ > 0")
-    return taken.withColumn("copy_", F.explode(F.sequence(F.lit(1), "times_"))).select(*docs.columns)
+    turn = F.row_number().over(W.partitionBy("own_id", "own_words").orderBy("own_id"))
+    copies = F.floor(F.col("times") / F.col("rows")) + (F.col("turn") <= F.col("times") % F.col("rows")).cast("long")
+    taken = joined.withColumn("turn", turn).withColumn("copies", copies.cast("int")).where("copies > 0")
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,339 @@
+"""The training-data operators: contracts, odd inputs, brute force and round trips on small fixtures."""
+
+import struct
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from llm import backoff, embeddings, html_text, langid, mixing, nearset, ogg, packing, quality, toxicity
+from llm.common import components
+
+TOKENIZER = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+KIND = "doc_id long, text string, lang string, source string, n_chars long, media string, score double, kept_id_ long"
+
+
+def documents(spark, rows):
+    """Documents with columns whose names clash with those that the operators make."""
+    return spark.createDataFrame([(i, t, "en", s, len(t or ""), "m", 9.0, 7) for i, t, s in rows], KIND)
+
+
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
+LONG = " ".join(f"w{i}" for i in range(30000))
+ODD = [(1, None, None), (2, "", "a"), (3, "  \n ", "a"), (4, "one two", "b"), (5, "one two", "b"), (5, "one two", "b"), (None, "three four five six seven", None), (6, LONG, "b"), (7, LONG + " end", "c")]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return documents(spark, ODD)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], KIND)
+
+
+# ---- Ogg ----
+
+def test_checksum_is_oggs():
+    def slow(data):
+        crc = 0
+        for byte in data:
+            crc ^= byte << 24
+            for _ in range(8):
+                crc = (crc << 1 ^ 0x04C11DB7 if crc & 0x80000000 else crc << 1) & 0xFFFFFFFF
+        return crc
+
+    for data in (b"", b"OggS", bytes(range(256)) * 3):
+        assert ogg.page_checksum(data) == slow(data)
+
+
+@pytest.mark.parametrize("size", [1, 254, 255, 256, 65025, 65026, 200_000])
+def test_round_trip(size):
+    payload = np.random.default_rng(size).integers(0, 256, size, dtype=np.uint8).tobytes()
+    back, found = ogg.ogg_to_samples(ogg.samples_to_ogg(payload))
+    assert back == payload and found["bad_pages"] == found["mismatches"] == 0
+    assert found["streams"][1]["packets"][-1][2] == pytest.approx(size / ogg.RATE)
+
+
+def test_damage_is_found_and_left_out():
+    media = bytearray(ogg.write_ogg([(1, [(b"head", 0), (b"a" * 100_000, 10), (b"b" * 10, 20)]), (2, [(b"other", 0), (b"c", 5)])]))
+    media[300] ^= 1
+    found = ogg.read_ogg(b"junk" + bytes(media) + b"OggS")
+    assert found["bad_pages"] == 2
+    assert [p[0] for p in found["streams"][2]["packets"]] == [b"other", b"c"]
+    assert b"a" * 100_000 not in [p[0] for p in found["streams"][1]["packets"]]
+
+
+def test_known_codecs():
+    assert ogg.granule_rate(b"OpusHead\x01\x02" + struct.pack("<H", 312)) == ("opus", 48000, 312)
+    assert ogg.granule_rate(b"\x01vorbis" + struct.pack("<IBI", 0, 2, 44100) + bytes(8))[:2] == ("vorbis", 44100)
+
+
+def test_media_of_odd_rows(odd, empty):
+    rows = ogg.decode_media(ogg.encode_texts(odd)).collect()
+    assert len(rows) == len(ODD) and all(r["payload_bytes"] % 64 == 0 and r["payload_bytes"] > 0 for r in rows)
+    assert {r["payload_bytes"] for r in rows if r["n_bytes"] == 0} == {64}
+    assert ogg.decode_media(ogg.encode_texts(empty)).count() == 0
+    assert ogg.read_packets(ogg.encode_texts(odd)).where("serial = 1 AND packet = 0").count() == len(ODD)
+
+
+# ---- Mixing ----
+
+@pytest.mark.parametrize("seed", range(5))
+def test_budget_is_met(seed):
+    draw = np.random.default_rng(seed)
+    lengths = np.unique(draw.integers(1, 3000, 60))
+    counts = draw.integers(1, 40, len(lengths))
+    budget = int((lengths * counts).sum() * draw.random())
+    taken = mixing.fit_budget(lengths, counts, budget)
+    assert (taken >= 0).all() and (taken <= counts).all()
+    assert budget - int((taken * lengths).sum()) in (0, 1, 2, 3)
+
+
+def test_small_budget_is_exact():
+    lengths, counts = np.array([3, 5, 9]), np.array([2, 1, 1])
+    sums = {3 * a + 5 * b + 9 * c for a in range(3) for b in range(2) for c in range(2)}
+    for budget in range(0, 22):
+        taken = mixing.fit_budget(lengths, counts, budget)
+        assert int((taken * lengths).sum()) == max(s for s in sums if s <= budget)
+
+
+def test_targets_stop_at_three_times_the_size(spark):
+    sizes = spark.createDataFrame([("a", 10), ("b", 1000), (None, 0), ("c", 100)], "source string, source_size long")
+    found = {r["source"]: r["target"] for r in mixing.source_targets(sizes).collect()}
+    caps, weights = {"a": 30.0, "b": 3000.0, "c": 300.0, None: 0.0}, {"a": 1, "b": 2, "c": 3, None: 1}
+    free, total = set(caps), 1110.0
+    wanted = {}
+    while True:
+        share = {k: total * weights[k] / sum(weights[x] for x in free) for k in free}
+        over = {k for k in free if share[k] > caps[k]}
+        if not over:
+            wanted.update(share)
+            break
+        wanted.update({k: caps[k] for k in over})
+        total -= sum(caps[k] for k in over)
+        free -= over
+    assert found == pytest.approx(wanted)
+
+
+def test_mix_of_odd_rows(odd, empty):
+    rows = mixing.mix_sources(odd).collect()
+    assert len(rows) == len(ODD) and all(r["taken"] <= 3 * r["size"] for r in rows)
+    assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, mixing.mix_sources(odd).collect()), key=str)
+    assert mixing.mix_sources(empty).count() == 0
+    assert mixing.apply_mix(odd).columns == odd.columns
+
+
+# ---- Packing ----
+
+def test_first_fit_decreasing_matches_plain():
+    draw = np.random.default_rng(3)
+    sizes = np.sort(draw.integers(1, 4096, 500))[::-1]
+    room, plain = [], []
+    for s in sizes:
+        at = next((i for i, r in enumerate(room) if r >= s), len(room))
+        if at == len(room):
+            room.append(4096)
+        room[at] -= s
+        plain.append(at)
+    assert packing.first_fit_decreasing(sizes, 4096).tolist() == plain
+
+
+@pytest.mark.parametrize("tokens", [[1], [4096], [4097, 1], [3000] * 40, [700] * 9 + [5], list(range(1, 400))])
+def test_pieces_cover_and_fit(tokens):
+    pieces = packing.pack_group(np.array(tokens))
+    for row, n in enumerate(tokens):
+        at = 0
+        for _, start, size, _, _ in sorted(p for p in pieces if p[0] == row):
+            assert start == at and size > 0
+            at += size
+        assert at == n
+    for sequence in {p[3] for p in pieces}:
+        at = 0
+        for _, _, size, _, offset in sorted((p for p in pieces if p[3] == sequence), key=lambda p: p[4]):
+            assert offset == at
+            at += size
+        assert at <= 4096
+
+
+def test_checksums_of_pieces(odd, empty):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    texts = {i: t for i, t, _ in ODD}
+    for r in packing.pack(odd, TOKENIZER).collect():
+        ids = np.array([*tokenizer.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids, 2], "<u4")
+        assert len(ids) == r["doc_tokens"]
+        assert zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) == r["ids_crc32"]
+    assert packing.pack(empty, TOKENIZER).count() == 0
+
+
+def test_chunks_encode_like_whole_texts():
+    from tokenizers import Tokenizer
+
+    tokenizer, encoder = Tokenizer.from_file(TOKENIZER), packing.Encoder(TOKENIZER, limit=20)
+    for text in ["The CAT'S hat, 12a!! <|endoftext|>. <|ENDOFTEXT|>", "é café, naïve x y İI", "don't...stop a.b c., 你好，", *WORDS, ""] * 2:
+        assert encoder.encode([text.encode()])[0] == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+# ---- Near sets ----
+
+def brute_components(texts, words=5):
+    sets, reps = {}, {}
+    for i, t in texts:
+        w = [x for x in (t or "").translate({c: c + 32 for c in range(65, 91)}).replace("\x0b", " ").split()]
+        sets.setdefault(i, {tuple(w[k : k + words]) for k in range(len(w) - words + 1)} if len(w) >= words else {tuple(w)} if w else set())
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), find(i)) for i in ids} | reps
+
+
+def variants(seed, families=25):
+    draw = np.random.default_rng(seed)
+    rows, common = [], " ".join(draw.choice(WORDS, 30))
+    for _ in range(families):
+        base = draw.choice([f"{w}{k}" for w in WORDS for k in range(8)], draw.integers(1, 160)).tolist()
+        for _ in range(draw.integers(1, 9)):
+            own = [w if draw.random() > draw.choice([0, 0.005, 0.02, 0.04]) else "edit" + str(draw.integers(1000)) for w in base]
+            rows.append((len(rows), " ".join(own) + (" " + common if draw.random() < 0.2 else "")))
+    return rows
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_near_sets_match_brute_force(spark, seed):
+    rows = variants(seed)
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in nearset.near_sets(documents(spark, [(i, t, "s") for i, t in rows])).collect()}
+    assert found == brute_components(rows)
+
+
+def test_large_groups_are_tiled(spark, monkeypatch):
+    monkeypatch.setattr(nearset, "TILE", 3)
+    rows = variants(9, 8)
+    found = {r["doc_id"]: r["component_id"] for r in nearset.near_sets(documents(spark, [(i, t, "s") for i, t in rows])).collect()}
+    assert found == {k: v[1] for k, v in brute_components(rows).items()}
+
+
+def test_near_sets_of_odd_rows(odd, empty):
+    rows = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in nearset.near_sets(odd).collect()]
+    assert sorted(rows, key=str) == sorted([(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (5, 1, 4), (5, 1, 4), (None, 1, None), (6, 29996, 6), (7, 29997, 6)], key=str)
+    assert nearset.near_sets(empty).count() == 0
+    kept = nearset.keep_one(odd)
+    assert kept.columns[:5] == odd.columns[:5] and sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "3", "4", "6", "None"]
+
+
+@pytest.mark.parametrize("task_edges", [3, 1000])
+def test_components(spark, task_edges):
+    edges = [(i, i + 1) for i in range(20)] + [(30, k) for k in range(31, 45)] + [(50, 50)]
+    found = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long"), task_edges).collect()}
+    assert found == {**{i: 0 for i in range(21)}, **{i: 30 for i in range(30, 45)}}
+
+
+# ---- Embeddings ----
+
+def test_near_vectors(spark):
+    draw = np.random.default_rng(0)
+    base = draw.normal(size=(40, 16))
+    x = [(base[k % 40] + draw.normal(size=16) * 0.1).tolist() for k in range(150)]
+    rows = [(i, v) for i, v in enumerate(x)] + [(200, None), (201, [0.0] * 16), (202, [float("nan")] * 16), (203, [1.0, None]), (204, []), (None, x[0]), (3, x[3]), (205, [1e300] * 16), (206, [2e300] * 16)]
+    frame = spark.createDataFrame([(i, v, 1, "clash") for i, v in rows], "vec_id long, embedding array<double>, label int, id string")
+    found = {r["vec_id"]: r for r in embeddings.near_vectors(frame).collect() if r["vec_id"] is not None}
+    u = np.array(x) / np.linalg.norm(x, axis=1, keepdims=True)
+    links = u @ u.T >= 0.9
+    np.fill_diagonal(links, False)
+    assert [found[i]["n_links"] for i in range(150)] == links.sum(1).tolist()
+    assert all(found[i]["kept"] and found[i]["n_links"] == 0 for i in range(200, 205))
+    assert found[206]["component_id"] == 205
+    assert embeddings.near_vectors(frame.where("vec_id < 0")).count() == 0
+
+
+# ---- Pages ----
+
+PAGE = "<html><head><title>x</title></head><body>{nav}<div id='main-content'><p>Welcome to our site</p><h1>{t}</h1><p>{t} body &amp; more<br>next</p></div><aside>side</aside><footer>foot</footer></body></html>"
+
+
+def test_shared_lines_go(spark):
+    nav = "<nav><ul><li>Home<li>About</ul></nav>"
+    rows = [(i, f"http://h/{i}", PAGE.format(nav=nav, t=f"Story {i} of many words in a row")) for i in range(5)]
+    rows += [(9, None, None), (10, "http://[bad", "<p>a<p>b"), (11, "http://h/9", "<article>Kept<div class='comments'>no</div><form>no</form></article>")]
+    found = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, text int")).collect()}
+    assert found[2] == "Story 2 of many words in a row\nStory 2 of many words in a row body & more next"
+    assert (found[9], found[10], found[11]) == ("", "a\nb", "Kept")
+    assert html_text.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_common_lines_are_longest():
+    draw = np.random.default_rng(1)
+    for _ in range(100):
+        a, b = (draw.integers(0, 4, draw.integers(0, 9)).tolist() for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        assert html_text.common_lines(a, b).sum() == best[-1][-1]
+
+
+# ---- Stupid backoff ----
+
+def test_backoff_of_odd_rows(odd, empty):
+    rows = backoff.score_documents(odd).collect()
+    assert len(rows) == len(ODD) and all(r["log_score"] <= 0 for r in rows)
+    assert {r["log_score"] for r in rows if r["n_words"] == 0} == {0.0}
+    assert backoff.score_documents(empty).count() == 0
+
+
+# ---- Classifiers ----
+
+def corpus(n=240):
+    draw = np.random.default_rng(5)
+    rows, marks = [], []
+    for i in range(n):
+        words = draw.choice(["the", "of", "and", "house", "river", "walks", "over", "green", "hill", "by"], draw.integers(8, 60)).tolist()
+        toxic, bad = i % 4 == 0, i % 5 == 0
+        if toxic:
+            words[draw.integers(len(words))] = draw.choice(["idiot", "moron"])
+        if bad:
+            words = [w.upper() + "!!" for w in words]
+        rows.append((i, " ".join(words), f"s{i % 3}"))
+        marks.append((i, int(not bad), int(toxic)))
+    return rows, marks
+
+
+@pytest.mark.parametrize("module, label", [(toxicity, "toxic"), (quality, "quality")])
+def test_classifiers_learn(spark, odd, empty, module, label):
+    rows, marks = corpus()
+    docs, labels = documents(spark, rows), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    model = module.train(docs, labels, F.col("doc_id") % 4 != 3 if label == "quality" else F.col("doc_id") % 3 != 1, label)
+    truth = {i: q if label == "quality" else t for i, q, t in marks}
+    scored = module.with_score(docs, model).collect()
+    good = sum((r["score"] >= module.THRESHOLD) == bool(truth[r["doc_id"]]) for r in scored)
+    assert good >= 0.95 * len(rows)
+    found = module.with_score(odd, model).collect()
+    assert len(found) == len(ODD) and all(0 <= r["score"] <= 1 for r in found)
+    assert module.with_score(empty, model).count() == 0
+    assert 0 <= module.train(docs, labels.where("doc_id < 0"), F.lit(True), label)["constant"] <= 1
+
+
+def test_languages(spark, odd, empty):
+    texts = {"en": "the quick brown fox jumps over this lazy dog with which they were thinking", "de": "der schnelle braune fuchs springt über den faulen hund und nicht ich", "fr": "le rapide renard brun saute par dessus le chien paresseux et les autres", "es": "el rápido zorro marrón salta sobre el perro perezoso y los otros"}
+    draw = np.random.default_rng(2)
+    rows = [(k, " ".join(draw.choice(t.split(), 12)), lang) for lang, t in texts.items() for k in range(40)]
+    docs = spark.createDataFrame([(i, t, lang) for i, (_, t, lang) in enumerate(rows)], "doc_id long, text string, lang string")
+    model = langid.train(docs, F.col("doc_id") % 2 == 0)
+    found = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, model).collect()}
+    assert sum(found[i] == lang for i, (_, _, lang) in enumerate(rows)) >= 0.95 * len(rows)
+    assert {r["lang_pred"] for r in langid.identify(odd, model).where("doc_id IN (1, 2, 3)").collect()} == {"und"}
+    assert langid.identify(empty, model).count() == 0
+    assert {r["lang_pred"] for r in langid.identify(odd, langid.train(docs.where("doc_id < 0"), F.lit(True))).collect()} == {"und"}
