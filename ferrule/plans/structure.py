@@ -46,8 +46,8 @@ def impacted_nodes(spark, d):
 
 @query("transitive_trust", f"""
 WITH s AS (SELECT 's' || s_suppkey AS node, 'n' || s_nationkey AS parent, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE (s_suppkey % 8) / 8.0::DOUBLE END AS t FROM supplier),
-n AS (SELECT 'n' || n_nationkey AS node, 'r' || n_regionkey AS parent, coalesce(CASE WHEN n_nationkey % 6 = 0 THEN 0.5 END, least(1.0, 0.3 * (SELECT avg(t) FROM s WHERE s.parent = 'n' || n_nationkey)), 0.0)::DOUBLE AS t, n_nationkey % 6 = 0 AS direct FROM nation),
-r AS (SELECT 'r' || r_regionkey AS node, coalesce(least(1.0, 0.3 * (SELECT avg(t) FROM n WHERE n.parent = 'r' || r_regionkey AND (direct OR t > 0))), 0.0)::DOUBLE AS t FROM region)
+n AS (SELECT 'n' || n_nationkey AS node, 'r' || n_regionkey AS parent, coalesce(CASE WHEN n_nationkey % 6 = 0 THEN 0.5 END, least(1.0, coalesce(0.3 * (SELECT avg(t) FROM s WHERE s.parent = 'n' || n_nationkey), 0.0)), 0.0)::DOUBLE AS t, n_nationkey % 6 = 0 AS direct FROM nation),
+r AS (SELECT 'r' || r_regionkey AS node, least(1.0, coalesce(0.3 * (SELECT avg(t) FROM n WHERE n.parent = 'r' || r_regionkey AND (direct OR t > 0)), 0.0))::DOUBLE AS t FROM region)
 SELECT node, round(coalesce(t, 0.0), 6)::DOUBLE AS trust FROM (SELECT node, t FROM s UNION ALL SELECT node, t FROM n UNION ALL SELECT node, t FROM r)""")
 def transitive_trust(spark, d):
     nodes, edges = tree(spark, d)
