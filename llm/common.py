@@ -8,6 +8,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,7 +59,7 @@ def text_bytes(column: pa.Array) -> list[bytes | None]:
 def chunks(batches, column: str, limit: int = CHUNK_BYTES):
     """Slices of record batches, each with about ``limit`` bytes of text or one row."""
     for batch in batches:
-        sizes = batch.column(column).cast(pa.string()).to_pandas().str.len().fillna(0).to_numpy() + 64
+        sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) + 64
         ends = np.cumsum(sizes)
         start = 0
         while start < batch.num_rows:
