@@ -29,7 +29,7 @@ def test_stages_keep_what_they_should(spark, tmp_path):
         scores = {r["doc_id"]: r["score"] for r in module.with_score(kept[k], model).collect()}
         assert set(ids[k + 1]) == {i for i, s in scores.items() if good(s)}
     # One document of each group, against brute-force groups.
-    from test_operators import brute_components
+    from test_training_operators import brute_components
 
     groups = brute_components([(r["doc_id"], r["text"]) for r in kept[2].collect()])
     assert set(ids[3]) == {g for _, g in groups.values()} and max(ids[3].values()) == 1
