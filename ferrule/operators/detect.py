@@ -74,8 +74,11 @@ def classify(files: DataFrame, content: str = "content") -> DataFrame:
 
 
 def is_test_file(path: Column) -> Column:
-    low = F.lower(path)
-    return F.coalesce(~low.contains("fixtures/") & low.rlike(r"(^|/)(tests?|__tests__|spec)/|[._-](test|spec)\.[a-z]+$"), F.lit(False))
+    """Test files by their path (P3); none below a fixtures folder, so that fixtures are scanned."""
+    marked = contains_any(path, fixed.TEST_MARKS)
+    for prefix in fixed.TEST_PREFIXES:
+        marked = marked | path.startswith(prefix)
+    return F.coalesce(~path.contains("fixtures/") & marked, F.lit(False))
 
 
 def is_config_file(path: Column) -> Column:

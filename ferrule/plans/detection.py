@@ -87,7 +87,7 @@ def code_files(spark, d):
 
 
 @query("suspicious_tokens", f"""
-SELECT file_path, module, CASE WHEN regexp_matches(lower(file_path), '(^|/)(tests?|__tests__|spec)/|[._-](test|spec)\\.[a-z]+$') AND NOT contains(lower(file_path), 'fixtures/')
+SELECT file_path, module, CASE WHEN {S.is_test_file('file_path')}
   OR list_contains([{', '.join(S.quoted(x) for x in fixed.CONFIG_FILES + fixed.DOT_FILES)}], string_split(file_path, '/')[-1])
   OR {' OR '.join(f"ends_with(file_path, '{x}')" for x in fixed.CONFIG_EXTENSIONS)}
   OR {' OR '.join(f"contains(file_path, '{x}')" for x in fixed.EXCLUDED_DIRECTORIES)} OR {' OR '.join(f"contains(lower(file_path), '{x}')" for x in fixed.GRAPHICS_FILES)}

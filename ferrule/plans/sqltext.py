@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .. import fixed
+
 
 def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
@@ -41,3 +43,8 @@ THREAT_TYPE = (
     "CASE l_linenumber WHEN 1 THEN 'DATA_EXFILTRATION' WHEN 2 THEN 'CRYPTO_MINING' WHEN 3 THEN 'MALICIOUS_CODE' WHEN 4 THEN 'PATH_TRAVERSAL' "
     "WHEN 5 THEN 'SUPPLY_CHAIN_ATTACK' WHEN 6 THEN 'SANDBOX_TIMEOUT' ELSE 'SUSPICIOUS_DEPENDENCY' END"
 )
+
+
+def is_test_file(path: str) -> str:
+    marks = [f"contains({path}, {quoted(m)})" for m in fixed.TEST_MARKS] + [f"starts_with({path}, {quoted(m)})" for m in fixed.TEST_PREFIXES]
+    return f"(NOT contains({path}, 'fixtures/') AND ({' OR '.join(marks)}))"

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph, report
 from ..registry import query, table
+from . import sqltext as S
 from .standins import THREATS_SQL, threats
 
 TREE_NODES = "(SELECT 'r' || r_regionkey AS node, (r_regionkey % 5) / 8.0::DOUBLE AS base FROM region UNION ALL SELECT 'n' || n_nationkey, (n_nationkey % 4) / 16.0::DOUBLE FROM nation UNION ALL SELECT 's' || s_suppkey, (s_suppkey % 32) / 32.0::DOUBLE FROM supplier)"
@@ -79,10 +80,9 @@ def diagnostics(spark, d):
     return report.diagnostics(threats(spark, d).withColumn("text", text), "package", "text").withColumnRenamed("package", "file_path")
 
 
-@query("code_types", """
-SELECT file_path, CASE WHEN test THEN 'test' WHEN config THEN 'config' WHEN regexp_matches(file_path, '\\.(js|ts|jsx|tsx)$') THEN 'source' ELSE 'other' END AS code_type FROM (
-  SELECT file_path, NOT contains(low, 'fixtures/') AND regexp_matches(low, '(^|/)(tests?|__tests__|spec)/|[._-](test|spec)\\.[a-z]+$') AS test, ends_with(file_path, '.config.js') AS config FROM (
-    SELECT file_path, lower(file_path) AS low FROM (SELECT p_name || '/' || p_brand || CASE WHEN p_size % 3 = 0 THEN '.test.js' WHEN p_size % 5 = 0 THEN '.config.js' WHEN p_size % 7 = 0 THEN '.md' ELSE '.js' END AS file_path FROM part)))""")
+@query("code_types", f"""
+SELECT file_path, CASE WHEN {S.is_test_file('file_path')} THEN 'test' WHEN ends_with(file_path, '.config.js') THEN 'config' WHEN regexp_matches(file_path, '\\.(js|ts|jsx|tsx)$') THEN 'source' ELSE 'other' END AS code_type
+FROM (SELECT p_name || '/' || p_brand || CASE WHEN p_size % 3 = 0 THEN '.test.js' WHEN p_size % 5 = 0 THEN '.config.js' WHEN p_size % 7 = 0 THEN '.md' ELSE '.js' END AS file_path FROM part)""")
 def code_types(spark, d):
     """Paths classified by name."""
     path = F.expr("p_name || '/' || p_brand || CASE WHEN p_size % 3 = 0 THEN '.test.js' WHEN p_size % 5 = 0 THEN '.config.js' WHEN p_size % 7 = 0 THEN '.md' ELSE '.js' END")
