@@ -110,16 +110,29 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Words looked up at a time: few enough to stay in the processor's cache.
+CACHED_WORDS = 40_000
+
+
 def hashed_words(texts: list[bytes | None], hashes: dict, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the texts, one after the other, and the number of words of each text."""
     words: list[bytes] = []
+    found: list[np.ndarray] = []
     counts = np.zeros(len(texts), np.int64)
+
+    def flush() -> None:
+        found.append(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)))
+        words.clear()
+
     for i, text in enumerate(texts):
         if text:
             own = (text.lower() if lower else text).split()
             counts[i] = len(own)
             words += own
-    return np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)), counts
+            if len(words) > CACHED_WORDS:
+                flush()
+    flush()
+    return np.concatenate(found), counts
 
 
 def salted_join(rows: DataFrame, lookup: DataFrame, key: str, lookup_key: str, salts: int = 16) -> DataFrame:
