@@ -1,9 +1,11 @@
-"""Text expressions: pattern counts, entropy, lines, escaping.  All are built-in functions, so they stay in code generation."""
+"""Text expressions: pattern counts, entropy, lines, escaping.  All but entropy are built-in functions."""
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,13 +43,43 @@ def imports_any(text: str | Column, libraries: list[str]) -> Column:
     return contains_any(text, [form.format(lib) for lib in libraries for form in forms])
 
 
+def bits_per_sign(text: str | None) -> float:
+    """Shannon entropy of a string's code points, in bits; 0 for an empty one."""
+    if not text:
+        return 0.0
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    counts = np.bincount(codes) if codes.max() < 1 << 16 else np.unique(codes, return_counts=True)[1]
+    share = counts[counts > 0] / len(codes)
+    return float(-(share * np.log2(share)).sum()) + 0.0
+
+
 def entropy(text: str | Column) -> Column:
-    """Shannon entropy in bits of the characters (A7): per distinct character one pass over the string, without a shuffle."""
-    t = col(text)
-    size = F.length(t)
-    share = lambda c: (size - F.length(F.replace(t, c, F.lit("")))) / size
-    found = F.filter(F.array_distinct(F.split(t, "")), lambda c: c != "")
-    return F.when(size > 0, F.aggregate(found, F.lit(0.0), lambda acc, c: acc - share(c) * F.log2(share(c)))).otherwise(F.lit(0.0))
+    """Shannon entropy in bits of the characters.
+
+    Counting characters with built-in functions takes a pass over the text for each distinct one, or a shuffle;
+    a vectorised function counts them in one, an order of magnitude faster.
+    """
+
+    @F.pandas_udf("double")
+    def measure(texts: pd.Series) -> pd.Series:
+        return texts.map(bits_per_sign, na_action=None).astype(float)
+
+    return measure(col(text))
+
+
+def highest_entropy_line(text: str | Column, least: float) -> Column:
+    """(line_number, line_entropy) of the line with most entropy above ``least``, the first on ties; null if there is none."""
+
+    @F.pandas_udf("line_number long, line_entropy double")
+    def measure(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text in texts:
+            found = [(round(bits_per_sign(line), 9), -i) for i, line in enumerate((text or "").split("\n"), 1)]
+            top = max((x for x in found if x[0] > least), default=None)
+            rows.append((-top[1], top[0]) if top else (None, None))
+        return pd.DataFrame(rows, columns=["line_number", "line_entropy"]).astype({"line_number": "Int64", "line_entropy": "float64"})
+
+    return measure(col(text))
 
 
 def lines(text: str | Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
-from ..functions.text import any_match, basename, contains_any, entropy, first_line, imports_any, lines, matches, total_matches
+from ..functions.text import any_match, basename, contains_any, entropy, first_line, highest_entropy_line, imports_any, lines, matches, total_matches
 
 Rules = dict[str, tuple[str, str, float, list[str]]]
 
@@ -145,13 +145,6 @@ def longest_line(content: str = "content") -> Column:
     return F.struct((1 - top["minus"]).alias("line_number"), top["size"].alias("line_length"))
 
 
-def highest_entropy_line(content: str = "content", least: float = 4.0) -> Column:
-    """(line_number, line_entropy) of the line with most entropy above ``least``, the first on ties."""
-    own = F.transform(lines(content), lambda x, i: F.struct(F.round(entropy(x), 9).alias("e"), (-i).cast("long").alias("minus")))
-    top = F.array_max(F.filter(own, lambda s: s["e"] > least))
-    return F.when(top.isNotNull(), F.struct((1 - top["minus"]).alias("line_number"), top["e"].alias("line_entropy")))
-
-
 __all__ = [
     "classify", "first_line", "has_high_entropy", "has_wallet_keywords", "highest_entropy_line", "is_config_file", "is_react", "is_test_file",
     "longest_line", "rule_groups", "rule_hits", "structure_score", "suspicious_modules", "wallet_threats", "whitelist_flags",

@@ -109,7 +109,7 @@ SELECT file_id, line_number, round(e, 6) AS line_entropy FROM (
     FROM (SELECT file_id, generate_subscripts(string_split(content, chr(10)), 1) AS line_number, unnest(string_split(content, chr(10))) AS line FROM {DOCS}))
   WHERE e > 4.0) WHERE rn = 1""")
 def line_max_entropy(spark, d):
-    found = document_files(spark, d).select("file_id", detect.highest_entropy_line().alias("t")).where("t IS NOT NULL")
+    found = document_files(spark, d).select("file_id", detect.highest_entropy_line("content", 4.0).alias("t")).where("t.line_number IS NOT NULL")
     return found.select("file_id", "t.line_number", F.round("t.line_entropy", 6).alias("line_entropy"))
 
 
