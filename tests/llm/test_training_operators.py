@@ -259,6 +259,30 @@ def test_near_vectors(spark):
     assert embeddings.near_vectors(frame.where("vec_id < 0")).count() == 0
 
 
+def linked_counts(spark, x):
+    frame = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    return {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_vectors(frame).collect()}
+
+
+def planted(pairs, others, dim=64, cosine=0.905, seed=3):
+    """Random vectors, the first of them in pairs (2k, 2k + 1) of one cosine."""
+    draw = np.random.default_rng(seed)
+    x = draw.normal(size=(2 * pairs + others, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    a, b = x[0 : 2 * pairs : 2], x[1 : 2 * pairs : 2]
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    x[1 : 2 * pairs : 2] = cosine * a + np.sqrt(1 - cosine**2) * b
+    return x
+
+
+def test_no_pair_just_above_the_threshold_is_lost(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "BLOCK_BYTES", 3 << 20, raising=False)
+    found = linked_counts(spark, planted(400, 20_000))
+    assert sum(found[2 * k] == found[2 * k + 1] == (1, 2 * k) for k in range(400)) == 400
+    assert sum(n for n, _ in found.values()) == 800
+
+
 # ---- Pages ----
 
 PAGE = "<html><head><title>x</title></head><body>{nav}<div id='main-content'><p>Welcome to our site</p><h1>{t}</h1><p>{t} body &amp; more<br>next</p></div><aside>side</aside><footer>foot</footer></body></html>"
