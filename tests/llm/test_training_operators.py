@@ -283,6 +283,21 @@ def test_no_pair_just_above_the_threshold_is_lost(spark, monkeypatch):
     assert sum(n for n, _ in found.values()) == 800
 
 
+def test_copies_between_near_vectors(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "BLOCK_BYTES", 50_000, raising=False)
+    few = planted(250, 0, dim=32)
+    found = linked_counts(spark, np.repeat(few, 130, axis=0))
+    assert all(found[130 * v + c] == (259, 260 * (v // 2)) for v in range(500) for c in range(130))
+
+
+def test_copies_are_compared_once(spark, monkeypatch):
+    seen = []
+    whole = embeddings.all_links
+    monkeypatch.setattr(embeddings, "all_links", lambda vectors, *a: seen.append(vectors.count()) or whole(vectors, *a))
+    assert linked_counts(spark, np.repeat(np.eye(3), 50, axis=0)) == {i: (49, i // 50 * 50) for i in range(150)}
+    assert seen == [3]
+
+
 # ---- Pages ----
 
 PAGE = "<html><head><title>x</title></head><body>{nav}<div id='main-content'><p>Welcome to our site</p><h1>{t}</h1><p>{t} body &amp; more<br>next</p></div><aside>side</aside><footer>foot</footer></body></html>"
