@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -71,14 +73,15 @@ def nearest_ancestor(paths: DataFrame, manifests: DataFrame, path: str, director
 def mentions(rows: DataFrame, text: Column, names: DataFrame, name: str, limit: int = 10_000) -> DataFrame:
     """Rows joined to every name that their lower-cased text contains.
 
-    Up to ``limit`` names, which is checked, are broadcast; more are looked up by the words of the text, so
-    names of one word still match as whole words without a product of the two sides.
+    Names are broadcast in blocks of about ``limit``, so that any number of them is matched as substrings
+    within bounded memory.
     """
     few = names.select(name).distinct()
-    if few.limit(limit + 1).count() <= limit:
-        return rows.withColumn("hay_", F.lower(text)).join(F.broadcast(few), F.expr(f"contains(hay_, lower({name}))")).drop("hay_")
-    words = rows.withColumn("word_", F.explode(F.array_distinct(F.split(F.lower(text), r"[^a-z0-9@/._-]+"))))
-    return words.join(few, F.col("word_") == F.lower(F.col(name))).drop("word_")
+    blocks = max(1, -(-few.count() // limit))
+    block = F.pmod(F.xxhash64(name), F.lit(blocks))
+    hay = rows.withColumn("hay_", F.lower(text))
+    found = [hay.join(F.broadcast(few.where(block == k)), F.expr(f"contains(hay_, lower({name}))")) for k in range(blocks)]
+    return reduce(DataFrame.unionByName, found).drop("hay_")
 
 
 def compare_sets(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:

@@ -87,6 +87,15 @@ def test_similarity_and_names(spark):
     assert [(r["risk_level"], r["scope_type"]) for r in frame.collect()] == [("MEDIUM", "PUBLIC"), ("LOW", "PRIVATE"), ("HIGH", "PUBLIC")]
 
 
+def test_many_names_are_substrings_too(spark):
+    texts = spark.createDataFrame([(1, "Eurasia and New Zealand"), (2, "caf\u00e9 au lait"), (3, None), (4, "asia, asia")], "id int, text string")
+    names = spark.createDataFrame([("ASIA",), ("new zealand",), ("\u00c9 au",), ("asia",), (None,), ("eu",), ("absent",)], "name string")
+    few = rows(relate.mentions(texts, F.col("text"), names, "name").select("id", "name"))
+    assert few == [(1, "ASIA"), (1, "asia"), (1, "eu"), (1, "new zealand"), (2, "\u00c9 au"), (4, "ASIA"), (4, "asia")]
+    for limit in (1, 2, 3):
+        assert rows(relate.mentions(texts, F.col("text"), names, "name", limit).select("id", "name")) == few
+
+
 def test_content_id(spark):
     # The identifier of the raw bytes "hello", a public example.
     assert spark.range(1).select(report.content_id(F.lit("hello"))).first()[0] == "bafkreibm6jg3ux5qumhcn2b3flc3tyu6dmlb4xa7u5bf44yegnrjhc4yeq"
