@@ -313,6 +313,32 @@ def test_shared_lines_go(spark):
     assert html_text.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def divs(lines):
+    return "<html><body>" + "".join(f"<div>{x}</div>" for x in lines) + "</body></html>"
+
+
+def main_texts(spark, rows):
+    return {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_short_articles_under_long_menus(spark):
+    menu = [f"Menu entry {k} of this site" for k in range(20)]
+    pages = [(i, f"http://h/{i}", divs([*menu, f"Short text {i}", "Contact and terms"])) for i in range(5)]
+    assert main_texts(spark, pages) == {i: f"Short text {i}" for i in range(5)}
+
+
+def test_copies_are_no_evidence(spark):
+    menu = [f"Menu entry {k} of this site" for k in range(20)]
+    story = [f"A long story in sentence number {k} of many" for k in range(10)]
+    pages = [(i, f"http://h/a?session={i}", divs([*menu, *story])) for i in range(3)]  # exact copies
+    pages += [(i, f"http://h/a{i}", divs([*menu, *story, f"Read {i} times"])) for i in range(10, 15)]  # near copies
+    pages += [(i, f"http://h/z/{i}", divs([*menu, f"Other text {i}"])) for i in range(20, 23)]
+    found = main_texts(spark, pages)
+    assert {found[i] for i in range(3)} == {"\n".join(story)}
+    assert all(found[i] == "\n".join([*story, f"Read {i} times"]) for i in range(10, 15))
+    assert all(found[i] == f"Other text {i}" for i in range(20, 23))
+
+
 def test_common_lines_are_longest():
     draw = np.random.default_rng(1)
     for _ in range(100):
