@@ -339,6 +339,17 @@ def test_copies_are_no_evidence(spark):
     assert all(found[i] == f"Other text {i}" for i in range(20, 23))
 
 
+def test_notices_inside_articles_go(spark):
+    article = "<html><body><article><div>Support this site today</div><p>{}</p></article></body></html>"
+    pages = [(i, f"http://h/{i}", article.format(f"Story {i}")) for i in range(6)]
+    pages += [(10 + i, f"http://two/{i}", article.format(f"Tale {i}")) for i in range(2)]  # too few to tell
+    pages += [(20 + i, f"http://h2/{i}", article.format("One story") if i < 4 else f"<article>Piece {i}</article>") for i in range(12)]  # copies
+    found = main_texts(spark, pages)
+    assert [found[i] for i in range(6)] == [f"Story {i}" for i in range(6)]
+    assert [found[10 + i] for i in range(2)] == [f"Support this site today\nTale {i}" for i in range(2)]
+    assert [found[20 + i] for i in range(12)] == ["Support this site today\nOne story"] * 4 + [f"Piece {i}" for i in range(4, 12)]
+
+
 def test_common_lines_are_longest():
     draw = np.random.default_rng(1)
     for _ in range(100):
