@@ -21,13 +21,43 @@ from .common import cut, table
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words that the dynamic program fits; its table has this many bits for each length, whatever the input.
 DP_BUDGET = 1 << 14
+#: Words up to which a budget that is still not met is fitted as a whole, at about 8 bytes a word.
+WHOLE_BUDGET = 1 << 25
+
+
+def whole_fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+    """How many documents of each length have the largest sum up to ``budget``: subset sum over the whole of it."""
+    taken = np.zeros(len(lengths), np.int64)
+    reach = np.zeros(budget + 1, bool)
+    reach[0] = True
+    step = np.zeros(budget + 1, np.int32)  # the step that first reached a sum; what it was added to was reached before
+    parts: list[tuple[int, int]] = []
+    for i in np.argsort(-lengths, kind="stable"):
+        length = int(lengths[i])
+        most = min(int(counts[i]), budget // length) if length > 0 else 0
+        power = 1
+        while most > 0 and not reach[budget]:
+            part = min(power, most)
+            new = reach[: budget + 1 - part * length] & ~reach[part * length :]
+            step[part * length :][new] = len(parts)
+            reach[part * length :] |= new
+            parts.append((int(i), part))
+            most -= part
+            power *= 2
+    at = int(np.flatnonzero(reach)[-1])
+    while at:
+        i, part = parts[step[at]]
+        taken[i] += part
+        at -= part * int(lengths[i])
+    return taken
 
 
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, dp_budget: int = DP_BUDGET) -> np.ndarray:
     """How many documents of each length to take so that their lengths sum to ``budget`` or just below.
 
     A proportional share first; then lengths from the longest down until ``dp_budget`` words or fewer
-    are left; then the exact subset sum of the rest.
+    are left; then the exact subset sum of the rest.  If that misses a budget of up to ``WHOLE_BUDGET`` words,
+    as it can with few long documents, the exact subset sum of all of it.
     """
     lengths, counts = np.asarray(lengths, np.int64), np.asarray(counts, np.int64)
     taken = np.zeros(len(lengths), np.int64)
@@ -66,6 +96,10 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, dp_budget:
         if not earlier >> at & 1:
             taken[i] += part
             at -= part * int(lengths[i])
+    if int((taken * lengths).sum()) < budget <= WHOLE_BUDGET:
+        whole = whole_fit(lengths, counts, budget)
+        if int((whole * lengths).sum()) > int((taken * lengths).sum()):
+            return whole
     return taken
 
 

@@ -100,6 +100,19 @@ def test_small_budget_is_exact():
         assert int((taken * lengths).sum()) == max(s for s in sums if s <= budget)
 
 
+def test_few_long_documents_fit_exactly():
+    assert mixing.fit_budget(np.array([35_000, 60_000]), np.array([2, 1]), 72_000).tolist() == [2, 0]
+    for seed in range(20):
+        draw = np.random.default_rng(seed)
+        lengths, counts = np.unique(draw.integers(20_000, 90_000, 9), return_counts=True)
+        budget = int((lengths * counts).sum() * draw.uniform(0.2, 0.9))
+        sums = {0}
+        for length, count in zip(lengths.tolist(), counts.tolist(), strict=True):
+            sums = {s + length * k for s in sums for k in range(count + 1)}
+        taken = mixing.fit_budget(lengths, counts, budget)
+        assert (taken <= counts).all() and (taken >= 0).all() and int((taken * lengths).sum()) == max(s for s in sums if s <= budget)
+
+
 def test_targets_stop_at_three_times_the_size(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), (None, 0), ("c", 100)], "source string, source_size long")
     found = {r["source"]: r["target"] for r in mixing.source_targets(sizes).collect()}
