@@ -202,7 +202,7 @@ def calibrate(z: np.ndarray, y: np.ndarray, lang: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: list[str], y: np.ndarray, seed: int = 1) -> dict:
-    """A network on four fifths of the rows, thresholds on the rest, and then a network on all rows with them."""
+    """A network on four fifths of the rows with thresholds from the rest; on all rows, for both, if the rest has fewer than five of label 1."""
     y = np.asarray(y, np.int64)
     if len(set(y.tolist())) < 2:
         return {"constant": float(y.mean()) if len(y) else 0.0}
