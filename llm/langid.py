@@ -33,8 +33,10 @@ FAMILIES = {
 }
 LETTERS = re.compile(r"[^\W\d_]+")
 BITS, ORDERS = 13, (1, 2, 3, 4)
-#: Rows that fit a model: this many of a language, and this many in all.
+#: Rows that fit a model: this many of a language, and this many in all, but four of each language at least.
 PER_LANGUAGE, MOST_ROWS = 500, 4000
+#: Margins that a worker keeps.
+KEPT = 1_200_000
 
 
 def family_of(lang: str) -> str:
@@ -42,6 +44,14 @@ def family_of(lang: str) -> str:
     return next((f for f, codes in FAMILIES.items() if code in codes.split()), f"own:{code}")
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters, lower-cased; fractions, raised digits and the like, which a pattern takes for word characters, are none."""
+    words = LETTERS.findall(text.lower())
+    if all(map(str.isalpha, words)):
+        return words
+    return [part for w in words for part in (w if w.isalpha() else "".join(c if c.isalpha() else " " for c in w)).split()]
+
+
 def word_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed n-grams of all words, marked at their borders, and where each word's begin (no word is empty)."""
     codes = np.frombuffer("".join(f"\x02{w}\x03" for w in words).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
@@ -64,7 +74,7 @@ def word_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def gram_counts(texts: list[str]) -> np.ndarray:
     out = np.zeros((len(texts), 1 << BITS), np.float32)
     for i, text in enumerate(texts):
-        if words := LETTERS.findall(text.lower()):
+        if words := words_of(text):
             out[i] = np.bincount(word_grams(words)[0], minlength=1 << BITS)
             out[i] /= out[i].sum()
     return out
@@ -117,14 +127,14 @@ def fit(texts: list[str], langs: list[str], seed: int = 3) -> dict:
 
 
 class WordMargins:
-    """The summed margins and the number of n-grams of every word seen, up to ``limit`` words."""
+    """The summed margins and the number of n-grams of every word seen, up to about ``kept`` numbers."""
 
-    def __init__(self, model: dict, limit: int = 150_000):
-        self.weights, self.limit = model["weights"], limit
+    def __init__(self, model: dict, kept: int = KEPT):
+        self.weights, self.limit = model["weights"], max(1000, kept // (model["weights"].shape[1] + 1))
         self.known, self.rows = {}, np.zeros((0, model["weights"].shape[1] + 1), np.float32)
 
     def sums(self, texts: list[str | None]) -> np.ndarray:
-        found = [LETTERS.findall(t.lower()) if t else [] for t in texts]
+        found = [words_of(t) if t else [] for t in texts]
         if len(self.known) > self.limit:
             self.known, self.rows = {}, self.rows[:0]
         new = list({w for words in found for w in words if w not in self.known})
@@ -174,16 +184,19 @@ def decide(model: dict, sums: np.ndarray) -> tuple[list[str], np.ndarray]:
 
 
 def train(docs: DataFrame, condition, per_language: int = PER_LANGUAGE, most_rows: int = MOST_ROWS) -> dict:
-    rows, counts = sample(docs.where(condition), "lang", per_language)
-    if len(counts) * per_language > most_rows:
-        rows = rows.groupby("y").head(max(20, most_rows // len(counts)))
+    """A model of every value of ``lang`` among the rows that meet ``condition``, however many there are."""
+    ids = docs.where(condition).select("doc_id", F.col("lang").cast("string").alias("y")).where("y IS NOT NULL")
+    languages = ids.select("y").distinct().count()
+    rows, _ = sample(docs, ids, max(4, min(per_language, most_rows // max(1, languages))))
     return fit(rows["text"].tolist(), rows["y"].tolist())
 
 
 def identify(docs: DataFrame, model: dict) -> DataFrame:
     """(doc_id, lang_pred, score) of every whole text; null texts and texts without a letter are ``und``, 0.
 
-    Only doc_id and text are read, so further columns may have any name; repeated rows get equal results.
+    Only doc_id and text are read, so further columns may have any name; repeated rows get equal results, and
+    so do equal texts.  Of languages with equal scores the first by name is taken.  A null doc_id stays null;
+    a model fitted on no rows calls every text ``und``.
     """
     shared = small_batches(docs).sparkSession.sparkContext.broadcast(model)
 

@@ -32,7 +32,7 @@ def shape(word: bytes) -> bytes:
     """Runs of capitals, other letters and digits as one sign each, repeated marks as a mark and a plus."""
     for pattern, sign in RUNS:
         word = pattern.sub(sign, word)
-    return word[:12]
+    return word
 
 
 class WordCodes(dict):
@@ -100,14 +100,16 @@ def fit(texts: list[str], y: np.ndarray, shares: dict[int, float]) -> dict:
 
 
 def probabilities(model: dict, texts: list[bytes | None], known: WordCodes, neighbours: int = NEIGHBOURS, block: int = 256) -> np.ndarray:
-    """Shares of votes for label 1 among the nearest labelled vectors; a vote weighs as its similarity to the 20th power."""
+    """Shares of votes for label 1 among the nearest labelled vectors; a vote weighs as its similarity to the 20th power.
+
+    Texts are taken ``block`` at a time, so memory is bounded however many short or empty ones there are.
+    """
     if "constant" in model:
         return np.full(len(texts), model["constant"])
-    x = unit(frequencies(texts, known) @ model["axes"])
-    out = np.empty(len(x))
+    out = np.empty(len(texts))
     k = min(neighbours, len(model["y"]))
-    for at in range(0, len(x), block):
-        cosine = x[at : at + block] @ model["vectors"].T
+    for at in range(0, len(texts), block):
+        cosine = unit(frequencies(texts[at : at + block], known) @ model["axes"]) @ model["vectors"].T
         near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
         weight = np.maximum(np.take_along_axis(cosine, near, 1), 1e-3) ** 20 * model["votes"][near]
         out[at : at + block] = (weight * model["y"][near]).sum(1) / weight.sum(1)
@@ -115,7 +117,7 @@ def probabilities(model: dict, texts: list[bytes | None], known: WordCodes, neig
 
 
 def train(docs: DataFrame, labels: DataFrame, condition, label: str = "quality", per_class: int = PER_CLASS) -> dict:
-    rows, counts = sample(labelled(docs, labels, label, condition).withColumnRenamed("label", "y0"), "y0", per_class)
+    rows, counts = sample(docs, labelled(docs, labels, label, condition), per_class)
     good = (rows["y"] == "1").to_numpy().astype(int)
     ones = counts.get("1", 0)
     rest = sum(counts.values()) - ones
@@ -126,7 +128,8 @@ def with_score(docs: DataFrame, model: dict, name: str = "score") -> DataFrame:
     """``docs``, all columns, with a score of every whole text; null texts are scored as empty ones, equal texts get equal scores.
 
     Without labelled rows of both classes the score is the share of label 1 (1 without any).
-    Only ``text`` is read; a column that is called ``name`` already is replaced.
+    Only ``text`` is read; a column that is called ``name`` already is replaced.  Repeated rows are scored each
+    for itself, rows with a null doc_id like any others; of neighbours at equal cosine any may vote.
     """
     shared = small_batches(docs).sparkSession.sparkContext.broadcast(model)
     docs = docs.drop(name)

@@ -1,9 +1,10 @@
 """Toxicity by a convolutional text classifier trained in numpy.
 
-Words are embedded through two hash functions (rows added), convolved with filters of several widths,
-max-pooled over the whole text and weighed by a logistic output.  Training follows only the positions that
-won the pooling, so its gradients are sparse.  Logits are calibrated per language, which is guessed from
-function words in the text itself; after calibration every language's threshold lies at 0.3.
+Words are embedded through two hash functions, one of the word and one of its first letters (rows added),
+convolved with filters of several widths, max-pooled over the whole text and weighed by a logistic output.
+All weights start at random; training follows only the positions that won the pooling, so its gradients are
+sparse.  Logits are calibrated per language, which a model of character n-grams (see ``langid``) reads off
+the text itself; after calibration every language's threshold lies at 0.3.
 """
 
 from __future__ import annotations
@@ -15,42 +16,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import langid
 from .common import chunks, small_batches, split_of, table, text_bytes
 from .training import labelled, sample
 
 BITS, WIDTH, DIM, FILTERS, SIZES = 18, 1 << 18, 8, 12, (1, 2, 3)
 THRESHOLD = 0.3
-#: Labelled rows of each class that fit a model.
-PER_CLASS = 3000
-#: Frequent function words by language; they choose the calibration, nothing else.
-FUNCTION_WORDS = {
-    "en": "the of and to in is that it for was with as on be at by this are from",
-    "fr": "le la les des et en un une du que est dans qui par pour au sur avec",
-    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein",
-    "es": "el la de que y en los del las un por con una su para es al lo",
-}
+#: Labelled rows of each class that fit a model, and rows of each language that fit the one of languages.
+PER_CLASS, PER_LANGUAGE = 3000, 250
+#: Letters of a word's second embedding, updates of the weights, and texts of an update.
+STEM, STEPS, BATCH = 5, 600, 64
+#: Toxic rows of a language that weigh as much as all languages together in its threshold.
+PRIOR = 30
 EDGES = b".,;:!?\"'()[]{}<>*#$%&|-_/\\~`^+="
 
 
 class WordCodes(dict):
-    """Of each word: its two hashed rows and the languages whose function word it is, packed into one integer."""
+    """Of each word: the rows of its letters and of its first ``STEM`` letters, packed into one integer."""
 
     def __init__(self, limit: int = 300_000):
         super().__init__()
         self.limit = limit
-        self.votes: dict[bytes, int] = {}
-        for i, words in enumerate(FUNCTION_WORDS.values()):
-            for w in words.split():
-                self.votes[w.encode()] = self.votes.get(w.encode(), 0) | 1 << i
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
             self.clear()
-        core = word.strip(EDGES) or word
-        if not core.isascii():
-            core = core.decode("utf-8", "replace").lower().encode()
-        h = xxhash.xxh3_64_intdigest(core)
-        value = self[word] = (h & (WIDTH - 1)) | (h >> 24 & (WIDTH - 1)) << BITS | self.votes.get(core, 0) << 2 * BITS
+        core = (word.strip(EDGES) or word).decode("utf-8", "replace").lower()
+        own, stem = xxhash.xxh3_64_intdigest(core.encode()), xxhash.xxh3_64_intdigest(core[:STEM].encode(), 1)
+        value = self[word] = (own & (WIDTH - 1)) | (stem & (WIDTH - 1)) << BITS
         return value
 
 
@@ -68,25 +61,43 @@ def rows_of(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return codes & (WIDTH - 1), codes >> BITS & (WIDTH - 1)
 
 
-def languages_of(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Index of the language with most function words; the number of languages if there are none."""
-    votes = np.stack([np.add.reduceat(codes >> (2 * BITS + i) & 1, starts) for i in range(len(FUNCTION_WORDS))], 1)
-    return np.where(votes.max(1) > 0, votes.argmax(1), len(FUNCTION_WORDS))
+def languages_of(model: dict, texts: list[bytes | None], words: langid.WordMargins) -> np.ndarray:
+    """Number of each text's language in ``model["languages"]``; their count for all others."""
+    if not model["languages"]:
+        return np.zeros(len(texts), np.int64)
+    names, _ = langid.decide(model["language_model"], words.sums([t.decode("utf-8", "replace") if t else None for t in texts]))
+    place = {name: i for i, name in enumerate(model["languages"])}
+    return np.array([place.get(name, len(place)) for name in names], np.int64)
+
+
+def product(x: np.ndarray, w: np.ndarray, block: int = 256) -> np.ndarray:
+    """x @ w in blocks of rows, too small for the linear algebra library to start threads for."""
+    whole = len(x) // block * block
+    out = np.empty((len(x), w.shape[1]), np.float32)
+    np.matmul(x[:whole].reshape(-1, block, x.shape[1]), w, out=out[:whole].reshape(-1, block, w.shape[1]))
+    out[whole:] = x[whole:] @ w
+    return out
 
 
 def activations(model: dict, codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Embedded words with ``max(SIZES) - 1`` zero rows after each text, and per width the filters' values at each position."""
+    """Embedded words with ``max(SIZES) - 1`` zero rows after each text, and per width the filters' values at each position.
+
+    Windows start at words; those that would start after a text's last word, and reach into the next text, never win.
+    """
     pad = max(SIZES) - 1
     a, b = rows_of(codes)
     at = np.arange(len(codes)) + np.repeat(np.arange(len(counts)) * pad, counts)
     x = np.zeros((len(codes) + pad * len(counts) + pad, DIM), np.float32)
     x[at] = model["e1"][a] + model["e2"][b]
     n = len(x) - pad
+    after = np.ones(n, bool)
+    after[at] = False
     found = []
     for k, size in enumerate(SIZES):
-        value = x[:n] @ model["w"][k][0]
+        value = product(x, model["w"][k][0])[:n]
         for j in range(1, size):
-            value += x[j : n + j] @ model["w"][k][j]
+            value += product(x, model["w"][k][j])[j : n + j]
+        value[after] = -1e30
         found.append(value)
     return x, found
 
@@ -100,36 +111,27 @@ def logits(model: dict, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def without_rare(codes: np.ndarray, counts: np.ndarray, least: int = 3) -> np.ndarray:
-    """Codes with those of words in fewer than ``least`` texts replaced by the empty word's: what they teach doesn't carry over."""
-    names, number = np.unique(codes, return_inverse=True)
+    """Codes with those rows that fewer than ``least`` texts use replaced by the empty word's: what they teach doesn't carry over."""
     owner = np.repeat(np.arange(len(counts)), counts)
-    texts = np.bincount(np.unique(owner * len(names) + number) % len(names), minlength=len(names))
-    return np.where(texts[number] < least, WordCodes()[b""], codes)
+    out = np.zeros_like(codes)
+    for k, (rows, blank) in enumerate(zip(rows_of(codes), rows_of(np.array([WordCodes()[b""]])), strict=True)):
+        texts = np.bincount(np.unique(owner * WIDTH + rows) % WIDTH, minlength=WIDTH)
+        out |= np.where(texts[rows] < least, blank[0], rows) << (k * BITS)
+    return out
 
 
-def new_model(codes: np.ndarray, counts: np.ndarray, y: np.ndarray, draw) -> dict:
-    """Random weights, but for one direction of the embeddings: shrunken log-odds of each row among toxic texts."""
-    model = {
-        "e1": draw.normal(0, 0.02, (WIDTH, DIM)).astype(np.float32), "e2": draw.normal(0, 0.02, (WIDTH, DIM)).astype(np.float32),
-        "w": [draw.normal(0, 0.3 / s, (s, DIM, FILTERS)).astype(np.float32) for s in SIZES],
+def new_model(draw) -> dict:
+    return {
+        "e1": draw.normal(0, 0.01, (WIDTH, DIM)).astype(np.float32), "e2": draw.normal(0, 0.01, (WIDTH, DIM)).astype(np.float32),
+        "w": [draw.normal(0, 1 / np.sqrt(s * DIM), (s, DIM, FILTERS)).astype(np.float32) for s in SIZES],
         "b": [np.zeros(FILTERS, np.float32) for _ in SIZES], "out": draw.normal(0, 0.3, FILTERS * len(SIZES)).astype(np.float32), "bias": np.float32(-1.0),
     }
-    owner = np.repeat(np.arange(len(counts)), counts)
-    toxic, clean = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-    for name, rows in zip(("e1", "e2"), rows_of(codes), strict=True):
-        pairs = np.unique(owner * WIDTH + rows)
-        row, label = pairs % WIDTH, y[pairs // WIDTH]
-        hit, miss = np.bincount(row[label == 1], minlength=WIDTH), np.bincount(row[label == 0], minlength=WIDTH)
-        odds = np.log((hit + 0.05) / (toxic + 1) / ((miss + 0.5) / (clean + 1)))
-        model[name][:, 0] = np.where(hit + miss > 0, np.clip(odds, -2, 4) * hit / (hit + 3.0), -0.2) / 2
-    model["w"][0][0, 0, 0], model["b"][0][0], model["out"][0] = 1.0, -0.5, 2.0
-    return model
 
 
-def fit_network(codes: np.ndarray, counts: np.ndarray, y: np.ndarray, seed: int = 1, epochs: int = 6, batch: int = 64, rate: float = 0.05) -> dict:
-    """Logistic loss with balanced classes, by Adagrad over batches of whole texts."""
+def fit_network(codes: np.ndarray, counts: np.ndarray, y: np.ndarray, seed: int = 1, steps: int = STEPS, batch: int = BATCH, rate: float = 0.05) -> dict:
+    """Logistic loss with balanced classes, by Adagrad over batches of whole texts; ``steps`` updates, in whole epochs."""
     draw = np.random.default_rng(seed)
-    model = new_model(codes, counts, y, draw)
+    model = new_model(draw)
     starts = np.concatenate([[0], np.cumsum(counts)])
     weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
     seen = {k: np.full(v.shape, 0.1, np.float32) if not isinstance(v, list) else [np.full(u.shape, 0.1, np.float32) for u in v] for k, v in model.items() if k not in ("e1", "e2", "bias")}
@@ -141,8 +143,9 @@ def fit_network(codes: np.ndarray, counts: np.ndarray, y: np.ndarray, seed: int
         total += grad * grad
         value -= rate * grad / np.sqrt(total)
 
-    for _ in range(epochs):
-        for rows in np.array_split(draw.permutation(len(y)), max(1, len(y) // batch)):
+    batches = max(1, len(y) // batch)
+    for _ in range(-(-steps // batches)):
+        for rows in np.array_split(draw.permutation(len(y)), batches):
             own = np.concatenate([codes[starts[r] : starts[r + 1]] for r in rows])
             x, found = activations(model, own, counts[rows])
             at = np.concatenate([[0], np.cumsum(counts[rows] + pad)])
@@ -172,14 +175,13 @@ def fit_network(codes: np.ndarray, counts: np.ndarray, y: np.ndarray, seed: int
             live = (moved >= 0) & (np.abs(pulls).sum(1) > 0)
             for name, all_rows in zip(("e1", "e2"), rows_of(own), strict=True):
                 target, inverse = np.unique(all_rows[moved[live]], return_inverse=True)
-                grad = np.zeros((len(target), DIM), np.float32)
-                np.add.at(grad, inverse, pulls[live])
+                grad = np.stack([np.bincount(inverse, pulls[live, d], len(target)) for d in range(DIM)], 1).astype(np.float32)
                 seen[name][target] += np.square(grad).mean(1)
                 model[name][target] -= rate * grad / np.sqrt(seen[name][target])[:, None]
     return model
 
 
-def calibrate(z: np.ndarray, y: np.ndarray, lang: np.ndarray) -> np.ndarray:
+def calibrate(z: np.ndarray, y: np.ndarray, lang: np.ndarray, languages: int) -> np.ndarray:
     """(slope, threshold) of each language and of all others; the threshold has the best F1, ties to the middle of the gap."""
 
     def best(z, y):
@@ -192,66 +194,83 @@ def calibrate(z: np.ndarray, y: np.ndarray, lang: np.ndarray) -> np.ndarray:
 
     everyone = best(z, y) if y.any() and not y.all() else 0.0
     slope = 4.0 / max(1.0, float(np.std(z)) if len(z) else 1.0)
-    out = np.full((len(FUNCTION_WORDS) + 1, 2), (slope, everyone))
-    for i in range(len(FUNCTION_WORDS)):
+    out = np.full((languages + 1, 2), (slope, everyone))
+    for i in range(languages):
         own = lang == i
-        if y[own].sum() >= 10 and (1 - y[own]).sum() >= 10:
+        if y[own].any() and not y[own].all():
             n = y[own].sum()
-            out[i, 1] = (n * best(z[own], y[own]) + 10 * everyone) / (n + 10)
+            out[i, 1] = (n * best(z[own], y[own]) + PRIOR * everyone) / (n + PRIOR)
     return out
 
 
-def fit(texts: list[str], y: np.ndarray, seed: int = 1) -> dict:
-    """A network on four fifths of the rows with thresholds from the rest; on all rows, for both, if the rest has fewer than five of label 1."""
+def fit(texts: list[str], y: np.ndarray, langs: list[str | None] | None = None, seed: int = 1, steps: int = STEPS) -> dict:
+    """A network on four fifths of the rows gives thresholds on the rest; one on all rows, trained alike, then scores with them.
+
+    If the rest has fewer than five rows of label 1, all rows give the thresholds too.  ``langs`` only name the languages of the model that calibration asks; without them there is one threshold.
+    """
     y = np.asarray(y, np.int64)
     if len(set(y.tolist())) < 2:
         return {"constant": float(y.mean()) if len(y) else 0.0}
-    known = WordCodes()
-    coded = [codes_of([t.encode() for t in texts[i : i + 200]], known) for i in range(0, len(texts), 200)]
+    raw, known = [t.encode() for t in texts], WordCodes()
+    coded = [codes_of(raw[i : i + 200], known) for i in range(0, len(raw), 200)]
     codes, counts = (np.concatenate(x) for x in zip(*coded, strict=True))
-    starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
-    lang = languages_of(codes, starts)
     codes = without_rare(codes, counts)
     fold = np.random.default_rng(seed).permutation(len(y)) % 5 == 0
     if y[fold].sum() < 5:
         fold[:] = False
-    train = ~fold
-    spread = np.repeat(train, counts)
-    model = fit_network(codes[spread], counts[train], y[train], seed)
-    rows = fold if fold.any() else train
-    own = np.repeat(rows, counts)
-    model["calibration"] = calibrate(logits(model, codes[own], counts[rows]), y[rows], lang[rows])
+    model = fit_network(codes, counts, y, seed, steps)
+    part = fit_network(codes[np.repeat(~fold, counts)], counts[~fold], y[~fold], seed, steps) if fold.any() else model
+    by_language: dict[str, list[int]] = {}
+    for i, name in enumerate(langs or []):
+        if name is not None:
+            by_language.setdefault(name, []).append(i)
+    model["languages"] = sorted(by_language)
+    some = [i for name in model["languages"] for i in by_language[name][:PER_LANGUAGE]]
+    model["language_model"] = langid.fit([texts[i] for i in some], [langs[i] for i in some]) if some else None
+    rows = np.flatnonzero(fold if fold.any() else ~fold)
+    z = np.concatenate([logits(part, *codes_of([raw[i] for i in some], known)) for some in np.array_split(rows, max(1, len(rows) // 200))])
+    lang = languages_of(model, [raw[i] for i in rows], langid.WordMargins(model["language_model"]) if some else None)
+    model["calibration"] = calibrate(z, y[rows], lang, len(model["languages"]))
     return model
 
 
-def probabilities(model: dict, texts: list[bytes | None], known: WordCodes) -> np.ndarray:
-    if "constant" in model:
-        return np.full(len(texts), model["constant"])
-    codes, counts = codes_of(texts, known)
-    starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
-    slope, threshold = model["calibration"][languages_of(codes, starts)].T
-    z = slope * (logits(model, codes, counts) - threshold) + np.log(THRESHOLD / (1 - THRESHOLD))
-    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+class Scorer:
+    """Scores texts by a model and remembers the words it met."""
+
+    def __init__(self, model: dict):
+        self.model, self.known = model, WordCodes()
+        self.words = langid.WordMargins(model["language_model"]) if model.get("language_model") else None
+
+    def __call__(self, texts: list[bytes | None]) -> np.ndarray:
+        if "constant" in self.model:
+            return np.full(len(texts), self.model["constant"])
+        slope, threshold = self.model["calibration"][languages_of(self.model, texts, self.words)].T
+        z = slope * (logits(self.model, *codes_of(texts, self.known)) - threshold) + np.log(THRESHOLD / (1 - THRESHOLD))
+        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def train(docs: DataFrame, labels: DataFrame, condition, label: str = "toxic", per_class: int = PER_CLASS) -> dict:
-    rows, _ = sample(labelled(docs, labels, label, condition).withColumnRenamed("label", "y0"), "y0", per_class)
-    return fit(rows["text"].tolist(), (rows["y"] == "1").to_numpy().astype(int))
+def train(docs: DataFrame, labels: DataFrame, condition, label: str = "toxic", per_class: int = PER_CLASS, steps: int = STEPS) -> dict:
+    """A model of the labels of rows that meet ``condition``; rows without a label of 0 or 1, or without an id, teach nothing."""
+    extra = tuple(c for c in ("lang",) if c in docs.columns)
+    rows, _ = sample(docs, labelled(docs, labels, label, condition), per_class, extra=extra)
+    langs = [x if isinstance(x, str) else None for x in rows["lang"]] if extra else None
+    return fit(rows["text"].tolist(), (rows["y"] == "1").to_numpy().astype(int), langs, steps=steps)
 
 
 def with_score(docs: DataFrame, model: dict, name: str = "score") -> DataFrame:
     """``docs``, all columns, with a score of every whole text; null texts are scored as empty ones, equal texts get equal scores.
 
     Without labelled rows of both classes the score is the share of label 1 (0 without any).
-    Only ``text`` is read; a column that is called ``name`` already is replaced.
+    Only ``text`` is read; a column that is called ``name`` already is replaced.  Repeated rows are scored each
+    for itself, rows with a null doc_id like any others.
     """
     shared = small_batches(docs).sparkSession.sparkContext.broadcast(model)
     docs = docs.drop(name)
 
     def run(batches):
-        known = WordCodes()
+        score = Scorer(shared.value)
         for batch in chunks(batches, "text", 1 << 20):
-            found = probabilities(shared.value, text_bytes(batch.column("text")), known)
+            found = score(text_bytes(batch.column("text")))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, name])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))

@@ -426,3 +426,100 @@ def test_languages(spark, odd, empty):
     assert {r["lang_pred"] for r in langid.identify(odd, model).where("doc_id IN (1, 2, 3)").collect()} == {"und"}
     assert langid.identify(empty, model).count() == 0
     assert {r["lang_pred"] for r in langid.identify(odd, langid.train(docs.where("doc_id < 0"), F.lit(True))).collect()} == {"und"}
+
+
+def test_toxicity_comes_from_training(spark):
+    """Without updates scores are no better than chance, with them they are; brute-force forward pass."""
+    rows, marks = corpus(600)
+    y = np.array([t for _, _, t in marks])
+    texts = [t for _, t, _ in rows]
+    for steps, low, high in ((0, 0.35, 0.65), (200, 0.97, 1.0)):
+        model = toxicity.fit(texts[:400], y[:400], steps=steps)
+        score = toxicity.Scorer(model)([t.encode() for t in texts[400:]])
+        toxic, clean = score[y[400:] == 1], score[y[400:] == 0]
+        chance = ((toxic[:, None] > clean[None, :]) + 0.5 * (toxic[:, None] == clean[None, :])).mean()
+        assert low <= chance <= high
+    codes, counts = toxicity.codes_of([t.encode() for t in texts[:20]], toxicity.WordCodes())
+    found, at = toxicity.logits(model, codes, counts), 0
+    for i, n in enumerate(counts):
+        a, b = toxicity.rows_of(codes[at : at + n])
+        x = np.vstack([model["e1"][a] + model["e2"][b], np.zeros((2, toxicity.DIM))])
+        z = float(model["bias"])
+        for k, size in enumerate(toxicity.SIZES):
+            for f in range(toxicity.FILTERS):
+                best = max(sum(x[p + j] @ model["w"][k][j][:, f] for j in range(size) if p + j < len(x)) for p in range(n))
+                z += max(best + model["b"][k][f], 0) * model["out"][k * toxicity.FILTERS + f]
+        assert found[i] == pytest.approx(z, abs=1e-3)
+        at += n
+
+
+def test_thresholds_by_language():
+    rng = np.random.default_rng(1)
+    y = np.tile([0, 1], 400)
+    lang = np.repeat([0, 1], 400)
+    z = y * 4.0 + lang * 10 + rng.normal(0, 0.1, 800)
+    found = toxicity.calibrate(z, y, lang, 2)
+    assert 0.5 < found[0, 1] < 10 and found[1, 1] > found[0, 1]
+
+
+def test_votes_match_brute_force():
+    rows, marks = corpus(120)
+    texts, y = [t for _, t, _ in rows], np.array([q for _, q, _ in marks])
+    model = quality.fit(texts[:80], y[:80], {1: 0.8, 0: 0.2})
+    found = quality.probabilities(model, [t.encode() for t in texts[80:]], quality.WordCodes(), block=7)
+    for t, p in zip(texts[80:], found, strict=True):
+        v = quality.frequencies([t.encode()], quality.WordCodes())[0] @ model["axes"]
+        v = v / np.linalg.norm(v)
+        near = sorted(range(80), key=lambda k: -float(v @ model["vectors"][k]))[: quality.NEIGHBOURS]
+        weight = {k: max(float(v @ model["vectors"][k]), 1e-3) ** 20 * model["votes"][k] for k in near}
+        assert p == pytest.approx(sum(w for k, w in weight.items() if model["y"][k]) / sum(weight.values()), abs=1e-3)
+
+
+def test_samples_are_bounded_and_whole(spark):
+    from llm.training import labelled, sample
+
+    docs = documents(spark, [(i, "x" * (200_000 if i % 10 == 0 else 20), "s") for i in range(400)] + [(3, None, "s"), (None, "y", "s")])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(500)] + [(None, 1), (5, None)], "doc_id long, toxic int")
+    ids = labelled(docs, labels, "toxic", F.lit(True))
+    rows, counts = sample(docs, ids, 30)
+    assert counts == {"0": 200, "1": 200} and rows["y"].value_counts().to_dict() == {"0": 30, "1": 30}
+    assert (rows["text"].str.len() > 64 << 10).any()
+    few, _ = sample(docs, ids, 1000, class_bytes=1000)
+    assert few.groupby("y")["text"].apply(lambda t: t.str.len().sum()).max() <= 1000
+    again, _ = sample(docs, ids, 30)
+    assert again.equals(rows)
+
+
+def test_more_than_64_languages(spark):
+    draw = np.random.default_rng(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = []
+    for k in range(70):
+        own = ["".join(draw.choice(list(letters), 5)) for _ in range(6)]
+        rows += [(len(rows) + n, " ".join(draw.choice(own, 12)), f"x{k:02d}") for n in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, F.col("doc_id") % 6 != 5)
+    found = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, model).collect()}
+    assert len(set(found.values())) == 70 and sum(found[i] == lang for i, _, lang in rows) >= 0.9 * len(rows)
+
+
+def test_signs_are_no_letters(spark):
+    model = langid.fit(["the house of the river", "das haus an dem fluss"] * 5, ["en", "de"] * 5)
+    docs = spark.createDataFrame(list(enumerate(["\u00bd \u00b2 \u2460", "12 % _ !", "\u00bd cup of the river"])), "doc_id long, text string")
+    assert [r["lang_pred"] for r in langid.identify(docs, model).orderBy("doc_id").collect()] == ["und", "und", "en"]
+
+
+def test_duels_within_the_family():
+    """Family first, then one against one within it, as a plain count of products says."""
+    model = langid.fit(["the house of the river", "das haus an dem fluss", "la casa del rio grande", "la maison de la riviere"] * 10, ["en", "de", "es", "fr"] * 10)
+    texts = ["the river house", "la casa grande", "das haus", "de la maison"]
+    names, _ = langid.decide(model, langid.WordMargins(model).sums(texts))
+    for text, name in zip(texts, names, strict=True):
+        margin = langid.gram_counts([text])[0].astype(float) @ model["weights"] + model["biases"]
+        win = {}
+        for (level, a, b), m in zip(model["duels"], margin, strict=True):
+            p = 1 / (1 + np.exp(-3 * m))
+            for key, q in ((level, a), p), ((level, b), 1 - p):
+                win[key] = win.get(key, 0) + np.log(q)
+        family = max(sorted(model["groups"]), key=lambda f: win[("family", f)])
+        assert name in model["groups"][family] and name == max(sorted(model["groups"][family]), key=lambda c: win[("lang", c)])
