@@ -136,8 +136,11 @@ def hashed_words(texts: list[bytes | None], hashes: dict, lower: bool = True) ->
 
 
 def salted_join(rows: DataFrame, lookup: DataFrame, key: str, lookup_key: str, salts: int = 16) -> DataFrame:
-    """Inner join of ``rows`` to a lookup with one row per key; a key that most rows share is spread over ``salts`` tasks."""
-    left = rows.withColumn("salt_", (F.rand(1) * salts).cast("int"))
+    """Inner join of ``rows`` to a lookup with one row per key; a key that most rows share is spread over ``salts`` tasks.
+
+    The salt is a hash of the row, so a task that runs again deals every row as before.
+    """
+    left = rows.withColumn("salt_", F.pmod(F.xxhash64(F.lit(29), *rows.columns), F.lit(salts)).cast("int"))
     right = lookup.withColumn("other_salt_", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, (F.col(key) == F.col(lookup_key)) & (F.col("salt_") == F.col("other_salt_"))).drop("salt_", "other_salt_")
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import backoff, embeddings, nearset
 from .backoff import op7_backoff
-from .embeddings import op10_embeddings
+from .embeddings import embeddings_recall, op10_embeddings
 from .html_text import op6_html
 from .langid import op9_language
 from .mixing import op2_mixing
@@ -31,8 +31,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_language": op9_language,
         "op10_embeddings": op10_embeddings,
+        "embeddings_recall": embeddings_recall,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_nearset": nearset.SQL, "op7_backoff": backoff.SQL, "op10_embeddings": embeddings.SQL}
+    return {"op5_nearset": nearset.SQL, "op7_backoff": backoff.SQL, "op10_embeddings": embeddings.SQL, "embeddings_recall": embeddings.RECALL_SQL}
