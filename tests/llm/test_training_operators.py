@@ -392,6 +392,57 @@ def test_common_lines_are_longest():
         assert html_text.common_lines(a, b).sum() == best[-1][-1]
 
 
+def test_long_alignments_are_as_long(monkeypatch):
+    draw = np.random.default_rng(2)
+    pairs = [tuple(draw.integers(0, k, draw.integers(1, 80)).tolist() for _ in range(2)) for k in (2, 5, 30) for _ in range(30)]
+    whole = [html_text.common_lines(a, b) for a, b in pairs]
+    monkeypatch.setattr(html_text, "WHOLE", 4)
+    monkeypatch.setattr(html_text, "COLUMNS", 7)
+    for (a, b), all_at_once in zip(pairs, whole, strict=True):
+        found = html_text.common_lines(a, b)
+        assert found.sum() == all_at_once.sum()
+        rest = iter(b)
+        assert all(x in rest for x, here in zip(a, found, strict=True) if here)  # in b, in this order
+
+
+@pytest.mark.parametrize("page", ["<a" * 500_000, "</i>" * 250_000, "<b>" * 120_000 + "</i>" * 120_000, '<a x="' * 160_001 + ">", "<a " + "x" * 500_000 + " y=1>t", "<script>" + "</script" * 100_000, "<!--" * 200_000, "<b><div>" + "<i>" * 50_000 + "</b>" * 50_000])
+def test_malformed_megabytes(page):
+    import time
+
+    began = time.process_time()
+    html_text.page_lines(page)
+    assert time.process_time() - began < 5
+
+
+def test_articles_in_containers_with_unlucky_names(spark):
+    pages = [
+        (1, "http://a/1", "<div class='banner share'><main><p>The text</p><div class='comments'>no</div></main></div><div>rest</div>"),
+        (2, "http://b/1", "<main><p>The text</p></main><div class='related'><article>teaser</article></div>"),
+        (3, "http://c/1", "<aside><article>never</article></aside><p>body</p>"),
+    ]
+    assert main_texts(spark, pages) == {1: "The text", 2: "The text", 3: "body"}
+
+
+def test_generated_sites_against_brute_force(spark, monkeypatch):
+    """Plain markup, so only differencing tells text from template; brute force: the lines that are on no other page of the host."""
+    draw = np.random.default_rng(8)
+    pages, wanted = [], {}
+    for host in range(6):
+        top = [f"Link {host} {k}" for k in range(draw.integers(3, 12))]
+        bottom = [f"Note {host} {k}" for k in range(draw.integers(1, 6))]
+        for i in range(draw.integers(4, 9)):
+            own = [" ".join(draw.choice(WORDS, 9)) + f" {host}.{i}.{k}" for k in range(draw.integers(1, 9))]
+            at = len(own) // 2
+            pages.append((len(pages), f"http://site{host}/{'news' if i % 2 else 'blog'}/{i}", divs([*top, *own[:at], f"Share this {host}", *own[at:], *bottom])))
+    lines = {i: html_text.page_lines(page)[0] for i, _, page in pages}
+    for i, url, _ in pages:
+        others = {x for k, u, _ in pages for x in lines[k] if k != i and u.split("/")[2] == url.split("/")[2]}
+        wanted[i] = "\n".join(x for x in lines[i] if x not in others)
+    assert main_texts(spark, pages) == wanted
+    without = {i: "\n".join(x) for i, x in lines.items()}
+    assert all(without[i] != wanted[i] for i in wanted)
+
+
 # ---- Stupid backoff ----
 
 def test_backoff_of_odd_rows(odd, empty):
