@@ -44,6 +44,16 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of text whose hashes one bucket gathers, about.
+BUCKET_BYTES = 32 << 20
+
+
+def buckets_for(docs: DataFrame, text_col: str = "text") -> int:
+    """Buckets by hash of what a table's texts give: a fixed share of the bytes each, so that no task grows with the input."""
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return max(2 * partitions(docs), -(-int(size) // BUCKET_BYTES))
+
+
 def split_of(column: str, parts: int):
     """crc32 of the id as text, modulo ``parts``: the split between training and held-out rows."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(parts)

@@ -247,6 +247,24 @@ def test_near_sets_of_odd_rows(odd, empty):
     assert kept.columns[:5] == odd.columns[:5] and sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "3", "4", "6", "None"]
 
 
+def test_null_ids_and_a_common_passage(spark, monkeypatch):
+    """A thousand rows without an id in pairs, a passage that many texts share, one row many times."""
+    monkeypatch.setattr(nearset, "TILE", 200)
+    draw = np.random.default_rng(6)
+    passage = " ".join(f"p{k}" for k in range(40))
+    texts = []
+    for _ in range(500):
+        base = [f"u{k}" for k in draw.integers(0, 10**6, 60)]
+        texts += [" ".join(base) + " " + passage, " ".join([*base[:-1], "edit"]) + " " + passage]
+    rows = [(None, t, "s") for t in texts] + [(7, texts[0], "s")] * 50 + [(8, "other words stand here for once", "s"), (9, None, "s"), (None, " ", "s"), (None, None, "s")]
+    found = nearset.near_sets(documents(spark, rows)).collect()
+    assert len(found) == len(rows)
+    assert sorted(r["component_id"] for r in found if r["component_id"] is not None) == [7] * 52 + [8, 9]
+    kept = nearset.keep_one(documents(spark, rows)).collect()
+    assert sorted(str(r["doc_id"]) for r in kept) == sorted(["7", "8", "9"] + ["None"] * 501)
+    assert len({r["text"] for r in kept if r["doc_id"] is None and (r["text"] or "").strip()} & set(texts)) == 499
+
+
 @pytest.mark.parametrize("task_edges", [3, 1000])
 def test_components(spark, task_edges):
     edges = [(i, i + 1) for i in range(20)] + [(30, k) for k in range(31, 45)] + [(50, 50)]
