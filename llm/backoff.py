@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, hashed_words, mix, partitions, per_process, table, text_bytes
+from .common import BUCKET_BYTES, WordHashes, hashed_words, mix, partitions, per_process, table, text_bytes
 
 ORDER, LEAST, FACTOR = 3, 2, 0.4
 BATCH_BYTES = 8 << 20
@@ -124,10 +124,18 @@ def score_documents(docs: DataFrame, order: int = ORDER, least: int = LEAST, fac
     space and A-Z lower-cased; n-grams of two or more words that occur fewer than ``least`` times are left
     out.  ``orders`` counts the words scored by each order.  Null, empty and blank texts have no words and
     score 0.  Repeated rows count each time and get equal scores; null ids and extra columns do no harm.
+    An n-gram is known by its bucket and 40 further bits of its hash.  A bucket holds a fixed share of the text,
+    however much there is, so the chance that an n-gram shares its key with another stays about one in 10^5.
+    Of equal scores of a word at several orders the longest order's counts.
     """
     total = docs.agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).first()
     batches = max(1, -(-int(total["b"] or 0) // batch_bytes), int(total["n"]) // 200_000)
-    buckets = 2 * partitions(docs)
+    buckets = max(2 * partitions(docs), -(-int(total["b"] or 0) // BUCKET_BYTES))
+    blank = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    wordless = docs.where(blank).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_words"), F.lit(0.0).alias("log_score"), F.lit(0.0).alias("mean_log_score"), F.array(*[F.lit(0).cast("long")] * order).alias("orders")
+    )
+    docs = docs.where(~blank)  # the others would all be dealt to one batch
     dealt = docs.select(F.pmod(F.xxhash64(F.lit(3), "doc_id", "text"), F.lit(batches)).cast("int").alias("batch"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
 
@@ -187,7 +195,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, least: int = LEAST, fac
     for n in range(3, order + 1):
         more = by_batch.cogroup(answers.groupBy("batch")).applyInArrow(ask_longer(n), ASK).groupBy("bucket").applyInArrow(answer, ANSWER)
         answers = answers.unionByName(more)
-    return by_batch.cogroup(answers.groupBy("batch")).applyInArrow(score, "doc_id long, n_words long, log_score double, mean_log_score double, orders array<long>")
+    return by_batch.cogroup(answers.groupBy("batch")).applyInArrow(score, "doc_id long, n_words long, log_score double, mean_log_score double, orders array<long>").unionByName(wordless)
 
 
 def op7_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:

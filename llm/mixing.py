@@ -123,6 +123,11 @@ def source_targets(sizes: DataFrame, weights=(1.0, 2.0, 3.0), max_repeats: float
     return found.select("source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
+def row_key():
+    """Names a row by id, source and text; only rows that are the same document share it."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text"))
+
+
 def mix_sources(docs: DataFrame, weights=(1.0, 2.0, 3.0), max_repeats: int = 3, seed: int = 17) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) for every row of ``docs`` (doc_id, text, source).
 
@@ -130,10 +135,16 @@ def mix_sources(docs: DataFrame, weights=(1.0, 2.0, 3.0), max_repeats: int = 3,
     source is a source of its own, the last.  Repeated rows count as often as they occur; equal rows are
     ranked among themselves in any order, which no result can show.  An empty table gives an empty result.
     Only per-source and per-length counts are gathered, never documents; a source that holds most rows is
-    split by the leading bits of the seeded hash, so choosing within it is spread over many tasks.
+    split by the leading bits of the seeded hash, so choosing within it is spread over many tasks.  Targets pass
+    through one task, a row a source.
     """
+    return mixed(docs, weights, max_repeats, seed).drop("key")
+
+
+def mixed(docs: DataFrame, weights, max_repeats: int, seed: int) -> DataFrame:
+    """The rows of ``mix_sources`` with their ``key`` (see ``row_key``)."""
     seeded = F.xxhash64(F.lit(seed), F.col("doc_id"), F.coalesce("source", F.lit("")))
-    base = cut(docs.select("doc_id", F.col("source").cast("string").alias("source"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"), seeded.alias("h")))
+    base = cut(docs.select("doc_id", row_key().alias("key"), F.col("source").cast("string").alias("source"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"), seeded.alias("h")))
     lengths = base.groupBy("source", "size").agg(F.count("*").alias("n"))
     sizes = lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     targets = cut(source_targets(sizes, weights, max_repeats).withColumn("passes", F.when(F.col("source_size") > 0, F.least(F.floor((F.col("target") + 1e-6) / F.col("source_size")), F.lit(max_repeats))).otherwise(0).cast("long")))
@@ -159,26 +170,29 @@ def mix_sources(docs: DataFrame, weights=(1.0, 2.0, 3.0), max_repeats: int = 3,
     )
     ranked = base.withColumn("bucket", bucket).withColumn("rank", F.row_number().over(W.partitionBy("source", "size", "bucket").orderBy("h", "doc_id")))
     chosen = ranked.join(shares, [F.col("source").eqNullSafe(F.col("s3")), F.col("size") == F.col("z3"), F.col("bucket") == F.col("b3")])
-    chosen = chosen.select("doc_id", "source", "size", (F.col("rank") <= F.col("share")).alias("extra"))
+    chosen = chosen.select("doc_id", "key", "source", "size", (F.col("rank") <= F.col("share")).alias("extra"))
     targets = targets.withColumnRenamed("source", "s4")
     return chosen.join(targets, F.col("source").eqNullSafe(F.col("s4"))).select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("size") * (F.col("passes") + F.col("extra").cast("long"))).alias("taken")
+        "doc_id", "key", "source", "size", "source_size", "target", (F.col("size") * (F.col("passes") + F.col("extra").cast("long"))).alias("taken")
     )
 
 
-def apply_mix(docs: DataFrame, weights=(1.0, 2.0, 3.0), max_repeats: int = 3, seed: int = 17) -> DataFrame:
-    """``docs``, all columns, with every row as often as the mix takes it; rows without words are not taken."""
-    mix = mix_sources(docs, weights, max_repeats, seed).where("taken > 0")
-    plan = mix.groupBy(F.col("doc_id").alias("id"), F.col("size").alias("words")).agg(F.sum((F.col("taken") / F.col("size")).cast("long")).alias("times"), F.count("*").alias("rows"))
-    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
+def apply_mix(docs: DataFrame, weights=(1.0, 2.0, 3.0), max_repeats: int = 3, seed: int = 17, salts: int = 64) -> DataFrame:
+    """``docs``, all columns, with every row as often as the mix takes it; rows without words are not taken.
+
+    Rows of one id, source and text share out what the mix takes of them: each gets an equal part, and one of
+    them what that leaves over.  Rows with a null id are told apart by their texts.
+    """
+    mix = mixed(docs, weights, max_repeats, seed).where("size > 0")
+    plan = mix.groupBy(F.col("key").alias("plan_key")).agg(F.sum((F.col("taken") / F.col("size")).cast("long")).alias("times"), F.count("*").alias("rows")).where("times > 0")
     # Rows travel as one struct, so that no column of theirs can clash with those made here.
-    sized = docs.select(F.col("doc_id").alias("own_id"), size.alias("own_words"), F.struct("*").alias("row"))
-    joined = sized.join(plan, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_words") == F.col("words")))
-    # Rows that repeat an id share out what the mix takes of them; a single row takes it all.
-    turn = F.row_number().over(W.partitionBy("own_id", "own_words").orderBy("own_id"))
-    copies = F.floor(F.col("times") / F.col("rows")) + (F.col("turn") <= F.col("times") % F.col("rows")).cast("long")
-    taken = joined.withColumn("turn", turn).withColumn("copies", copies.cast("int")).where("copies > 0")
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
+    packed = docs.select(row_key().alias("own_key"), F.struct("*").alias("row"))
+    each = packed.join(plan.where("times >= rows"), F.col("own_key") == F.col("plan_key")).select("row", F.explode(F.sequence(F.lit(1), F.floor(F.col("times") / F.col("rows")).cast("int"))))
+    over = packed.join(plan.where("times % rows > 0"), F.col("own_key") == F.col("plan_key")).dropDuplicates(["own_key"])
+    over = over.withColumn("left_over", F.col("times") % F.col("rows")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.least(F.lit(salts), "left_over").cast("int") - 1)))
+    copies = (F.floor(F.col("left_over") / salts) + (F.col("salt") < F.col("left_over") % salts).cast("long")).cast("int")
+    over = over.repartition(F.col("own_key"), F.col("salt")).withColumn("copies", copies).select("row", F.explode(F.sequence(F.lit(1), "copies")))
+    return each.select("row.*").unionByName(over.select("row.*"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

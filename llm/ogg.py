@@ -119,12 +119,16 @@ def granule_rate(first: bytes) -> tuple[str, int | None, int]:
 
 
 def read_ogg(data: bytes) -> dict:
-    """{'pages', 'bad_pages', 'streams': {serial: stream}}.
+    """{'pages', 'bad_pages', 'streams': {serial: stream}, 'chain': [(serial, link, stream)]}.
+
+    Of streams that follow each other under one serial number, as in chained files, ``streams`` holds the last
+    and ``chain`` all, in the order of their first pages; ``link`` counts those of one serial.
 
     A stream has codec, rate, pages, gaps (missing page numbers), ended, packets [(bytes, granule or None,
     seconds or None)]; only the packet that ends last on a page has a granule position of its own.
     """
     streams: dict[int, dict] = {}
+    chain: list[tuple[int, int, dict]] = []
     pages = bad = 0
     for _, page in read_pages(data):
         if page is None:
@@ -134,6 +138,7 @@ def read_ogg(data: bytes) -> dict:
         serial = page["serial"]
         if serial not in streams or page["flags"] & FIRST and streams[serial]["ended"]:
             streams[serial] = {"codec": "unknown", "rate": None, "skip": 0, "pages": 0, "gaps": 0, "ended": False, "packets": [], "open": None, "next": page["number"]}
+            chain.append((serial, sum(k == serial for k, _, _ in chain), streams[serial]))
         s = streams[serial]
         if page["number"] != s["next"]:
             s["gaps"] += 1
@@ -164,7 +169,7 @@ def read_ogg(data: bytes) -> dict:
             seconds = max(0, granule - s["skip"]) / s["rate"] if granule is not None and s["rate"] else None
             s["packets"].append((packet, granule, seconds))
         s["ended"] |= bool(page["flags"] & LAST)
-    return {"pages": pages, "bad_pages": bad, "streams": streams}
+    return {"pages": pages, "bad_pages": bad, "streams": streams, "chain": chain}
 
 
 def samples_to_ogg(payload: bytes, rate: int = RATE, packet: int = PACKET) -> bytes:
@@ -239,7 +244,7 @@ def decode_media(df: DataFrame) -> DataFrame:
 
 
 def read_packets(df: DataFrame, id_col: str = "id", media_col: str = "media") -> DataFrame:
-    """One row per packet of every Ogg file: (id, serial, codec, packet, n_bytes, granule, seconds, data).
+    """One row per packet of every Ogg file: (id, serial, link, codec, packet, n_bytes, granule, seconds, data).
 
     Null, empty or foreign bytes give no rows.
     """
@@ -250,14 +255,14 @@ def read_packets(df: DataFrame, id_col: str = "id", media_col: str = "media") ->
                 part = batch.slice(start, 16)
                 rows = []
                 for key, media in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    for serial, s in read_ogg(media or b"")["streams"].items():
-                        rows += [(key, serial, s["codec"], i, len(p), g, t, p) for i, (p, g, t) in enumerate(s["packets"])]
-                kinds = [part.column(0).type, pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.binary()]
-                columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "serial", "codec", "packet", "n_bytes", "granule", "seconds", "data"])
+                    for serial, link, s in read_ogg(media or b"")["chain"]:
+                        rows += [(key, serial, link, s["codec"], i, len(p), g, t, p) for i, (p, g, t) in enumerate(s["packets"])]
+                kinds = [part.column(0).type, pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.binary()]
+                columns = list(zip(*rows, strict=True)) if rows else [[]] * 9
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "serial", "link", "codec", "packet", "n_bytes", "granule", "seconds", "data"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, media_col).mapInArrow(run, f"id {kind}, serial long, codec string, packet int, n_bytes long, granule long, seconds double, data binary")
+    return df.select(id_col, media_col).mapInArrow(run, f"id {kind}, serial long, link int, codec string, packet int, n_bytes long, granule long, seconds double, data binary")
 
 
 def op1_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,6 +66,12 @@ def test_damage_is_found_and_left_out():
     assert b"a" * 100_000 not in [p[0] for p in found["streams"][1]["packets"]]
 
 
+def test_chained_streams_of_one_serial(spark):
+    media = ogg.write_ogg([(1, [(b"head", 0), (b"first", 5)])]) + ogg.write_ogg([(1, [(b"head", 0), (b"second", 9)])])
+    rows = ogg.read_packets(spark.createDataFrame([(1, bytearray(media))], "id long, media binary")).collect()
+    assert [(r["link"], bytes(r["data"])) for r in rows] == [(0, b"head"), (0, b"first"), (1, b"head"), (1, b"second")]
+
+
 def test_known_codecs():
     assert ogg.granule_rate(b"OpusHead\x01\x02" + struct.pack("<H", 312)) == ("opus", 48000, 312)
     assert ogg.granule_rate(b"\x01vorbis" + struct.pack("<IBI", 0, 2, 44100) + bytes(8))[:2] == ("vorbis", 44100)
@@ -139,8 +145,33 @@ def test_mix_of_odd_rows(odd, empty):
     assert mixing.apply_mix(odd).columns == odd.columns
 
 
+def test_applied_mix_takes_what_the_plan_says(spark):
+    """Repeated rows, null ids and clashing columns: every text as many words as the query says, on any run."""
+    draw = np.random.default_rng(4)
+    rows = [(None if i % 7 == 0 else i % 20, " ".join(["w"] * int(draw.integers(0, 9)) + [f"t{i % 30}"]), "abc"[i % 3] if i % 5 else None) for i in range(300)]
+    rows += [(1, "same row here", "c")] * 200 + [(2, None, "a"), (3, " ", "b")]
+    docs = documents(spark, rows)
+    taken, count = {}, {}
+    for r in mixing.mixed(docs, (1.0, 2.0, 3.0), 3, 17).collect():
+        taken[r["key"]] = taken.get(r["key"], 0) + r["taken"]
+    found = mixing.apply_mix(docs)
+    for r in found.withColumn("k", mixing.row_key()).select("k", F.regexp_count("text", F.lit(mixing.WORD)).alias("n")).collect():
+        count[r["k"]] = count.get(r["k"], 0) + r["n"]
+    assert count == {k: n for k, n in taken.items() if n} and found.columns == docs.columns
+    words = {}
+    for r in mixing.mix_sources(docs).collect():
+        words.setdefault(r["source"], [r["target"], 0])[1] += r["taken"]
+    assert all(abs(target - got) <= 1 for target, got in words.values())
+
+
 # ---- Packing ----
 
+def test_little_padding():
+    tokens = np.random.default_rng(5).integers(1, 3000, 800)
+    pieces = packing.pack_group(tokens)
+    assert len({p[3] for p in pieces}) <= -(-int(tokens.sum()) // 4096) * 1.02 + 1
+
+
 def test_first_fit_decreasing_matches_plain():
     draw = np.random.default_rng(3)
     sizes = np.sort(draw.integers(1, 4096, 500))[::-1]
