@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import analytics, detection, enrichment, learning, scalars, streams, structure  # noqa: F401  (they register their queries)
+from .plans import analytics, detection, enrichment, learning, scalars, streams, structure, supply  # noqa: F401  (they register their queries)
 from .registry import QUERIES, SQL
 
 

@@ -13,6 +13,19 @@ from ..functions.text import any_match, basename, contains_any, entropy, first_l
 Rules = dict[str, tuple[str, str, float, list[str]]]
 
 
+def rule_matches(rules: Rules, content: str = "content") -> Column:
+    """An array of (rule, pattern_index, pattern, severity, matches, confidence) of all patterns that match."""
+    rows = []
+    for rule, (severity, _, threshold, patterns) in rules.items():
+        for i, pattern in enumerate(patterns):
+            n = matches(content, f"(?i){pattern}")
+            rows.append(F.struct(
+                F.lit(rule).alias("rule"), F.lit(i).cast("long").alias("pattern_index"), F.lit(pattern).alias("pattern"), F.lit(severity).alias("severity"),
+                n.cast("long").alias("matches"), F.least(F.lit(0.95), F.lit(threshold) + 0.1 * n).alias("confidence"),
+            ))
+    return F.filter(F.array(*rows), lambda r: r["matches"] > 0)
+
+
 def rule_hits(files: DataFrame, rules: Rules, content: str = "content", keep: list[str] | None = None) -> DataFrame:
     """A row per file, rule and pattern that matches (J1), and one per rule with several matching patterns.
 
@@ -20,17 +33,7 @@ def rule_hits(files: DataFrame, rules: Rules, content: str = "content", keep: li
     join and no shuffle.
     """
     keep = keep or [c for c in files.columns if c != content]
-    rows, groups = [], []
-    for rule, (severity, _, threshold, patterns) in rules.items():
-        own = [matches(content, f"(?i){p}") for p in patterns]
-        for i, (pattern, n) in enumerate(zip(patterns, own, strict=True)):
-            rows.append(F.struct(
-                F.lit(rule).alias("rule"), F.lit(i).cast("long").alias("pattern_index"), F.lit(pattern).alias("pattern"), F.lit(severity).alias("severity"),
-                n.cast("long").alias("matches"), F.least(F.lit(0.95), F.lit(threshold) + 0.1 * n).alias("confidence"),
-            ))
-    hits = files.select(*keep, F.filter(F.array(*rows), lambda r: r["matches"] > 0).alias("hits_"))
-    hits = hits.where(F.size("hits_") > 0).select(*keep, F.explode("hits_").alias("hit_")).select(*keep, "hit_.*")
-    return hits
+    return files.select(*keep, F.explode(rule_matches(rules, content)).alias("hit_")).select(*keep, "hit_.*")
 
 
 def rule_groups(files: DataFrame, rules: Rules, content: str = "content", keep: list[str] | None = None) -> DataFrame:

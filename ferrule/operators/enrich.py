@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -41,9 +42,10 @@ def dependency_checks(deps: DataFrame, name: str = "name", version: str = "versi
     n, v = F.lower(F.col(name)), F.col(version)
     made = lambda hit, kind, severity, confidence: F.when(hit, F.struct(F.lit(kind).alias("finding"), F.lit(severity).alias("severity"), F.lit(confidence).alias("confidence")))
     found = F.array(
+        made(contains_any(n, fixed.DEPENDENCY_KEYWORDS), "suspicious_keyword", "MEDIUM", 0.7),
         made(contains_any(n, fixed.SUSPICIOUS_NAME_WORDS), "suspicious_name", "HIGH", 0.8),
         made(v.rlike(r"http://|git://|file://"), "suspicious_version", "HIGH", 0.8),
-        made((v == "*") | v.startswith("^0.") | v.startswith("~0."), "permissive_version", "MEDIUM", 0.6),
+        made(v.startswith("*") | v.startswith("^0.") | v.startswith("~0."), "permissive_version", "MEDIUM", 0.6),
     )
     return deps.select("*", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("f_")).select(*deps.columns, "f_.*")
 
@@ -85,19 +87,25 @@ ANOMALY_MEASURES = {"script_count": (0.001, None), "script_length": (1.0, 3.0),
 def cross_package_anomaly(packages: DataFrame, group: str) -> DataFrame:
     """Mean absolute z-score against the *other* packages of the group, thirds, capped at 1.
 
-    Means and deviations without a row's own value come from the group's sums and squares, so there is no self-join.
+    Means and deviations without a row's own value come from the group's mean and centred squares, which Spark
+    merges from partial ones, so there is no self-join and no loss of digits.  A package without others of its
+    group is held against three typical ones.  Missing measures are 0.
     """
-    sums = packages.groupBy(F.col(group).alias("g_")).agg(F.count("*").alias("n_"), *[x for m in ANOMALY_MEASURES for x in (F.sum(F.col(m).cast("double")).alias(f"s_{m}"), F.sum(F.col(m).cast("double") * F.col(m)).alias(f"q_{m}"))])
-    joined = packages.join(sums, F.col(group) == F.col("g_"))
-    others = F.col("n_") - 1
-    scores = []
+    own = {m: F.coalesce(F.col(m).cast("double"), F.lit(0.0)) for m in ANOMALY_MEASURES}
+    sums = packages.groupBy(F.col(group).alias("g_")).agg(F.count("*").alias("n_"), *[x for m, v in own.items() for x in (F.avg(v).alias(f"a_{m}"), F.var_pop(v).alias(f"v_{m}"))])
+    joined = packages.join(sums, F.col(group).eqNullSafe(F.col("g_")))
+    lone, others, scores = F.col("n_") == 1, F.col("n_") - 1, []
     for m, (none, cap) in ANOMALY_MEASURES.items():
-        mean = (F.col(f"s_{m}") - F.col(m)) / others
-        variance = F.greatest(F.lit(0.0), (F.col(f"q_{m}") - F.col(m).cast("double") * F.col(m)) / others - mean * mean)
-        z = F.abs(F.col(m) - mean) / F.when(variance > 0, F.sqrt(variance)).otherwise(none)
+        typical = [float(p[m]) for p in fixed.TYPICAL_PACKAGES]
+        usual = sum(typical) / len(typical)
+        spread = sum((x - usual) ** 2 for x in typical) / len(typical)
+        off = own[m] - F.col(f"a_{m}")
+        mean = F.when(lone, usual).otherwise(F.col(f"a_{m}") - off / others)
+        variance = F.when(lone, spread).otherwise(F.greatest(F.lit(0.0), (F.col(f"v_{m}") * F.col("n_") - off * off) / others - off * off / others / others))
+        z = F.abs(own[m] - mean) / F.when(variance > 1e-12, F.sqrt(variance)).otherwise(none)
         scores.append(F.least(F.lit(cap), z) if cap else z)
     total = reduce(lambda a, b: a + b, scores)
-    return joined.where("n_ > 1").select(*packages.columns, F.round(F.least(F.lit(1.0), total / len(scores) / 3), 6).alias("cross_package_anomaly"))
+    return joined.select(*packages.columns, F.round(F.least(F.lit(1.0), total / len(scores) / 3), 6).alias("cross_package_anomaly"))
 
 
 def behavioral_counts(content: str = "content") -> list[Column]:
@@ -114,8 +122,12 @@ def behavioral_anomaly(has_postinstall: Column, postinstall_length: Column, scri
 def nlp_scores(docs: DataFrame, text: str, keywords: list[str] | None = None, phrases: list[str] | None = None, negative: list[str] | None = None) -> DataFrame:
     """Security keywords, distinct phrases, sentiment and score of texts."""
     keywords, phrases, negative = keywords or fixed.SECURITY_KEYWORDS, phrases or fixed.SUSPICIOUS_PHRASES, negative or fixed.NEGATIVE_WORDS
-    count = reduce(lambda a, b: a + b, [matches(text, word_boundary(rf"(?i)\b{k}\b")) for k in keywords])
-    found = F.array_distinct(F.filter(F.array(*[F.trim(F.regexp_extract(text, f"(?i){p}", 0)) for p in phrases]), lambda x: x != ""))
+    # Whole words exclude each other, so one pass counts them all; phrases are looked up where any occurs.
+    single, others = [k for k in keywords if re.fullmatch(r"[A-Za-z0-9_]+", k)], [k for k in keywords if not re.fullmatch(r"[A-Za-z0-9_]+", k)]
+    counts = [matches(text, f"(?i)(?<![A-Za-z0-9_])(?:{'|'.join(single)})(?![A-Za-z0-9_])")] if single else []
+    count = reduce(lambda a, b: a + b, [*counts, *[matches(text, word_boundary(rf"(?i)\b{k}\b")) for k in others]], F.lit(0))
+    each = F.array(*[F.trim(F.regexp_extract(text, f"(?i){p}", 0)) for p in phrases])
+    found = F.when(F.col(text).rlike("(?i)" + "|".join(f"(?:{p})" for p in phrases)), F.array_distinct(F.filter(each, lambda x: x != ""))).otherwise(F.array().cast("array<string>"))
     mood = reduce(lambda a, b: a + b, [F.when(F.lower(text).contains(w), 0.1).otherwise(0.0) for w in negative])
     out = docs.withColumn("keyword_count", count.cast("long")).withColumn("phrases", F.array_sort(found))
     score = F.least(F.lit(1.0), (F.least(F.lit(1.0), F.col("keyword_count") * 0.1) + F.least(F.lit(1.0), F.size("phrases") * 0.2)) / 2)

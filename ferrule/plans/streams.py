@@ -2,34 +2,49 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..registry import query, table
+from ..session import shared_folder
 from ..streaming import state
 
 
-def stream_of(spark, d, *columns):
-    """The event table as a stream of files."""
+def stream_of(spark, d, *columns, files_per_batch: int | None = None):
+    """The event table as a stream of files: a file of that name, or all files of a folder of that name."""
     schema = table(spark, d, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).select(*columns)
+    reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    # A stream reads folders; the pattern matches the one file or the folder alike.
+    return reader.parquet(f"{d}/events.parque[t]").select(*columns)
 
 
 def folder(spark) -> str:
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='stream')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
-def written(spark, stream, mode: str):
-    """What the stream has written when all is read, from a folder that the cluster shares."""
+def written(spark, stream, mode: str, key: str | None = None):
+    """What the stream has written when all is read, from a folder that the cluster shares.
+
+    In update mode every batch's changes are kept under its number, and the last of each ``key`` counts.
+    """
     out = folder(spark)
+    writer = stream.writeStream.option("checkpointLocation", f"{out}/check").outputMode(mode).trigger(availableNow=True)
     if mode == "append":
-        q = stream.writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/check").outputMode(mode).trigger(availableNow=True).start()
+        q = writer.format("parquet").option("path", f"{out}/data").start()
+    elif mode == "complete":
+        q = writer.foreachBatch(lambda rows, n: rows.write.mode("overwrite").parquet(f"{out}/data")).start()
     else:
-        q = stream.writeStream.foreachBatch(lambda rows, n: rows.write.mode("overwrite").parquet(f"{out}/data")).option("checkpointLocation", f"{out}/check").outputMode(mode).trigger(availableNow=True).start()
+        q = writer.foreachBatch(lambda rows, n: rows.write.mode("overwrite").parquet(f"{out}/data/batch={n}")).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{out}/data")
+    if mode != "update":
+        return spark.read.schema(stream.schema).parquet(f"{out}/data")
+    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{out}/data")
+    others = [c for c in stream.columns if c != key]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*others), "batch").alias("last_")).select(key, *[f"last_.{c}" for c in others])
 
 
 @query("daily_trend", "SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*)::BIGINT AS n FROM events GROUP BY ALL")
@@ -60,4 +75,4 @@ SELECT l.user_id, round(least(1.0, CASE WHEN last_set IS NULL THEN 0.8 WHEN e.ki
 def stream_trust(spark, d):
     """Trust folded over the stream."""
     rows = stream_of(spark, d, "user_id", "event_type", "value", "event_id").select("user_id", F.expr(TRUST).alias("kind"), "event_id")
-    return written(spark, state.trust_updates(rows, "user_id", "kind", "event_id"), "update")
+    return written(spark, state.trust_updates(rows, "user_id", "kind", "event_id"), "update", "user_id")

@@ -43,6 +43,8 @@ def html_report(threats: DataFrame, title: str, most: int = 1000) -> str:
     """A page with the gravest threats (S25), at most ``most`` of them."""
     counts = " ".join(f"<li>{html.escape(r['severity'])}: {r['n']}</li>" for r in threats.groupBy("severity").agg(F.count("*").alias("n")).orderBy("severity").collect())
     body = "".join(f"<tr><td>{html.escape(str(r['severity']))}</td><td>{html.escape(str(r['type']))}</td><td>{html.escape(str(r['package']))}</td></tr>" for r in rows_of(threats, most))
+    left = max(0, threats.count() - most)
+    body += f"<tr><td colspan=3>and {left} more</td></tr>" if left else ""
     return f"<!doctype html><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1><ul>{counts}</ul><table>{body}</table>"
 
 
@@ -50,7 +52,9 @@ def markdown_report(threats: DataFrame, title: str, most: int = 1000) -> str:
     """The same as Markdown."""
     cell = lambda x: str(x).replace("\n", " ").replace("|", "\\|")
     lines = [f"# {cell(title)}", "", "| Severity | Type | Package |", "|-|-|-|"]
-    return "\n".join(lines + [f"| {cell(r['severity'])} | {cell(r['type'])} | {cell(r['package'])} |" for r in rows_of(threats, most)])
+    lines += [f"| {cell(r['severity'])} | {cell(r['type'])} | {cell(r['package'])} |" for r in rows_of(threats, most)]
+    left = max(0, threats.count() - most)
+    return "\n".join(lines + ([f"| and {left} more | | |"] if left else []))
 
 
 def signature(payload: bytes, secret: bytes) -> str:

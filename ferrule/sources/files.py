@@ -26,7 +26,7 @@ def ignore_patterns(lines: DataFrame) -> DataFrame:
 
 
 def source_files(spark: SparkSession, root: str, depth: int = 5, ignored: list[str] | None = None) -> DataFrame:
-    """(file_path, content, length) of scannable files at most ``depth`` folders down (S1, S4); unreadable ones are left out."""
+    """(file_path, content, length) of scannable files in the ``depth`` levels of folders from the root on, which is the first (S1, S4); unreadable ones are left out."""
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(SUFFIXES) + "}")
         .option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).load(root)
@@ -35,7 +35,7 @@ def source_files(spark: SparkSession, root: str, depth: int = 5, ignored: list[s
     parts = F.split("file_path", "/")
     skipped = SKIPPED + list(ignored or [])
     found = files.select(relative.alias("file_path"), "length", F.decode("content", "UTF-8").alias("content"))
-    return found.where((F.size(parts) <= depth + 1) & ~F.exists(parts, lambda x: x.isin(skipped)))
+    return found.where((F.size(parts) <= depth) & ~F.exists(parts, lambda x: x.isin(skipped)))
 
 
 def manifests(spark: SparkSession, root: str, depth: int = 5, most: int = 50) -> DataFrame:

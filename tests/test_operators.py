@@ -141,3 +141,72 @@ def test_windows(spark):
     events = spark.createDataFrame([("u", f"2024-01-01 00:00:{s:02d}", i) for i, s in enumerate((0, 1, 2, 30, 31))], "u string, t string, i long").withColumn("t", F.col("t").cast("timestamp"))
     assert [r["n"] for r in windows.gap_batches(events, ["u"], "t", 10_000, 2, "i").orderBy("first_ts").collect()] == [2, 1, 2]
     assert [r["in_window"] for r in windows.trailing_count(events, ["u"], "t", 5).orderBy("i").collect()] == [1, 2, 3, 1, 2]
+
+
+def test_plugin_messages(spark):
+    def plugin(content, file_id):
+        raise ValueError("no such thing")
+
+    source = spark.createDataFrame([(1, "a")], "file_id long, content string")
+    assert rows(plugins.run_plugin(source, plugin, messages=True)) == [(1, "ANALYSIS_ERROR", "LOW", 0.0, "ValueError: no such thing")]
+
+
+def test_deep_chains_and_cycles(spark):
+    n = 30
+    nodes = spark.createDataFrame([(str(i), 1.0 if i == 0 else 0.0) for i in range(n)] + [("x", 0.5), ("y", 0.1)], "node string, base double")
+    edges = spark.createDataFrame([(str(i), str(i + 1)) for i in range(n - 1)] + [("x", "y"), ("y", "x")], "parent string, child string")
+    found = {r["node"]: r["risk"] for r in graph.propagate_risk(nodes, edges).collect()}
+    assert all(found[str(i)] == pytest.approx(0.85**i) for i in range(n))
+    assert found["x"] == 0.5 and found["y"] == pytest.approx(0.425)
+    assert graph.highest_risk(graph.propagate_risk(nodes, edges)).first()["risk"] == 1.0
+    direct = spark.createDataFrame([(str(i), 1.0 if i == n - 1 else None) for i in range(n)] + [("x", None), ("y", None)], "node string, direct double")
+    trust = {r["node"]: r["trust"] for r in graph.transitive_trust(direct, edges).collect()}
+    assert all(trust[str(i)] == pytest.approx(0.3 ** (n - 1 - i)) for i in range(n)) and trust["x"] == trust["y"] == 0.0
+
+
+def test_lone_packages_are_held_against_typical_ones(spark):
+    made = spark.createDataFrame([("a", "g", 4.0, 600.0, 19 / 3, 0.3), ("b", "h", 40.0, 6e7, 60.0, 1.0), ("c", "i", 1e8, 1e8, 1e8, 1.0), ("d", "i", 1e8 + 1, 1e8, 1e8, 1.0), ("e", "i", 1e8 + 3, 1e8, 1e8, 1.0)], "p string, g string, script_count double, script_length double, dependency_count double, entropy_score double")
+    found = {r["p"]: r["cross_package_anomaly"] for r in enrich.cross_package_anomaly(made, "g").collect()}
+    assert found["a"] == 0.0 and found["b"] == 1.0
+    assert found["c"] == pytest.approx(2.0 / 4 / 3, abs=1e-5)  # mean 2 above, deviation 1: no digits lost
+
+
+@pytest.mark.parametrize("version, wanted, loose, strict", [
+    ("1.2.3", "^1.0.0", True, True), ("2.0.0", "^1.0.0", True, False), ("0.3.0", "^0.2.1", True, False), ("0.2.9", "^0.2.1", True, True), ("1.2.9", "~1.2.3", True, True), ("1.3.0", "~1.2.3", True, False),
+    ("1.2.3", "1.2.4", True, False), ("9.9.9", "<0.0.0", False, False), ("1.0.0", ">=1.0.0 <2.0.0", True, True), ("2.0.0", ">=1.0.0 <2.0.0", False, False), ("1.0.0", "*", True, True),
+])
+def test_range_dialects(spark, version, wanted, loose, strict):
+    one = spark.range(1)
+    assert one.select(versions.in_range(F.lit(version), F.lit(wanted)), versions.in_range(F.lit(version), F.lit(wanted), semver=True)).first() == (loose, strict)
+
+
+def test_levels_of_folders(spark, tmp_path):
+    for k in range(4):
+        (tmp_path / "/".join("abc"[:k])).mkdir(parents=True, exist_ok=True)
+        (tmp_path / "/".join([*"abc"[:k], f"f{k}.js"])).write_text("x")
+    found = sorted(r["file_path"] for r in files.source_files(spark, str(tmp_path), depth=2).collect())
+    assert found == ["a/f1.js", "f0.js"]
+
+
+def test_updates_of_several_batches(spark, tmp_path):
+    from ferrule.plans import streams
+    from ferrule.streaming import state
+
+    table = tmp_path / "events.parquet"
+    for k, ids in enumerate([[1, 2], [2, 3], [4]]):
+        spark.createDataFrame([(10 * k + i, u, "ok") for i, u in enumerate(ids)], "event_id long, user_id long, kind string").coalesce(1).write.mode("append").parquet(str(table))
+    stream = streams.stream_of(spark, str(tmp_path), "user_id", "kind", "event_id", files_per_batch=1)
+    found = streams.written(spark, state.trust_updates(stream, "user_id", "kind", "event_id"), "update", "user_id")
+    assert {r["user_id"]: r["trust"] for r in found.collect()} == {1: 0.8, 2: 0.9, 3: 0.8, 4: 0.8}
+
+
+def test_advisory_json(spark):
+    from ferrule.operators import advisories
+
+    record = {"id": "CVE-1", "descriptions": [{"lang": "en", "value": "A flaw in axios before 1.0.0"}], "metrics": {"cvssMetricV30": [{"cvssData": {"baseScore": 7.5, "baseSeverity": "high"}}], "cvssMetricV2": [{"cvssData": {"baseScore": 1.0, "baseSeverity": "LOW"}}]}}
+    found = advisories.cves(spark.createDataFrame([(json.dumps(record),), ("{broken",), (json.dumps({"id": "CVE-2"}),)], "value string")).orderBy("id").collect()
+    assert [(r["id"], r["severity"], r["cvss_version"], r["base_score"]) for r in found] == [("CVE-1", "HIGH", "3.0", 7.5), ("CVE-2", "MEDIUM", None, None)]
+    about = lambda text, name: spark.range(1).select(advisories.about_package(F.lit(text), F.array().cast(f"array<{advisories.MATCH}>"), F.lit(name))).first()[0]
+    assert about("A flaw in axios", "axios") and not about("nothing of it", "axios")
+    assert not about("uses glob to list", "glob") and about("the glob package is open", "glob")
+    assert not about("Midnight Commander up to; npm commander", "commander") and not about("of package shiba with js-yaml", "js-yaml")
