@@ -20,9 +20,72 @@ def word_boundary(pattern: str) -> str:
     return pattern.replace(r"\b", edge)
 
 
+def required_text(pattern: str) -> str:
+    """The longest plain text that every match of a pattern holds, as far as that is easily seen; else an empty one.
+
+    Groups, classes and escapes of kinds of characters are passed over; a choice at the top has no such text.
+    """
+    best, run, i = "", "", 0
+    while i < len(pattern):
+        c, kept, own = pattern[i], False, ""
+        if c == "|":
+            return ""
+        if c == "\\":
+            nxt = pattern[i + 1 : i + 2]
+            if nxt.isalnum() and nxt not in "sSdDwWbBntr":
+                return ""
+            own = "" if nxt.isalnum() else nxt
+            i += 2
+        elif c == "[":
+            i += 2 if pattern[i + 1 : i + 2] in ("]", "\\") else 1
+            while i < len(pattern) and pattern[i] != "]":
+                i += 2 if pattern[i] == "\\" else 1
+            i += 1
+        elif c == "(":
+            depth = 0
+            while i < len(pattern):
+                if pattern[i] == "\\":
+                    i += 1
+                elif pattern[i] == "[":
+                    i += 1
+                    while i < len(pattern) and pattern[i] != "]":
+                        i += 2 if pattern[i] == "\\" else 1
+                else:
+                    depth += (pattern[i] == "(") - (pattern[i] == ")")
+                i += 1
+                if not depth:
+                    break
+        else:
+            own = "" if c in ".^$" else c
+            i += 1
+        follow = pattern[i : i + 1]
+        if follow in ("*", "?", "{"):
+            own = ""
+            i = pattern.index("}", i) + 1 if follow == "{" else i + 1
+        elif follow == "+":
+            kept = True
+            i += 1
+        if pattern[i : i + 1] in ("?", "+") and follow in ("*", "?", "{", "+") and follow:
+            i += 1  # lazy or possessive
+        run = run + own if own else ""
+        best = max(best, run, key=len)
+        if kept:
+            run = ""
+    return best
+
+
+def may_match(text: Column, pattern: str) -> Column | None:
+    """A cheap test that holds wherever the pattern matches, or none."""
+    plain = required_text(pattern.removeprefix("(?i)"))
+    if not plain or not plain.isascii() or "(?" in pattern.removeprefix("(?i)")[:2]:
+        return None
+    return F.lower(text).contains(plain.lower()) if pattern.startswith("(?i)") else text.contains(plain)
+
+
 def matches(text: str | Column, pattern: str) -> Column:
-    """How often a pattern occurs; 0 for null."""
-    return F.coalesce(F.regexp_count(col(text), F.lit(pattern)), F.lit(0))
+    """How often a pattern occurs; 0 for null.  Texts without the plain text that it asks for are not searched."""
+    count, gate = F.regexp_count(col(text), F.lit(pattern)), may_match(col(text), pattern)
+    return F.coalesce(count if gate is None else F.when(gate, count), F.lit(0))
 
 
 def total_matches(text: str | Column, patterns: list[str]) -> Column:

@@ -14,18 +14,21 @@ Rules = dict[str, tuple[str, str, float, list[str]]]
 
 
 def rule_matches(rules: Rules, content: str = "content") -> Column:
-    """An array of (rule, pattern_index, pattern, severity, matches, confidence) of all patterns that match."""
+    """An array of (rule, pattern_index, pattern, severity, threshold, matches) of all patterns that match."""
     rows = []
     for rule, (severity, _, threshold, patterns) in rules.items():
         for i, pattern in enumerate(patterns):
-            n = matches(content, f"(?i){pattern}")
             rows.append(F.struct(
                 F.lit(rule).alias("rule"), F.lit(i).cast("long").alias("pattern_index"), F.lit(pattern).alias("pattern"), F.lit(severity).alias("severity"),
-                n.cast("long").alias("matches"), F.least(F.lit(0.95), F.lit(threshold) + 0.1 * n).alias("confidence"),
+                F.lit(threshold).alias("threshold"), matches(content, f"(?i){pattern}").cast("long").alias("matches"),
             ))
     return F.filter(F.array(*rows), lambda r: r["matches"] > 0)
 
 
+def rule_confidence(hit: Column) -> Column:
+    return F.least(F.lit(0.95), hit["threshold"] + 0.1 * hit["matches"])
+
+
 def rule_hits(files: DataFrame, rules: Rules, content: str = "content", keep: list[str] | None = None) -> DataFrame:
     """A row per file, rule and pattern that matches (J1), and one per rule with several matching patterns.
 
@@ -33,7 +36,9 @@ def rule_hits(files: DataFrame, rules: Rules, content: str = "content", keep: li
     join and no shuffle.
     """
     keep = keep or [c for c in files.columns if c != content]
-    return files.select(*keep, F.explode(rule_matches(rules, content)).alias("hit_")).select(*keep, "hit_.*")
+    # Exploded with its nulls: for a plain one Spark would put a filter on the array's size first and match everything twice.
+    hits = files.select(*keep, F.explode_outer(rule_matches(rules, content)).alias("hit_")).where("hit_ IS NOT NULL")
+    return hits.select(*keep, *[f"hit_.{c}" for c in ("rule", "pattern_index", "pattern", "severity", "matches")], rule_confidence(F.col("hit_")).alias("confidence"))
 
 
 def rule_groups(files: DataFrame, rules: Rules, content: str = "content", keep: list[str] | None = None) -> DataFrame:

@@ -211,8 +211,8 @@ def scan_risk_ranking(spark, d):
 
     files = spread(table(spark, d, "documents")).select("source", F.coalesce("text", F.lit("")).alias("content"))
     shaped = F.when(F.col("structure_score") > 0, F.array(F.struct(F.lit("MALICIOUS_CODE_STRUCTURE").alias("type"), F.lit("HIGH").alias("severity"), (F.col("structure_score") / 100.0).alias("confidence"))))
-    ruled = F.transform("hits_", lambda h: F.struct(F.concat(F.lit("ENHANCED_RULE_"), F.upper(h["rule"])).alias("type"), h["severity"].alias("severity"), F.round(h["confidence"], 6).alias("confidence")))
+    ruled = F.transform("hits_", lambda h: F.struct(F.concat(F.lit("ENHANCED_RULE_"), F.upper(h["rule"])).alias("type"), h["severity"].alias("severity"), F.round(detect.rule_confidence(h), 6).alias("confidence")))
     # Structure and rules are read off in one pass over the texts.
     found = detect.structure_score(files.withColumn("hits_", detect.rule_matches(TEXT_RULES)))
-    threats = found.select("source", F.explode(F.concat(F.coalesce(shaped, F.array().cast(THREAT)), ruled)).alias("t")).select("source", "t.*")
+    threats = found.select("source", F.explode_outer(F.concat(F.coalesce(shaped, F.array().cast(THREAT)), ruled)).alias("t")).where("t IS NOT NULL").select("source", "t.*")
     return risk.composite_risk(threats, ["source"]).orderBy(F.desc("overall"), "source").limit(50)

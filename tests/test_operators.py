@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ferrule import fixed
 from ferrule.functions import versions
-from ferrule.functions.text import entropy, first_line, word_boundary
+from ferrule.functions.text import entropy, first_line, required_text, word_boundary
 from ferrule.operators import detect, enrich, graph, learn, plugins, relate, report, risk, windows
 from ferrule.sinks import reports
 from ferrule.sources import files, rules
@@ -210,3 +210,15 @@ def test_advisory_json(spark):
     assert about("A flaw in axios", "axios") and not about("nothing of it", "axios")
     assert not about("uses glob to list", "glob") and about("the glob package is open", "glob")
     assert not about("Midnight Commander up to; npm commander", "commander") and not about("of package shiba with js-yaml", "js-yaml")
+
+
+def test_required_text_is_in_every_match():
+    import re
+
+    for pattern, plain in {"idiot": "idiot", r"[a-z]+@[a-z.]+": "@", r"ab*c": "a", r"(?:x|y)eval\s*\(": "eval", r"a|b": "", r"\+[0-9]+ \(": " (", r"x{2}yz": "yz", r"ab+?c": "ab", r"\x41b": ""}.items():
+        assert required_text(pattern) == plain
+    every = [p for _, _, _, ps in fixed.RULES.values() for p in ps] + fixed.UTILITY + fixed.SERVER + fixed.TESTING + fixed.BLOCKCHAIN + fixed.SHADER + fixed.REACT
+    samples = " ".join(every).replace("\\s*", "").replace("\\s+", " ").replace("\\", "")
+    for pattern in every:
+        for m in re.finditer(pattern, samples):
+            assert required_text(pattern) in m[0]
