@@ -23,7 +23,7 @@ from .training import labelled, sample
 BITS, WIDTH, DIM, FILTERS, SIZES = 18, 1 << 18, 8, 12, (1, 2, 3)
 THRESHOLD = 0.3
 #: Labelled rows of each class that fit a model, and rows of each language that fit the one of languages.
-PER_CLASS, PER_LANGUAGE = 3000, 250
+PER_CLASS, PER_LANGUAGE = 3000, 100
 #: Letters of a word's second embedding, updates of the weights, and texts of an update.
 STEM, STEPS, BATCH = 5, 600, 64
 #: Toxic rows of a language that weigh as much as all languages together in its threshold.
