@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -114,9 +117,67 @@ def oversample(rows: DataFrame, label: str, key: str, seed: int = 42) -> DataFra
     return rows.join(plan, F.col(label) == F.col("l_")).withColumn("copy_", F.explode(F.sequence(F.lit(1), (F.floor(factor) + extra).cast("int")))).select(*rows.columns)
 
 
-def train_trees(rows: DataFrame, features: list[str], label: str, trees: int = 20, depth: int = 4, seed: int = 42):
-    """Gradient-boosted trees over columns (M5); missing values count as 0."""
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features_"), GBTClassifier(featuresCol="features_", labelCol=label, maxIter=trees, maxDepth=depth, seed=seed)]).fit(rows.fillna(0.0, features))
+def train_trees(rows: DataFrame, features: list[str], label: str, trees: int = 20, depth: int = 4, seed: int = 42, weight: str | None = None):
+    """Gradient-boosted trees over columns (M5); missing values count as 0, and ``weight`` names the rows' weights."""
+    boosted = GBTClassifier(featuresCol="features_", labelCol=label, maxIter=trees, maxDepth=depth, seed=seed)
+    if weight:
+        boosted = boosted.setWeightCol(weight)
+    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features_"), boosted]).fit(rows.fillna(0.0, features))
+
+
+def class_weights(rows: DataFrame, label: str, name: str = "weight") -> DataFrame:
+    """Rows with a weight (M5): negatives to positives for label 1, else 1; all 1 where a class is missing."""
+    counts = rows.agg(F.count_if(F.col(label) == 0).alias("neg_"), F.count_if(F.col(label) == 1).alias("pos_"))
+    ratio = F.when((F.col(label) == 1) & (F.col("neg_") > 0) & (F.col("pos_") > 0), F.col("neg_") / F.col("pos_")).otherwise(1.0)
+    return rows.crossJoin(F.broadcast(counts)).withColumn(name, ratio).drop("neg_", "pos_")
+
+
+def search_trees(rows: DataFrame, features: list[str], label: str, depths: list[int], trees: list[int], folds: int = 3, seed: int = 42):
+    """The best of a grid of boosted trees by cross-validated area under the curve (M5)."""
+    boosted = GBTClassifier(featuresCol="features_", labelCol=label, seed=seed)
+    grid = ParamGridBuilder().addGrid(boosted.maxDepth, depths).addGrid(boosted.maxIter, trees).build()
+    ready = VectorAssembler(inputCols=features, outputCol="features_").transform(rows.fillna(0.0, features))
+    return CrossValidator(estimator=boosted, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(labelCol=label), numFolds=folds, seed=seed).fit(ready)
+
+
+def train_calibration(scored: DataFrame, label: str, raw: str = "rawPrediction"):
+    """A sigmoid over a model's margin (M5), fitted on rows that the model hasn't seen; gives the column ``calibrated_``."""
+    sigmoid = LogisticRegression(featuresCol="margin_", labelCol=label, probabilityCol="calibrated_", rawPredictionCol="calibrated_raw_", predictionCol="calibrated_prediction_")
+    return sigmoid.fit(with_margin(scored, raw))
+
+
+def with_margin(scored: DataFrame, raw: str = "rawPrediction") -> DataFrame:
+    return scored.withColumn("margin_", array_to_vector(F.slice(vector_to_array(raw), 2, 1)))
+
+
+def gates(measured: DataFrame, least: dict[str, float], positives: str = "positives") -> DataFrame:
+    """Metrics with ``failed``, the names of the gates that they miss (M8), and ``skipped``.
+
+    Precision and recall have no meaning without a positive row, so their gates are then skipped; a metric that is null misses none.
+    """
+    some = F.col(positives) > 0
+    checks = [F.when((F.col(k) < v) & (some if k in ("precision", "recall") else F.lit(True)), k) for k, v in sorted(least.items())]
+    skipped = [F.when(~some, k) for k in sorted(least) if k in ("precision", "recall")]
+    none = F.array().cast("array<string>")
+    kept = lambda xs: F.filter(F.array(*xs), lambda x: x.isNotNull()) if xs else none
+    return measured.withColumn("failed", kept(checks)).withColumn("skipped", kept(skipped))
+
+
+def importances(model, features: list[str]) -> dict[str, float]:
+    """Each feature's importance in a fitted model of trees, or in the last stage of a pipeline (M11); one number a feature."""
+    return dict(zip(features, map(float, getattr(model, "stages", [model])[-1].featureImportances.toArray()), strict=True))
+
+
+def reasons(importance: dict[str, float], said: dict[str, str], n: int = 5) -> Column:
+    """The features of most importance with a row's values in words, ``name=0.00: reason`` (M11); features without importance give none."""
+    top = [k for k in sorted(importance, key=lambda k: -importance[k])[:n] if importance[k] > 0]
+    line = lambda k: F.concat(F.format_string(f"{k}=%.2f", F.coalesce(F.col(k).cast("double"), F.lit(0.0))), F.lit(f": {said[k]}" if k in said else ""))
+    return F.array(*[line(k) for k in top]) if top else F.array().cast("array<string>")
+
+
+def other_schemas(models: DataFrame, version: str, expected: int) -> DataFrame:
+    """Models built for another version of the features (M13); those that name none pass."""
+    return models.where(F.col(version).isNotNull() & (F.col(version) != expected))
 
 
 def train_stacker(rows: DataFrame, first: str, second: str, label: str):

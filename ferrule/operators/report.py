@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import fixed
+from ..functions.text import contains_any
 from .detect import is_config_file, is_test_file
 
 BASE32 = "abcdefghijklmnopqrstuvwxyz234567"
@@ -40,6 +42,31 @@ def code_type(files: DataFrame, path: str) -> DataFrame:
     return files.select(path, F.when(is_test_file(p), "test").when(is_config_file(p), "config").when(p.rlike(r"\.(js|ts|jsx|tsx)$"), "source").otherwise("other").alias("code_type"))
 
 
+def code_confidence(path: Column, own: Column, custom: list[str] | None = None, strict: bool = False) -> Column:
+    """(own, test, confidence) of a path (P5): own code 100, a test 90, a custom part of a path 80, else 0.
+
+    Strictly, anything under 95 counts as neither.  ``own`` is the caller's predicate, such as ``own_code``.
+    """
+    mine, test = F.coalesce(own, F.lit(False)), F.coalesce(is_test_file(path), F.lit(False))
+    marked = F.coalesce(contains_any(path, custom), F.lit(False)) if custom else F.lit(False)
+    sure = F.when(mine, 100).when(test, 90).when(marked, 80).otherwise(0)
+    keep = (sure >= 95) if strict else F.lit(True)
+    return F.struct((mine & keep).alias("own"), (test & keep).alias("test"), F.when(keep, sure).otherwise(0).alias("confidence"))
+
+
+def own_code(path: Column, names: list[str], marks: list[str]) -> Column:
+    """Whether a path is the project's own (P2): a file of these names, or with one of these parts; null is not."""
+    found = F.regexp_extract(path, r"[^/]*$", 0).isin(names) if names else F.lit(False)
+    return F.coalesce(found | contains_any(path, marks) if marks else found, F.lit(False))
+
+
+def cleaned_details(details: Column) -> Column:
+    """Details without prefix, confidence and count, on one line."""
+    for pattern in fixed.DETAIL_PATTERNS:
+        details = F.regexp_replace(details, pattern, "")
+    return F.trim(F.regexp_replace(details, r"\s+", " "))
+
+
 def content_id(text: Column) -> Column:
     """Version 1 content identifier of raw bytes (F26): 0x01 0x55 0x12 0x20 and the SHA-256, in base 32, five bits a sign.
 

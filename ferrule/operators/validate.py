@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import fixed
 from ..functions.text import any_match, contains_any
 
 # ---- Fixed values: path patterns; those of traversal ignore case. ----
@@ -79,8 +80,34 @@ def constraint_errors(rows: DataFrame, rules: dict[str, dict]) -> DataFrame:
     return rows.withColumn("errors", F.filter(F.array(*checks), lambda x: x.isNotNull()))
 
 
+def option_errors(rows: DataFrame) -> DataFrame:
+    """Scan options with the names of those out of bounds (P26); options not given are right."""
+    whole = lambda c, low, high: (F.col(c) != F.floor(c)) | ~F.col(c).between(low, high)
+    checks = [F.when(whole(c, low, high), c) for c, (low, high) in fixed.OPTION_BOUNDS.items()] + [F.when(~F.col("output").isin(fixed.OUTPUT_FORMATS), "output")]
+    return rows.withColumn("errors", F.filter(F.array(*checks), lambda x: x.isNotNull()))
+
+
+def resolved(target: Column, root: str) -> Column:
+    """An absolute path without ``.`` and ``..`` (P32); relative targets start at the root, empty and null ones are the root."""
+    given = F.coalesce(F.nullif(F.trim(target), F.lit("")), F.lit("."))
+    steps = F.split(F.when(given.startswith("/"), given).otherwise(F.concat(F.lit(root + "/"), given)), "/")
+    kept = F.aggregate(
+        F.filter(steps, lambda s: ~s.isin("", ".")), F.array().cast("array<string>"),
+        lambda done, s: F.when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(s))),
+    )
+    return F.concat(F.lit("/"), F.array_join(kept, "/"))
+
+
+def inside_root(target: Column, root: str) -> Column:
+    """Whether a target lies in the root (P32); one with a null byte never does."""
+    root = "/" + root.strip("/")
+    path = resolved(target, root)
+    within = (path == root) | path.startswith(root if root == "/" else root + "/")
+    return within & ~F.coalesce(target.contains("\0"), F.lit(False))
+
+
 def dangerous(text: Column, patterns: list[str] | None = None) -> Column:
     return any_match(text, patterns or [r"(?i)eval\s*\(", r"(?i)new\s+Function\s*\(", r"(?i)child_process", r"(?i)<script"])
 
 
-__all__ = ["constraint_errors", "contains_any", "dangerous", "file_checks", "is_email", "is_external_url", "is_semver", "package_name_error", "path_threats", "safe_entry"]
+__all__ = ["constraint_errors", "contains_any", "dangerous", "file_checks", "inside_root", "is_email", "is_external_url", "is_semver", "option_errors", "package_name_error", "path_threats", "resolved", "safe_entry"]

@@ -76,3 +76,9 @@ def stream_trust(spark, d):
     """Trust folded over the stream."""
     rows = stream_of(spark, d, "user_id", "event_type", "value", "event_id").select("user_id", F.expr(TRUST).alias("kind"), "event_id")
     return written(spark, state.trust_updates(rows, "user_id", "kind", "event_id"), "update", "user_id")
+
+
+@query("stream_cache_hits")
+def stream_cache_hits(spark, d):
+    """Each read found or not in a cache of the twenty latest users a kind of event (R2); tests hold it against a plain replay."""
+    return written(spark, state.cache_hits(stream_of(spark, d, "event_type", "user_id", "ts", "event_id"), "event_type", "user_id", "ts", "event_id", 86_400.0, 20), "append")

@@ -57,6 +57,38 @@ def trust_updates(events: DataFrame, key: str, kind_col: str, order: str) -> Dat
     return events.select(key, kind_col, order).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, trust double", "trust double", "update", GroupStateTimeout.NoTimeout)
 
 
+def cache_steps(held: dict, events: list[tuple], ttl: float, size: int) -> list[bool]:
+    """Whether each (time, key) is found in a cache, which ``held`` (key to time of entry, least recent first) carries on (R2).
+
+    A key that isn't found, or is older than ``ttl``, enters anew; beyond ``size`` keys the least recent goes.
+    """
+    out = []
+    for t, key in events:
+        entered = held.pop(key, None)
+        hit = entered is not None and t - entered <= ttl
+        if entered is None and len(held) >= size:
+            held.pop(next(iter(held)))
+        held[key] = entered if hit else t
+        out.append(hit)
+    return out
+
+
+def cache_hits(reads: DataFrame, cache: str, key: str, ts: str, order: str, ttl_s: float = 300.0, size: int = 1000) -> DataFrame:
+    """(cache, order, hit) of every read of a stream; state per cache is at most ``size`` keys (R2).  Nulls are a key of their own."""
+    kind = reads.schema[cache].dataType.simpleString()
+
+    def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = dict(zip(*state.get, strict=True)) if state.exists else {}
+        rows = pd.concat(list(parts)).sort_values([ts, order])
+        times = (rows[ts].astype("datetime64[us]").astype("int64") / 1e6).tolist()
+        hits = cache_steps(held, list(zip(times, rows["key_"].tolist(), strict=True)), ttl_s, size)
+        state.update((list(held), list(held.values())))
+        yield pd.DataFrame({cache: [k[0]] * len(rows), order: rows[order].to_numpy(), "hit": hits})
+
+    named = reads.select(cache, F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")).alias("key_"), ts, order)
+    return named.groupBy(cache).applyInPandasWithState(step, f"{cache} {kind}, {order} long, hit boolean", "keys array<string>, entered array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
 def daily_counts(events: DataFrame, ts: str, kind: str, late: str = "1 day") -> DataFrame:
     """Events by day and kind (A4) with a watermark; the same plan runs on tables and on streams."""
     stamped = events.withColumn("at_", F.col(ts).cast("timestamp"))

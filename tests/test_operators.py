@@ -222,3 +222,107 @@ def test_required_text_is_in_every_match():
     for pattern in every:
         for m in re.finditer(pattern, samples):
             assert required_text(pattern) in m[0]
+
+
+def test_stores_keep_the_latest_values(spark):
+    from ferrule.operators import store
+
+    changes = spark.createDataFrame([("a", 1, "pending", None), ("a", 2, "running", "t"), ("a", 3, None, "u"), ("b", 1, None, None), (None, 4, "x", "y"), ("a", None, "z", "z"), ("a", 3, None, "t")], "k string, n int, status string, note string")
+    assert sorted(map(tuple, store.current(changes, "k", "n", ["status", "note"]).collect())) == [("a", "running", "u"), ("b", None, None)]
+    assert store.current(changes.limit(0), "k", "n", ["status"]).count() == 0
+
+
+def test_scan_states_end_once(spark):
+    from ferrule.operators import store
+
+    rows = spark.createDataFrame([("a", "pending", 1), ("a", "running", 2), ("a", "failed", 3), ("a", "completed", 4), ("b", "pending", 5), ("c", "running", 6)], "k string, event string, n int").selectExpr("*", "timestamp_seconds(n) AS ts")
+    assert {r.k: (r.status, r.completed_at is None) for r in store.scan_states(rows, "k", "event", "n", "ts").collect()} == {"a": ("failed", False), "b": ("pending", True), "c": ("running", True)}
+    assert sorted((r.k, r.action) for r in store.scan_audit(rows, "k", "event", "n", "ts").collect()) == [("a", "scan.triggered"), ("c", "scan.triggered")]
+
+
+def test_feedback_and_training_rows(spark):
+    from ferrule.operators import store
+
+    feedback = spark.createDataFrame([("a", "1"), ("", "0"), (None, "1"), ("b", "2"), ("b", None), ("c", "0")], "package string, label string")
+    registry = spark.createDataFrame([("a", 5)], "package string, versions int")
+    assert sorted(map(tuple, store.feedback_rows(feedback, registry).collect()), key=str) == [("a", 1, 5), ("c", 0, None)]
+    rows = spark.createDataFrame([(1.0, None, 1), (1.0, None, 1), (2.0, None, 1), (None, 1.0, 1)], "x double, y double, label int")
+    assert sorted(map(tuple, store.new_training_rows(rows.where("x = 2"), rows, ["x", "y"]).collect()), key=str) == [(1.0, None, 1), (None, 1.0, 1)]
+
+
+def test_provider_blocks_hold_from_the_last_refusal(spark):
+    from ferrule.operators import store
+
+    calls = [("p", 0, "status 403"), ("p", 3599, "timeout"), ("p", 3600, None), ("p", 3700, "429"), ("p", 3705, "403 and 429"), ("p", 3710, "Too Many Requests"), ("p", 3717, None), ("q", 1, None)]
+    rows = spark.createDataFrame([(p, i, t, e) for i, (p, t, e) in enumerate(calls)], "provider string, n int, t long, error string").selectExpr("*", "timestamp_seconds(t) AS ts")
+    assert [r.blocked for r in store.provider_blocks(rows, "provider", "ts", "n", "error").orderBy("n").collect()] == [False, True, False, False, True, True, False, False]
+
+
+def test_drift_of_scores_by_kind(spark):
+    from ferrule.operators import store
+
+    now = spark.createDataFrame([("a", 0.9)] * 3 + [("b", 0.5)], "kind string, score double")
+    old = spark.createDataFrame([("a", 0.1), ("a", 0.9), ("c", 0.2)], "kind string, score double")
+    assert {r.kind: (r.recent_count, r.train_count, r.ks, r.drifted) for r in store.score_drift(now, old, "kind", "score").collect()} == {"a": (3, 2, 0.5, True), "b": (1, 0, 0.0, False), "c": (0, 1, 0.0, False)}
+
+
+def test_targets_and_options(spark):
+    from ferrule.operators import validate
+
+    targets = [None, "", ".", "a/b", "..", "../scans", "../scans2", "/srv/scans/../scans/x", "/etc", "a\0b", "../../../../srv/scans"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(targets)], "i int, t string")
+    assert [r.x for r in rows.select("i", validate.inside_root(F.col("t"), "/srv/scans").alias("x")).orderBy("i").collect()] == [True, True, True, True, False, True, False, True, False, False, True]
+    options = spark.createDataFrame([(None, None, None), (0.0, 1, "json"), (10.5, 17, "xml"), (-1.0, 0, "table")], "max_depth double, workers int, output string")
+    assert [r.errors for r in validate.option_errors(options).collect()] == [[], [], ["max_depth", "workers", "output"], ["max_depth", "workers"]]
+
+
+def test_cache_steps_hold_the_latest_keys():
+    from ferrule.streaming.state import cache_steps
+
+    held = {}
+    assert cache_steps(held, [(0, "a"), (1, "b"), (2, "a"), (3, "c"), (4, "b"), (5, "c"), (20, "c"), (21, "c")], 10, 2) == [False, False, True, False, False, True, False, True]
+    assert list(held) == ["b", "c"] and held["c"] == 20
+
+
+def test_streamed_cache_is_a_plain_replay(spark):
+    import pandas as pd
+
+    from ferrule import catalog
+    from ferrule.streaming.state import cache_steps
+
+    data = "/root/testdata/sf0.001"
+    found = {r.event_id: r.hit for r in catalog.queries()["stream_cache_hits"](spark, data).collect()}
+    events = pd.read_parquet(f"{data}/events.parquet").sort_values(["ts", "event_id"])
+    wanted = {}
+    for _, part in events.groupby("event_type"):
+        seconds = part.ts.astype("datetime64[us]").astype("int64") / 1e6
+        wanted.update(zip(part.event_id, cache_steps({}, list(zip(seconds, part.user_id, strict=True)), 86_400.0, 20), strict=True))
+    assert found == wanted and 0 < sum(wanted.values()) < len(wanted)
+
+
+def test_trees_with_weights_calibration_and_reasons(spark):
+    from ferrule.operators import learn
+
+    rows = spark.range(400).selectExpr("id", "double(id % 10) AS a", "double(id % 7) AS b", "double(id % 10 >= 8 AND id % 7 > 0) AS label")
+    weighted = learn.class_weights(rows, "label")
+    sums = weighted.groupBy("label").sum("weight").collect()
+    assert abs(sums[0][1] - sums[1][1]) < 1e-6 and weighted.columns == [*rows.columns, "weight"]
+    model = learn.train_trees(weighted.where("id < 300"), ["a", "b"], "label", trees=3, depth=3, weight="weight")
+    kept = model.transform(weighted.where("id >= 300"))
+    sigmoid = learn.train_calibration(kept, "label")
+    found = sigmoid.transform(learn.with_margin(kept)).selectExpr("label", "calibrated_prediction_ AS p").collect()
+    assert sum(r.label == r.p for r in found) >= 95
+    drive = learn.importances(model, ["a", "b"])
+    assert abs(sum(drive.values()) - 1) < 1e-6
+    said = rows.select(learn.reasons(drive, {"a": "large"}).alias("r")).first().r
+    assert any(x == "a=0.00: large" for x in said)
+    best = learn.search_trees(rows, ["a", "b"], "label", [1, 3], [2], folds=2)
+    assert max(best.avgMetrics) >= 0.9
+
+
+def test_gates_skip_without_positives(spark):
+    from ferrule.operators import learn
+
+    rows = spark.createDataFrame([(0, 0.0, None), (3, 0.2, 0.4), (3, 0.9, 0.9)], "positives int, precision double, auc double")
+    found = learn.gates(rows, {"precision": 0.5, "auc": 0.6}).collect()
+    assert [(r.failed, r.skipped) for r in found] == [([], ["precision"]), (["auc", "precision"], []), ([], [])]
