@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import backoff, embeddings, nearset
+from . import backoff, embeddings, kdtree, line_dedup, nearset
+from .alignment import op12_alignment
 from .backoff import op7_backoff
 from .embeddings import embeddings_recall, op10_embeddings
 from .html_text import op6_html
+from .kdtree import op11_kmeans
 from .langid import op9_language
+from .line_dedup import op13_lines
 from .mixing import op2_mixing
 from .nearset import op5_nearset
 from .ogg import op1_ogg
@@ -32,8 +35,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_language": op9_language,
         "op10_embeddings": op10_embeddings,
         "embeddings_recall": embeddings_recall,
+        "op11_kmeans": op11_kmeans,
+        "op12_alignment": op12_alignment,
+        "op13_lines": op13_lines,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_nearset": nearset.SQL, "op7_backoff": backoff.SQL, "op10_embeddings": embeddings.SQL, "embeddings_recall": embeddings.RECALL_SQL}
+    return {
+        "op5_nearset": nearset.SQL, "op7_backoff": backoff.SQL, "op10_embeddings": embeddings.SQL, "embeddings_recall": embeddings.RECALL_SQL, "op11_kmeans": kdtree.SQL, "op13_lines": line_dedup.SQL,
+    }
