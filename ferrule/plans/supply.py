@@ -10,14 +10,14 @@ from ..operators import advisories, confusion
 from ..registry import query, table
 from . import sqltext as S
 
-DAYS = "((p_size * 7) % 90 / 2.0)"
+DAYS = "(CAST((p_size * 7) % 90 AS DOUBLE) / 2)"
 LEVEL = "CASE WHEN days <= 1 THEN 'CRITICAL' WHEN days <= 3 THEN 'HIGH' WHEN days <= 7 THEN 'MEDIUM' ELSE 'LOW' END"
 #: Parts as analysed packages: sizes give days and commits, prices give scores, keys give scopes and gaps.
 ANALYSED = f"""
 SELECT *, CASE WHEN package % 11 = 0 THEN NULL ELSE {LEVEL} END AS timeline FROM (
   SELECT p_partkey AS package, CASE WHEN p_partkey % 4 = 0 THEN 'PRIVATE' WHEN p_partkey % 4 = 1 THEN 'UNKNOWN' ELSE 'PUBLIC' END AS scope_type, CAST(p_partkey % 3 AS BIGINT) AS patterns,
-    CAST({DAYS} AS DOUBLE) AS days, CAST(p_size % 9 AS BIGINT) AS recent_commits, p_partkey % 2 = 0 AS ml, p_size % 10 / 10.0 >= 0.7 AS above, p_size % 10 / 10.0 < 0.7 AND p_size % 7 >= 4 AS at_risk,
-    CAST(p_size % 10 / 10.0 AS DOUBLE) AS threat_score, CAST(p_size % 7 / 7.0 AS DOUBLE) AS predictive_score, CASE WHEN p_partkey % 29 = 0 THEN 'no manifest' END AS error
+    {DAYS} AS days, CAST(p_size % 9 AS BIGINT) AS recent_commits, p_partkey % 2 = 0 AS ml, p_size % 10 >= 7 AS above, p_size % 10 < 7 AND p_size % 7 >= 4 AS at_risk,
+    CAST(p_size % 10 AS DOUBLE) / 10 AS threat_score, CAST(p_size % 7 AS DOUBLE) / 7 AS predictive_score, CASE WHEN p_partkey % 29 = 0 THEN 'no manifest' END AS error
   FROM part)"""
 
 
@@ -74,7 +74,7 @@ SELECT p_partkey, 'CVE-' || p_partkey AS id, CASE kind WHEN 0 THEN 'CRITICAL' WH
   CASE WHEN kind < 3 THEN p_size / 5.0 END::DOUBLE AS base_score, 3::BIGINT AS links
 FROM {FEED}""")
 def advisory_feed(spark, d):
-    """CVE records read from JSON, the newest score version first."""
+    """CVE records read from JSON, the newest score version first."""
     found = advisories.cves(feed_lines(spark, d))
     return found.select(F.substring_index("id", "-", -1).cast("long").alias("p_partkey"), "id", "severity", "cvss_version", "base_score", F.size("references").cast("long").alias("links"))
 
@@ -136,7 +136,7 @@ def advisory_relevance(spark, d):
 SELECT package, CASE WHEN p_partkey % 2 = 0 THEN 'CVE-' || p_partkey ELSE 'GHSA-' || p_partkey END AS vulnerability, CASE kind WHEN 0 THEN 'CRITICAL' WHEN 1 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' ELSE 'LOW' END AS severity,
   '<' || version AS affected, version AS patched, (1 + (p_partkey % 2 = 0)::INT)::BIGINT AS links FROM {FEED}""")
 def reviewed_advisories(spark, d):
-    """Reviewed advisories read from JSON."""
+    """Reviewed advisories read from JSON."""
     number = F.col("p_partkey").cast("string")
     ids = F.when(F.col("p_partkey") % 2 == 0, F.array(F.struct(F.lit("CVE").alias("type"), F.concat(F.lit("CVE-"), number).alias("value")))).otherwise(F.array(F.struct(F.lit("GHSA").alias("type"), number.alias("value"))))
     word = F.when(F.col("kind") == 0, "critical").when(F.col("kind") == 1, "high").when(F.col("kind") == 2, "moderate").otherwise("low")

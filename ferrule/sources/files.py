@@ -76,3 +76,20 @@ def package_spec(spec: str):
     name = F.regexp_extract(spec, r"^(@[^/@]+/[^@]+|[^@]+)", 1)
     version = F.regexp_extract(spec, r"^(?:@[^/@]+/[^@]+|[^@]+)@(.+)$", 1)
     return F.struct(name.alias("name"), F.nullif(version, F.lit("")).alias("version"))
+
+
+def commit_log(spark: SparkSession, path: str) -> DataFrame:
+    """(repo, sha, author, ts, message, additions, deletions) of landed logs.
+
+    A log is what ``git log --format='%x1e<repository>%x1f%H%x1f%an%x1f%cI%x1f%B%x1f' --shortstat`` (or ``--numstat``) prints.
+    Records span lines; Spark splits the files at byte ranges and begins each record at its separator.  Records with fewer
+    fields are left out; binary files count no lines.
+    """
+    fields = F.split("value", "\x1f", 6)
+    log = spark.read.option("lineSep", "\x1e").text(path).where(F.size(fields) == 6)
+    tail = fields[5]
+    counted = lambda pattern: F.aggregate(F.regexp_extract_all(tail, F.lit(pattern), F.lit(1)), F.lit(0).cast("long"), lambda n, x: n + x.cast("long"))
+    return log.select(
+        fields[0].alias("repo"), fields[1].alias("sha"), fields[2].alias("author"), F.to_timestamp(fields[3]).alias("ts"), F.regexp_replace(fields[4], r"^\s+|\s+$", "").alias("message"),
+        (counted(r"(\d+) insertions?\(\+\)") + counted(r"(?m)^(\d+)\t\d+\t")).alias("additions"), (counted(r"(\d+) deletions?\(-\)") + counted(r"(?m)^\d+\t(\d+)\t")).alias("deletions"),
+    )

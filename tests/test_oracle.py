@@ -1,4 +1,4 @@
-"""Every query with SQL gives the rows that DuckDB gives, on the smallest tables."""
+"""Every query with SQL gives the rows that DuckDB gives."""
 
 import math
 from pathlib import Path
@@ -8,7 +8,7 @@ import pytest
 
 from ferrule import catalog
 
-DATA = "/root/testdata/sf0.001"
+DATA = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables")
 
@@ -17,7 +17,7 @@ def plain(x):
     if isinstance(x, (list, tuple)):
         return tuple(map(plain, x))
     if isinstance(x, float):
-        return "nan" if math.isnan(x) else round(x, 5) + 0.0
+        return "nan" if math.isnan(x) else round(x, 6) + 0.0
     return x
 
 
@@ -38,6 +38,7 @@ def test_same_rows(spark, duck, name):
     wanted = duck.sql(catalog.oracle_sql()[name])
     assert sorted(wanted.columns) == columns
     order = [wanted.columns.index(c) for c in columns]
+    assert found
     assert found == sorted(([plain(r[i]) for i in order] for r in wanted.fetchall()), key=str)
 
 
