@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import least_labels, per_process, shared_folder, small_batches, table, trim
 
 #: Characters of text in a stretch, and units that a worker remembers.
-STRETCH, REMEMBERED = 6 << 20, 150_000
+STRETCH, REMEMBERED = 4 << 20, 100_000
 #: Texts without these are cut at every space and line feed.
 ODD = re.compile(r"\s\s|[^\S \n]")
 BORDER = re.compile(r"(?<=\S)(?=[ \n]\S)")
