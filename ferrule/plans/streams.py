@@ -9,7 +9,8 @@ from pyspark.sql import types as T
 
 from ..registry import query, table
 from ..session import shared_folder
-from ..streaming import state
+from ..sinks import webhooks
+from ..streaming import processors, state
 
 
 def stream_of(spark, d, *columns, files_per_batch: int | None = None):
@@ -82,3 +83,48 @@ def stream_trust(spark, d):
 def stream_cache_hits(spark, d):
     """Each read found or not in a cache of the twenty latest users a kind of event (R2); tests hold it against a plain replay."""
     return written(spark, state.cache_hits(stream_of(spark, d, "event_type", "user_id", "ts", "event_id"), "event_type", "user_id", "ts", "event_id", 86_400.0, 20), "append")
+
+
+@query("stream_ring", """
+SELECT user_id::VARCHAR AS user_id, count(*)::BIGINT AS kept, min(event_id) AS oldest, max(event_id) AS newest, arg_max(event_type, event_id) AS last_value
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn <= 20 GROUP BY user_id""")
+def stream_ring(spark, d):
+    """The latest twenty events of each user, kept as list state over the stream."""
+    rows = stream_of(spark, d, "user_id", "event_id", "event_type")
+    with processors.with_rocksdb(spark):
+        found = written(spark, processors.ring(rows, "user_id", "event_id", "event_type", 20), "update", "key")
+    return found.withColumnRenamed("key", "user_id")
+
+
+@query("stream_schedules", """
+WITH c AS (SELECT user_id, epoch_us(ts) // 1000 AS t, event_type = 'signup' AS enabled, (1 + user_id % 5) * 21600000 AS every, lead(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS next_at
+  FROM events WHERE event_type IN ('signup', 'error')),
+w AS (SELECT epoch_us(max(ts)) // 1000 - 86400000 AS watermark FROM events WHERE event_type IN ('signup', 'error'))
+SELECT user_id::VARCHAR AS user_id, make_timestamp(due * 1000) AS due
+FROM (SELECT user_id, unnest(generate_series(t + every, coalesce(next_at - 1, watermark), every)) AS due FROM c, w WHERE enabled)""")
+def stream_schedules(spark, d):
+    """Sign-ups start a user's schedule and errors end it; every time due, once each, by timers."""
+    rows = stream_of(spark, d, "user_id", "event_id", "ts", "event_type").where("event_type IN ('signup', 'error')")
+    changes = rows.select("user_id", "event_id", "ts", ((1 + F.col("user_id") % 5) * 21_600).alias("every_s"), (F.col("event_type") == "signup").alias("enabled"))
+    with processors.with_rocksdb(spark):
+        found = written(spark, processors.due_schedules(changes, "user_id", "ts", "event_id", "every_s", "enabled", late="1 day"), "append")
+    return found.withColumnRenamed("key", "user_id")
+
+
+HOOKS = "(SELECT n_nationkey AS hook_id, n_regionkey AS org, 'https://hooks.example/' || n_name AS url, 'secret-' || n_name AS secret, CASE n_nationkey % 3 WHEN 0 THEN ['click', 'error'] WHEN 1 THEN ['purchase'] ELSE ['error', 'view'] END AS events, n_nationkey % 4 <> 3 AS enabled FROM nation)"
+
+
+def pad_sql(byte: int) -> str:
+    return f"list_aggregate(list_transform(range(1, 65), lambda i: chr(xor(CASE WHEN i <= length(secret) THEN ascii(substr(secret, i, 1)) ELSE 0 END, {byte}))), 'string_agg', '')"
+
+
+@query("webhook_messages", f"""
+WITH m AS (SELECT event_id, hook_id, secret, '{{"event":"' || event_type || '","payload":' || props || ',"timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z"}}' AS body
+  FROM (SELECT *, user_id % 5 AS org FROM events) e JOIN {HOOKS} h ON e.org = h.org AND list_contains(h.events, e.event_type) AND h.enabled)
+SELECT hook_id, body, sha256(hook_id || ':' || event_id) AS delivery_id, sha256(encode({pad_sql(0x5C)}) || unhex(sha256(encode({pad_sql(0x36)}) || encode(body)))) AS signature FROM m""")
+def webhook_messages(spark, d):
+    """Signed messages to the hooks that listen."""
+    table(spark, d, "nation").createOrReplaceTempView("ferrule_nation")
+    hooks = spark.sql("SELECT * FROM " + HOOKS.replace("FROM nation", "FROM ferrule_nation").replace("['", "array('").replace("']", "')"))
+    events = table(spark, d, "events").select("event_id", (F.col("user_id") % 5).alias("org"), F.col("event_type").alias("event"), F.col("props").alias("payload"), F.col("ts").cast("timestamp").alias("at"))
+    return webhooks.messages(events, hooks).select("hook_id", "body", "delivery_id", "signature")
