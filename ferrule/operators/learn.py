@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .. import fixed
+from .windows import running_sums, time_split
 
 
 def feature_vectors(rows: DataFrame) -> DataFrame:
@@ -66,10 +70,9 @@ def confusion(rows: DataFrame, label: str, predicted: str) -> DataFrame:
 
 
 def roc_auc(rows: DataFrame, label: str, score: str) -> DataFrame:
-    """Area under the curve with average ranks for ties (A27); rows are counted per score first, so only distinct scores are ranked."""
-    per = rows.groupBy(score).agg(F.count_if(F.col(label) == 1).alias("p_"), F.count_if(F.col(label) == 0).alias("n_"))
-    below = F.coalesce(F.sum("n_").over(W.orderBy(score).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    area = per.select("p_", "n_", (F.col("p_") * (below + F.col("n_") / 2)).alias("u_"))
+    """Area under the curve with average ranks for ties (A27); rows are counted per score first, so only distinct scores are ranked, range by range."""
+    per = rows.where(F.col(score).isNotNull()).groupBy(score).agg(F.count_if(F.col(label) == 1).alias("p_"), F.count_if(F.col(label) == 0).alias("n_"))
+    area = running_sums(per, score, ["n_"]).select("p_", "n_", (F.col("p_") * (F.col("n__before_") + F.col("n_") / 2)).alias("u_"))
     return area.agg(F.round(F.try_divide(F.sum("u_"), F.sum("p_") * F.sum("n_")), 6).alias("auc"))
 
 
@@ -83,38 +86,70 @@ def class_balance(rows: DataFrame, label: str) -> DataFrame:
     return rows.agg(good.alias("negatives"), bad.alias("positives"), F.round(F.when(bad > 0, good / bad).otherwise(1.0), 6).alias("positive_weight"))
 
 
-def ks_statistic(rows: DataFrame, value: str, current: str) -> DataFrame:
-    """Largest distance of two samples' distributions (A30), from counts per distinct value."""
-    per = rows.groupBy(value).agg(F.count_if(F.col(current)).alias("b_"), F.count_if(~F.col(current)).alias("a_"))
-    run = W.orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+def ks_statistic(rows: DataFrame, value: str, current: str, stepped: bool = False) -> DataFrame:
+    """Largest distance of two samples' distributions (A30), from counts per distinct value.
+
+    Equal values move both distributions at once; with ``stepped`` those of the first sample move first, as in a merge
+    of two sorted lists that takes from the first on ties.
+    """
+    per = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count_if(F.col(current)).alias("b_"), F.count_if(~F.col(current)).alias("a_"))
     total = per.agg(F.sum("a_").alias("na_"), F.sum("b_").alias("nb_"))
-    steps = per.select(F.sum("a_").over(run).alias("ca_"), F.sum("b_").over(run).alias("cb_")).crossJoin(F.broadcast(total))
-    gap = F.abs(F.col("ca_") / F.nullif("na_", F.lit(0)) - F.col("cb_") / F.nullif("nb_", F.lit(0)))
+    steps = running_sums(per, value, ["a_", "b_"]).crossJoin(F.broadcast(total))
+    share = lambda x, n: x / F.nullif(n, F.lit(0))
+    first = share(F.col("a__before_") + F.col("a_"), "na_")
+    gap = F.abs(first - share(F.col("b__before_") + F.col("b_"), "nb_"))
+    if stepped:
+        gap = F.greatest(gap, F.abs(first - share(F.col("b__before_"), "nb_")))
     return steps.agg(F.round(F.max(gap), 6).alias("ks"), F.coalesce(F.max(gap) > 0.2, F.lit(False)).alias("drifted"))
 
 
-def stratified_split(rows: DataFrame, label: str, key: str, share: float, seed: str = "42") -> DataFrame:
-    """Every label's rows in hashed order; the first ``share`` of them are validation (M7)."""
-    h = F.md5(F.concat(F.lit(seed), F.lit(":"), F.col(key).cast("string")))
-    sizes = rows.groupBy(F.col(label).alias("l_")).agg(F.count("*").alias("n_"))
-    # Leading hex digits bucket the rows, so that only rows of one bucket are ranked together.
-    keyed = rows.withColumn("h_", h).withColumn("bucket_", F.conv(F.substring("h_", 1, 3), 16, 10).cast("int"))
+def first_by_hash(rows: DataFrame, label: str, key: str, wanted: DataFrame, seed: str) -> DataFrame:
+    """``rows`` with ``first_``: whether a row is among the first of its label in hashed order, as many as ``wanted`` (l_, want_) says.
+
+    Leading hex digits bucket the rows, so that only rows of one bucket are ranked together.
+    """
+    keyed = rows.withColumn("h_", F.md5(F.concat(F.lit(seed), F.lit(":"), F.col(key).cast("string")))).withColumn("bucket_", F.conv(F.substring("h_", 1, 3), 16, 10).cast("int"))
     rooms = keyed.groupBy(label, "bucket_").agg(F.count("*").alias("c_"))
     rooms = rooms.withColumn("before_", F.coalesce(F.sum("c_").over(W.partitionBy(label).orderBy("bucket_").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    rooms = rooms.join(F.broadcast(sizes), F.col(label) == F.col("l_")).select(F.col(label).alias("l2_"), F.col("bucket_").alias("b2_"), (F.floor(F.col("n_") * share) - F.col("before_")).alias("room_"))
+    rooms = rooms.join(F.broadcast(wanted), F.col(label) == F.col("l_")).select(F.col(label).alias("l2_"), F.col("bucket_").alias("b2_"), (F.col("want_") - F.col("before_")).alias("room_"))
     joined = keyed.join(rooms, (F.col(label) == F.col("l2_")) & (F.col("bucket_") == F.col("b2_")))
     place = F.row_number().over(W.partitionBy(label, "bucket_").orderBy("h_", key))
-    return joined.withColumn("validation", place <= F.col("room_")).select(*rows.columns, "validation")
+    return joined.withColumn("first_", place <= F.col("room_")).select(*rows.columns, "first_")
 
 
-def oversample(rows: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame:
-    """Rows of the rarer label repeated until both are about as many (M6), whole copies first and a seeded share of one more."""
+def stratified_split(rows: DataFrame, label: str, key: str, share: float, seed: str = "42") -> DataFrame:
+    """Every label's rows in hashed order; the first ``share`` of them are validation (M7)."""
+    wanted = rows.groupBy(F.col(label).alias("l_")).agg(F.floor(F.count("*") * share).alias("want_"))
+    return first_by_hash(rows, label, key, wanted, seed).withColumnRenamed("first_", "validation")
+
+
+def oversample(rows: DataFrame, label: str, key: str, seed: str = "42") -> DataFrame:
+    """Rows of the rarer labels repeated until all labels have as many (M6): whole copies, and one more of the first rows in hashed order."""
     counts = rows.groupBy(F.col(label).alias("l_")).agg(F.count("*").alias("n_"))
-    top = counts.agg(F.max("n_").alias("top_"))
-    plan = F.broadcast(counts.crossJoin(F.broadcast(top)))
-    factor = F.col("top_") / F.col("n_")
-    extra = (F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1_000_000)) / 1_000_000 < factor - F.floor(factor)).cast("int")
-    return rows.join(plan, F.col(label) == F.col("l_")).withColumn("copy_", F.explode(F.sequence(F.lit(1), (F.floor(factor) + extra).cast("int")))).select(*rows.columns)
+    plan = counts.crossJoin(F.broadcast(counts.agg(F.max("n_").alias("top_"))))
+    marked = first_by_hash(rows, label, key, plan.select("l_", (F.col("top_") % F.col("n_")).alias("want_")), seed)
+    copies = F.floor(F.col("top_") / F.col("n_")).cast("int") + F.col("first_").cast("int")
+    return marked.join(F.broadcast(plan), F.col(label) == F.col("l_")).withColumn("copy_", F.explode(F.sequence(F.lit(1), copies))).select(*rows.columns)
+
+
+def newest_or_stratified(rows: DataFrame, ts: str, label: str, key: str, share: float) -> DataFrame:
+    """The newest ``share`` as validation (W8), or a stratified split where that leaves either side with one label, or where a time is missing."""
+    split = time_split(rows, ts, key, share)
+    kinds = split.agg(F.count_distinct(F.when(F.col("validation"), F.col(label))).alias("v"), F.count_distinct(F.when(~F.col("validation"), F.col(label))).alias("t"), F.count("*").alias("n")).first()
+    whole = rows.agg(F.count(ts).alias("known"), F.count("*").alias("n")).first()
+    if kinds["v"] > 1 and kinds["t"] > 1 and whole["known"] == whole["n"]:
+        return split
+    return stratified_split(rows, label, key, share)
+
+
+def batch_scores(make_predict: Callable, features: list[str], batch: int = 512) -> Column:
+    """A model's scores for batches of at most ``batch`` rows (M9), clamped to 0..1; ``make_predict`` loads it once a worker.
+
+    It returns a function from an array of rows by features, in the order given, to scores.  Null features are 0.
+    """
+    score = predict_batch_udf(make_predict, return_type=DoubleType(), batch_size=batch, input_tensor_shapes=[[len(features)]])
+    vector = F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features])
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score(vector)))
 
 
 def train_trees(rows: DataFrame, features: list[str], label: str, trees: int = 20, depth: int = 4, seed: int = 42, weight: str | None = None):

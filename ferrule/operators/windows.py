@@ -66,16 +66,32 @@ def share_of_max(rows: DataFrame, value: Column, width: int = 20) -> DataFrame:
     return rows.crossJoin(F.broadcast(top)).withColumn("bar", F.floor(value / F.col("top_") * width + 0.5).cast("long")).drop("top_")
 
 
+def running_sums(per: DataFrame, order: str, columns: list[str], buckets: int = 64) -> DataFrame:
+    """``per`` with, for each column c, c + "_before_": the sum of c over all smaller values of ``order``, which is unique and not null.
+
+    Values are dealt into ranges by approximate quantiles; each range is added up in order by itself, and what the ranges
+    before it hold is added by broadcast (at most ``buckets`` + 1 rows), so no task sorts all values.
+    """
+    bounds = per.agg(F.percentile_approx(order, F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), 1000).alias("bounds_"))
+    placed = per.crossJoin(F.broadcast(bounds)).withColumn("range_", F.size(F.filter("bounds_", lambda b: b <= F.col(order)))).drop("bounds_")
+    held = placed.groupBy(F.col("range_").alias("of_")).agg(*[F.sum(c).alias(c) for c in columns])
+    offsets = held.select("of_", *[F.coalesce(F.sum(c).over(W.orderBy("of_").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias(f"{c}_offset_") for c in columns])
+    within = W.partitionBy("range_").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    joined = placed.join(F.broadcast(offsets), F.col("range_") == F.col("of_"))
+    return joined.select(*per.columns, *[(F.col(f"{c}_offset_") + F.coalesce(F.sum(c).over(within), F.lit(0))).alias(f"{c}_before_") for c in columns])
+
+
 def time_split(rows: DataFrame, ts: str, tie: str, share: float) -> DataFrame:
     """The newest share of rows as validation (W8): n = max(1, min(n - 1, round(n * share))), halves to even.
 
     The border is found from counts per timestamp, so the rows themselves are never gathered to be ranked.
     """
     per = rows.groupBy(ts).agg(F.count("*").alias("c_"))
-    newer = per.withColumn("after_", F.coalesce(F.sum("c_").over(W.orderBy(F.desc(ts)).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    n = rows.agg(F.count("*").alias("n_"))
+    per = running_sums(per.where(F.col(ts).isNotNull()), ts, ["c_"])
+    n = rows.agg(F.count("*").alias("n_"), F.count(ts).alias("known_"))
     wanted = F.greatest(F.lit(1), F.least(F.col("n_") - 1, F.bround(F.col("n_") * share).cast("long")))
-    border = newer.crossJoin(F.broadcast(n)).select(F.col(ts).alias("t_"), (wanted - F.col("after_")).alias("room_"))
+    after = F.col("known_") - F.col("c__before_") - F.col("c_")
+    border = per.crossJoin(F.broadcast(n)).select(F.col(ts).alias("t_"), (wanted - after).alias("room_"))
     joined = rows.join(border, F.col(ts) == F.col("t_"))
     place = F.row_number().over(W.partitionBy(ts).orderBy(F.desc(tie)))
     return joined.withColumn("validation", place <= F.col("room_")).drop("t_", "room_")

@@ -112,12 +112,65 @@ def stratified_split(spark, d):
     return learn.stratified_split(labelled(spark, d).select("doc_id", "y"), "y", "doc_id", 0.2)
 
 
-@query("oversampled_balance")
+@query("oversampled_balance", f"SELECT y, max(count(*)) OVER ()::BIGINT AS n FROM {LABELLED} GROUP BY y")
 def oversampled_balance(spark, d):
     """Class counts after repeating the rarer class."""
     return learn.oversample(labelled(spark, d), "y", "doc_id").groupBy("y").agg(F.count("*").alias("n"))
 
 
+@query("ks_stepped", """
+WITH v AS (SELECT round(value, 1) AS value, event_type = 'click' AS b FROM events), g AS (SELECT value, count(*) FILTER (NOT b) AS a, count(*) FILTER (b) AS b FROM v GROUP BY value),
+c AS (SELECT sum(a) OVER w AS ca, sum(b) OVER w AS cb, b, sum(a) OVER () AS na, sum(b) OVER () AS nb FROM g WINDOW w AS (ORDER BY value))
+SELECT round(max(greatest(abs(ca / na - cb / nb), abs(ca / na - (cb - b) / nb))), 6)::DOUBLE AS ks, max(greatest(abs(ca / na - cb / nb), abs(ca / na - (cb - b) / nb))) > 0.2 AS drifted FROM c""")
+def ks_stepped(spark, d):
+    """Values of clicks against all other events', the latter moving first on ties."""
+    rows = table(spark, d, "events").select(F.round("value", 1).alias("value"), (F.col("event_type") == "click").alias("current"))
+    return learn.ks_statistic(rows, "value", "current", stepped=True)
+
+
+@query("newest_split", """
+WITH e AS (SELECT event_id, event_type = 'error' AS y, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS rn, count(*) OVER () AS n FROM events)
+SELECT event_id, y, rn <= greatest(1, least(n - 1, round_even(n * 0.2, 0)))::BIGINT AS validation FROM e""")
+def newest_split(spark, d):
+    """The newest fifth as validation, as both sides have both labels."""
+    rows = table(spark, d, "events").select("event_id", "ts", (F.col("event_type") == "error").alias("y"))
+    return learn.newest_or_stratified(rows, "ts", "y", "event_id", 0.2).select("event_id", "y", "validation")
+
+
+#: A linear model's weights by feature, for batches and for SQL.
+LINEAR = {"timeline": 2.0, "nlp": 1.5, "behavioral": -1.0, "patterns": 0.25, "trust": 0.5}
+
+
+def linear_model():
+    """What a worker loads once: a logistic model over the features in order."""
+    import numpy as np
+
+    weights = np.array(list(LINEAR.values()))
+
+    def predict(batch: np.ndarray) -> np.ndarray:
+        assert len(batch) <= 512
+        return 1 / (1 + np.exp(-(batch.astype(np.float64) @ weights - 1.0)))
+
+    return predict
+
+
+@query("batch_scores", f"SELECT id, round(1 / (1 + exp(-({' + '.join(f'{k} * {w}' for k, w in LINEAR.items())} - 1.0))), 5)::DOUBLE AS score FROM ({VECTOR})")
+def batch_scores(spark, d):
+    """A model's scores, at most 512 rows at a time (M9)."""
+    return vectors(spark, d).select("id", F.round(learn.batch_scores(linear_model, list(LINEAR)), 5).alias("score"))
+
+
+@query("contribution_rows", f"""
+WITH v AS ({VECTOR}), c AS ({' UNION ALL '.join(f"SELECT id, '{k}' AS feature, round({k}, 9)::DOUBLE * {fixed.ML_WEIGHTS.get(k, 0.0)}::DOUBLE AS value FROM v" for k in NAMES[2:])}),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY abs(value) DESC, feature) AS place FROM c WHERE value <> 0)
+SELECT id, place, feature, round(value, 6) AS value FROM r WHERE place <= 3""")
+def contribution_rows(spark, d):
+    """The three features that move each score most, a row each."""
+    rounded = vectors(spark, d).select("id", *[F.round(c, 9).alias(c) for c in NAMES])
+    found = rounded.select("id", F.posexplode(learn.contributions(NAMES[2:], fixed.ML_WEIGHTS, 3)).alias("at", "c"))
+    return found.select("id", (F.col("at") + 1).cast("long").alias("place"), "c.feature", F.round("c.value", 6).alias("value"))
+
+
 @query("top_contributions")
 def top_contributions(spark, d):
     """The features that drive each score most."""

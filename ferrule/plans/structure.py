@@ -89,7 +89,14 @@ def code_types(spark, d):
     return report.code_type(table(spark, d, "part").select(path.alias("file_path")), "file_path")
 
 
-@query("content_ids")
+def bits_sql(digits: str) -> str:
+    """The bits of hex digits, four a digit."""
+    return f"list_aggregate(list_transform(string_split({digits}, ''), lambda x: lpad(bin(instr('0123456789abcdef', x) - 1), 4, '0')), 'string_agg', '')"
+
+
+@query("content_ids", f"""
+SELECT doc_id, 'b' || list_aggregate(list_transform(range(0, 58), lambda i: substr('abcdefghijklmnopqrstuvwxyz234567', 1 + list_aggregate(list_transform(range(0, 5), lambda j: CASE WHEN substr(bits, i * 5 + j + 1, 1) = '1' THEN 16 // (2 ** j)::INT ELSE 0 END), 'sum')::INT, 1)), 'string_agg', '') AS cid
+FROM (SELECT doc_id, {bits_sql("('01551220' || sha256(coalesce(text, '')))")} || '00' AS bits FROM documents)""")
 def content_ids(spark, d):
     """Content identifiers in base 32."""
     return table(spark, d, "documents").select("doc_id", report.content_id(F.coalesce("text", F.lit(""))).alias("cid"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gzip
 import io
 import re
 import tarfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,7 +36,10 @@ def entries_of(name: str, raw: bytes, largest: int, total: int) -> Iterator[tupl
     """Rows of an archive's entries in order, folders left out; a broken archive ends with a row that says so."""
     left = total
     try:
-        with tarfile.open(fileobj=io.BytesIO(raw), mode="r|gz") as archive:
+        if not raw:
+            raise EOFError("no bytes")
+        # The stream's own end is checked by gzip; tar takes a cut header for the end of the archive.
+        with gzip.GzipFile(fileobj=io.BytesIO(raw)) as unpacked, tarfile.open(fileobj=unpacked, mode="r|") as archive:
             for member in archive:
                 if member.isdir():
                     continue
@@ -42,7 +47,7 @@ def entries_of(name: str, raw: bytes, largest: int, total: int) -> Iterator[tupl
                 content = None if problem else archive.extractfile(member).read()
                 left -= len(content or b"")
                 yield name, member.name, member.size, content, problem
-    except (tarfile.TarError, OSError, EOFError, ValueError) as error:
+    except (tarfile.TarError, OSError, EOFError, ValueError, zlib.error) as error:
         yield name, None, None, None, f"broken archive: {type(error).__name__}"
 
 

@@ -102,11 +102,12 @@ class Schedule(StatefulProcessor):
         pass
 
 
-def due_schedules(changes: DataFrame, key: str, ts: str, place: str, every_s: str, enabled: str, late: str = "0 seconds") -> DataFrame:
+def due_schedules(changes: DataFrame, key: str, ts: str, place: str, every_s: str, enabled: str, late: str = "1 second") -> DataFrame:
     """(key, due): every time at which a schedule is due, once, from a stream of changes to schedules.
 
     A change sets a schedule from its own time on: due after each interval, until the next change or as far as the
-    watermark has come; a disabled one is due no more.  Changes of a key come in order of time; ``place`` breaks ties.
+    watermark has come; a disabled one is due no more.  Changes of a key come in order of time, at most ``late`` after the
+    latest change of all; ``place`` breaks ties.
     Timers are part of the checkpoint, so a restart neither repeats nor loses a time.
     """
     stamped = changes.select(
