@@ -88,6 +88,19 @@ def matches(text: str | Column, pattern: str) -> Column:
     return F.coalesce(count if gate is None else F.when(gate, count), F.lit(0))
 
 
+def reaches(text: str | Column, patterns: list[str], least: int) -> Column:
+    """Whether all patterns together occur ``least`` times; counting stops as soon as they have.
+
+    The patterns are data rather than code: dozens of them in one projection are more code than the JVM compiles at once,
+    and compiling a pattern takes far less than searching a file for it.
+    """
+    own = col(text)
+    gates = [required_text(p) for p in patterns]
+    rows = F.array(*[F.struct(F.lit(p).alias("pattern"), F.lit(g if g and g.isascii() and "(?" not in p[:2] else "").alias("gate")) for p, g in zip(patterns, gates, strict=True)])
+    step = lambda n, p: F.when((n < least) & own.contains(p["gate"]), n + F.regexp_count(own, p["pattern"])).otherwise(n)
+    return F.coalesce(F.aggregate(rows, F.lit(0), step) >= least, F.lit(False))
+
+
 def total_matches(text: str | Column, patterns: list[str]) -> Column:
     """Occurrences of all patterns together (F16)."""
     return reduce(lambda a, b: a + b, [matches(text, p) for p in patterns])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
-from ..functions.text import any_match, basename, contains_any, entropy, first_line, highest_entropy_line, imports_any, lines, matches, total_matches
+from ..functions.text import any_match, basename, contains_any, entropy, first_line, highest_entropy_line, imports_any, lines, matches, reaches
 
 Rules = dict[str, tuple[str, str, float, list[str]]]
 
@@ -55,19 +55,19 @@ def rule_groups(files: DataFrame, rules: Rules, content: str = "content", keep:
 def whitelist_flags(content: str = "content") -> dict[str, Column]:
     """Classifiers of legitimate code, each by a total number of matches."""
     return {
-        "utility": total_matches(content, fixed.UTILITY) >= 3,
-        "server": total_matches(content, fixed.SERVER) >= 5,
-        "testing": total_matches(content, fixed.TESTING) >= 2,
-        "blockchain": total_matches(content, fixed.BLOCKCHAIN) >= 2,
-        "socket": total_matches(content, fixed.SOCKET_EVENTS) >= 3,
-        "shader": total_matches(content, fixed.SHADER) >= 3,
-        "graphics": (total_matches(content, fixed.THREE_JS) >= 5) | any_match(content, fixed.OTHER_GRAPHICS) | imports_any(content, fixed.GRAPHICS_IMPORTS),
+        "utility": reaches(content, fixed.UTILITY, 3),
+        "server": reaches(content, fixed.SERVER, 5),
+        "testing": reaches(content, fixed.TESTING, 2),
+        "blockchain": reaches(content, fixed.BLOCKCHAIN, 2),
+        "socket": reaches(content, fixed.SOCKET_EVENTS, 3),
+        "shader": reaches(content, fixed.SHADER, 3),
+        "graphics": (reaches(content, fixed.THREE_JS, 5)) | any_match(content, fixed.OTHER_GRAPHICS) | imports_any(content, fixed.GRAPHICS_IMPORTS),
         "react": is_react(content),
     }
 
 
 def is_react(content: str = "content") -> Column:
-    return (total_matches(content, fixed.REACT) >= 3) | imports_any(content, fixed.REACT_IMPORTS)
+    return (reaches(content, fixed.REACT, 3)) | imports_any(content, fixed.REACT_IMPORTS)
 
 
 #: Classifiers that end the analysis, in order.
@@ -108,13 +108,17 @@ def suspicious_modules(files: DataFrame, content: str = "content", path: str = "
 
 
 def structure_score(files: DataFrame, content: str = "content") -> DataFrame:
-    """Points for obfuscated structure, capped (A8): mangled names, size, hex arrays, appended exports, entropy."""
+    """Points for obfuscated structure, capped (A8): mangled names, size, hex arrays, appended exports, entropy.
+
+    React code has a higher limit of entropy; whether a file is such code is asked only where that decides.
+    """
     points = fixed.STRUCTURE_POINTS
     measured = files.select(
         "*", matches(content, fixed.VARIABLE_MANGLING).cast("long").alias("mangling"), F.length(content).cast("long").alias("size"), matches(content, fixed.HEX_ARRAYS).cast("long").alias("hex_arrays"),
         matches(content, fixed.MODULE_EXPORT_APPENDED).cast("long").alias("appended"), entropy(content).alias("entropy"),
-        F.when(is_react(content), fixed.ENTROPY_LIMIT_REACT).otherwise(fixed.ENTROPY_LIMIT).alias("entropy_limit"),
     )
+    between = (F.col("entropy") > fixed.ENTROPY_LIMIT) & (F.col("entropy") <= fixed.ENTROPY_LIMIT_REACT)
+    measured = measured.withColumn("entropy_limit", F.when(between & is_react(content), fixed.ENTROPY_LIMIT_REACT).otherwise(fixed.ENTROPY_LIMIT))
     flags = {
         "mangling": F.col("mangling") > 0, "blob": F.col("size") > fixed.BLOB_LENGTH, "hex": F.col("hex_arrays") > 0,
         "append": F.col("appended") > 0, "entropy": F.col("entropy") > F.col("entropy_limit"),

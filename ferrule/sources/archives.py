@@ -80,7 +80,7 @@ def archive_entries(archives: DataFrame, name: str = "path", content: str = "con
 
 
 def package_archives(spark: SparkSession, root: str, largest: int = LARGEST_ENTRY, total: int = LARGEST_TOTAL, stored: int = LARGEST_ARCHIVE) -> DataFrame:
-    """Entries of all landed ``*.tgz`` below ``root``; archives above ``stored`` bytes aren't opened but reported."""
+    """Entries of all landed ``*.tgz`` below ``root``; archives above ``stored`` bytes aren't opened but reported; Spark doesn't list files without bytes."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.tgz").load(root)
     none = F.lit(None)
     over = files.where(F.col("length") > stored).select(F.col("path").alias("archive"), none.cast("string").alias("entry"), F.col("length").alias("size"), none.cast("binary").alias("content"), F.lit("archive too large").alias("problem"))
