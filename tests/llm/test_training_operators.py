@@ -353,6 +353,29 @@ def test_passes_grow_slowly():
     assert counts == sorted(counts) and counts[0] == 1 and counts[-1] < 1000
 
 
+@pytest.mark.parametrize("kind", ["one", "ten"])
+@pytest.mark.parametrize("cost, least", [(0, 192), (5000, 200)])
+def test_pairs_of_vectors_with_a_common_mean(spark, monkeypatch, kind, cost, least):
+    """Encoders' vectors share a mean; passes, or all pairs where these cost less, still meet nearly all planted pairs."""
+    monkeypatch.setattr(embeddings, "PASS_COST", cost)
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(1 if kind == "one" else 10, 64))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+
+    def spread(n):
+        x = rng.normal(size=(n, 64))
+        return np.sqrt(0.7) * centres[rng.integers(0, len(centres), n)] + np.sqrt(0.3) * x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    x = spread(6000)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    other = rng.normal(size=(200, 64))
+    other -= (other * x[:200]).sum(1, keepdims=True) * x[:200]
+    other = 0.905 * x[:200] + np.sqrt(1 - 0.905**2) * other / np.linalg.norm(other, axis=1, keepdims=True)
+    x = np.concatenate([np.stack([x[:200], other], 1).reshape(400, 64), x[200:]])
+    found = linked_counts(spark, x)
+    assert sum(found[2 * k][0] > 0 and found[2 * k][1] == found[2 * k + 1][1] for k in range(200)) >= least
+
+
 def test_recall_rows(spark, monkeypatch):
     monkeypatch.setattr(vector_blocks, "BLOCK_BYTES", 20_000)
     x = np.repeat(planted(500, 1000), 2, axis=0)
