@@ -21,8 +21,8 @@ from .common import cut, table
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words that the dynamic program fits; its table has this many bits for each length, whatever the input.
 DP_BUDGET = 1 << 14
-#: Words up to which a budget that is still not met is fitted as a whole, at about 8 bytes a word.
-WHOLE_BUDGET = 1 << 25
+#: Cells of the table in which a budget that is still not met is fitted as a whole, at 5 bytes a cell, and cells that its steps visit together.
+CELLS, WORK = 1 << 25, 1 << 32
 
 
 def whole_fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
@@ -52,14 +52,37 @@ def whole_fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarra
     return taken
 
 
-def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, dp_budget: int = DP_BUDGET) -> np.ndarray:
-    """How many documents of each length to take so that their lengths sum to ``budget`` or just below.
+def coarse_fit(lengths: np.ndarray, counts: np.ndarray, budget: int, cells: int = CELLS, work: int = WORK) -> np.ndarray:
+    """How many documents of each length have about the largest sum up to ``budget``, in bounded memory and time at any budget.
 
-    A proportional share first; then lengths from the longest down until ``dp_budget`` words or fewer
-    are left; then the exact subset sum of the rest.  If that misses a budget of up to ``WHOLE_BUDGET`` words,
-    as it can with few long documents, the exact subset sum of all of it.
+    The subset sum is over units: the lengths' common divisor, or as many times it as keeps the table within ``cells`` and
+    its steps within ``work``.  Lengths are rounded up to units, so no sum is above the budget; with units of the divisor
+    alone the sum is the largest there is, and otherwise each document may leave less than a unit.
     """
-    lengths, counts = np.asarray(lengths, np.int64), np.asarray(counts, np.int64)
+    usable = (lengths > 0) & (counts > 0) & (lengths <= budget)
+    if not usable.any():
+        return np.zeros(len(lengths), np.int64)
+    divisor = int(np.gcd.reduce(lengths[usable]))
+    most = np.minimum(counts[usable], budget // lengths[usable])
+    steps = sum(int(m).bit_length() for m in most)
+    whole = budget // divisor
+    unit = max(1, -(-whole // cells), -(-whole * steps // work))
+    return whole_fit(np.where(usable, -(-(lengths // divisor) // unit), 0), counts, whole // unit)
+
+
+def filled(lengths: np.ndarray, counts: np.ndarray, taken: np.ndarray, budget: int) -> np.ndarray:
+    """``taken`` with whatever documents still fit, the longest first: what is left is less than the shortest one not taken."""
+    left = budget - int((taken * lengths).sum())
+    for i in np.argsort(-lengths, kind="stable"):
+        if lengths[i] > 0:
+            more = min(int(counts[i] - taken[i]), left // int(lengths[i]))
+            taken[i] += more
+            left -= more * int(lengths[i])
+    return taken
+
+
+def fine_fit(lengths: np.ndarray, counts: np.ndarray, budget: int, dp_budget: int) -> np.ndarray:
+    """A proportional share, the longest lengths until ``dp_budget`` words are left, and the exact subset sum of these."""
     taken = np.zeros(len(lengths), np.int64)
     total = int((lengths * counts).sum())
     if budget <= 0 or total == 0:
@@ -77,7 +100,7 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, dp_budget:
             if more > 0:
                 taken[i] += more
                 left -= more * int(lengths[i])
-    left = min(left, dp_budget * 2)
+    left = min(left, dp_budget * 2)  # more is left only where no document is as short as this table; see fit_budget
     mask, reach, steps = (1 << (left + 1)) - 1, 1, []
     for i in np.argsort(lengths, kind="stable"):
         length = int(lengths[i])
@@ -96,11 +119,23 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, dp_budget:
         if not earlier >> at & 1:
             taken[i] += part
             at -= part * int(lengths[i])
-    if int((taken * lengths).sum()) < budget <= WHOLE_BUDGET:
-        whole = whole_fit(lengths, counts, budget)
-        if int((whole * lengths).sum()) > int((taken * lengths).sum()):
-            return whole
-    return taken
+    return filled(lengths, counts, taken, budget)
+
+
+def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, dp_budget: int = DP_BUDGET, cells: int = CELLS, work: int = WORK) -> np.ndarray:
+    """How many documents of each length to take so that their lengths sum to ``budget`` or just below.
+
+    A fine fit first (see ``fine_fit``), which meets the budget wherever some documents are short.  If it misses, as it can
+    with few long documents, the subset sum of all of it in units, and a fine fit of what that leaves; the better
+    of the two counts.  What stays open is less than the shortest document not taken, whatever the budget.
+    """
+    lengths, counts = np.asarray(lengths, np.int64), np.asarray(counts, np.int64)
+    taken = fine_fit(lengths, counts, budget, dp_budget)
+    if budget <= 0 or int((taken * lengths).sum()) == budget or (taken == counts)[lengths > 0].all():
+        return taken
+    coarse = coarse_fit(lengths, counts, budget, cells, work)
+    coarse = coarse + fine_fit(lengths, counts - coarse, budget - int((coarse * lengths).sum()), dp_budget)
+    return coarse if int((coarse * lengths).sum()) > int((taken * lengths).sum()) else taken
 
 
 def source_targets(sizes: DataFrame, weights=(1.0, 2.0, 3.0), max_repeats: float = 3.0) -> DataFrame:
@@ -143,7 +178,8 @@ def mix_sources(docs: DataFrame, weights=(1.0, 2.0, 3.0), max_repeats: int = 3,
 
 def mixed(docs: DataFrame, weights, max_repeats: int, seed: int) -> DataFrame:
     """The rows of ``mix_sources`` with their ``key`` (see ``row_key``)."""
-    seeded = F.xxhash64(F.lit(seed), F.col("doc_id"), F.coalesce("source", F.lit("")))
+    # Hash and order go by the row's key: rows without an id are spread as well, and only rows that are the same document tie.
+    seeded = F.xxhash64(F.lit(seed), row_key())
     base = cut(docs.select("doc_id", row_key().alias("key"), F.col("source").cast("string").alias("source"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"), seeded.alias("h")))
     lengths = base.groupBy("source", "size").agg(F.count("*").alias("n"))
     sizes = lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
@@ -168,7 +204,7 @@ def mixed(docs: DataFrame, weights, max_repeats: int, seed: int) -> DataFrame:
         rooms.join(wanted.select(F.col("source").alias("s2"), F.col("size").alias("z2"), "k"), same)
         .select(F.col("source").alias("s3"), F.col("size").alias("z3"), F.col("bucket").alias("b3"), F.greatest(F.lit(0), F.least("n", F.col("k") - F.col("before"))).alias("share"))
     )
-    ranked = base.withColumn("bucket", bucket).withColumn("rank", F.row_number().over(W.partitionBy("source", "size", "bucket").orderBy("h", "doc_id")))
+    ranked = base.withColumn("bucket", bucket).withColumn("rank", F.row_number().over(W.partitionBy("source", "size", "bucket").orderBy("h", "key")))
     chosen = ranked.join(shares, [F.col("source").eqNullSafe(F.col("s3")), F.col("size") == F.col("z3"), F.col("bucket") == F.col("b3")])
     chosen = chosen.select("doc_id", "key", "source", "size", (F.col("rank") <= F.col("share")).alias("extra"))
     targets = targets.withColumnRenamed("source", "s4")

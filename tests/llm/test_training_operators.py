@@ -1,6 +1,7 @@
 """The training-data operators: contracts, odd inputs, brute force and round trips on small fixtures."""
 
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -119,6 +120,46 @@ def test_few_long_documents_fit_exactly():
         assert (taken <= counts).all() and (taken >= 0).all() and int((taken * lengths).sum()) == max(s for s in sums if s <= budget)
 
 
+def test_budgets_of_any_size_are_met():
+    """Beyond the table's cells too: 34 million of 17, 17 and 21; thirty long documents; even lengths with an odd budget in bounded time."""
+    assert mixing.fit_budget(np.array([17_000_000, 21_000_000]), np.array([2, 1]), 34_000_000).tolist() == [2, 0]
+    draw = np.random.default_rng(4)
+    lengths = np.unique(draw.integers(5_400_000, 7_100_000, 30))
+    for budget in (33_000_000, 33_600_000, 90_000_000):
+        taken = mixing.fit_budget(lengths, np.ones(30, np.int64), budget)
+        assert 0 <= budget - int((taken * lengths).sum()) < 60_000
+    even = np.unique(draw.integers(30_000, 90_000, 200) * 2)
+    began = time.monotonic()
+    taken = mixing.fit_budget(even, np.full(len(even), 3), 16_000_001)
+    assert int((taken * even).sum()) == 16_000_000 and time.monotonic() - began < 10
+    assert mixing.fit_budget(np.array([10**12 - 1, 10**12]), np.array([1, 1]), 10**12).tolist() == [0, 1]
+
+
+@pytest.mark.parametrize("cells", [50, 1000, 1 << 25])
+def test_coarse_units_miss_less_than_the_shortest_document(cells):
+    for seed in range(40):
+        draw = np.random.default_rng(seed)
+        lengths, counts = np.unique(draw.integers(20_000, 90_000, 9), return_counts=True)
+        total = int((lengths * counts).sum())
+        budget = int(total * draw.uniform(0.05, 1.1))
+        taken = mixing.fit_budget(lengths, counts, budget, cells=cells)
+        left = budget - int((taken * lengths).sum())
+        assert (taken <= counts).all() and (taken >= 0).all() and left >= 0
+        assert left < lengths[taken < counts].min() if (taken < counts).any() else left == budget - total
+        if cells == 1 << 25:
+            sums = {0}
+            for length, count in zip(lengths.tolist(), counts.tolist(), strict=True):
+                sums = {s + length * k for s in sums for k in range(count + 1)}
+            assert budget - left == max(s for s in sums if s <= budget)
+
+
+def test_rows_without_ids_are_spread_and_told_apart(spark):
+    docs = documents(spark, [(None, f"w{i % 7} x y", "a") for i in range(50)] + [(None, f"w{i} x y z", "a") for i in range(30)] + [(1, "other words", "b")])
+    first, again = (sorted(map(tuple, mixing.mixed(d, (1.0, 2.0, 3.0), 3, 17).collect()), key=str) for d in (docs, docs.repartition(3)))
+    assert first == again
+    assert sorted(map(tuple, mixing.apply_mix(docs).select("text").collect())) == sorted(map(tuple, mixing.apply_mix(docs.repartition(5)).select("text").collect()))
+
+
 def test_targets_stop_at_three_times_the_size(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), (None, 0), ("c", 100)], "source string, source_size long")
     found = {r["source"]: r["target"] for r in mixing.source_targets(sizes).collect()}
