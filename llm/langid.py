@@ -1,7 +1,9 @@
 """Language identification by hierarchical discrimination.
 
 A first set of linear support vector machines tells language families apart; one-versus-one machines
-then separate the languages of the family.  Features are frequencies of hashed character n-grams inside
+then separate the languages of the family.  Languages of unknown families make families by the likeness of their
+texts if they are many, and many families are told each from the rest, so the number of machines grows with that of
+the languages and not with its square.  Features are frequencies of hashed character n-grams inside
 words, so a text's margin is the mean of those of its n-grams: each word is scored once and looked up
 from then on.
 """
@@ -9,6 +11,7 @@ from then on.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from itertools import combinations
 
 import numpy as np
@@ -17,9 +20,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import chunks, small_batches, split_of, table
-from .training import sample
+from .training import CLASS_BYTES, sample
 
-#: Families by language code; a code of no family here is a family of its own.
+#: Families by language code; a code of no family here is a family of its own, or of one with those most like it if there are many.
 FAMILIES = {
     "germanic": "af da de en fy is lb nb nl nn no sv yi",
     "romance": "ca es fr gl it la oc pt ro",
@@ -35,6 +38,10 @@ LETTERS = re.compile(r"[^\W\d_]+")
 BITS, ORDERS = 13, (1, 2, 3, 4)
 #: Rows that fit a model: this many of a language, and this many in all, but four of each language at least.
 PER_LANGUAGE, MOST_ROWS = 500, 4000
+#: Families up to which these are told apart pair by pair, and languages of a family made of unknown codes.
+MANY, RELATED = 10, 8
+#: Bytes of text that fit a model of many languages.
+ALL_BYTES = 512 << 20
 #: Margins that a worker keeps.
 KEPT = 1_200_000
 
@@ -96,6 +103,32 @@ def linear_svm(x: np.ndarray, y: np.ndarray, c: float = 100.0, steps: int = 120)
     return w, float(b)
 
 
+def rest_machines(x: np.ndarray, who: np.ndarray, options: list[str], c: float = 100.0, steps: int = 120) -> tuple[np.ndarray, np.ndarray]:
+    """``linear_svm`` of each option against all others, all in one descent."""
+    y = np.where(who[:, None] == np.array(options)[None, :], 1.0, -1.0).astype(np.float32)
+    weight = (np.where(y > 0, 0.5 / np.maximum(1, (y > 0).sum(0)), 0.5 / np.maximum(1, (y < 0).sum(0))) * c).astype(np.float32)
+    w, b = np.zeros((x.shape[1], len(options)), np.float32), np.zeros(len(options), np.float32)
+    vw, vb, t = w.copy(), b.copy(), 1.0
+    rate = np.float32(1.0 / (1.0 + c * (float(np.square(x).sum(1).max()) + 1)))
+    for _ in range(steps):
+        pull = 2 * weight * np.maximum(0, 1 - y * (x @ vw + vb)) * y
+        nw, nb = vw - rate * (vw - x.T @ pull), vb + rate * pull.sum(0)
+        nt = (1 + (1 + 4 * t * t) ** 0.5) / 2
+        vw, vb, w, b, t = nw + np.float32((t - 1) / nt) * (nw - w), nb + np.float32((t - 1) / nt) * (nb - b), nw, nb, nt
+    return w, b
+
+
+def likeness_groups(names: list[str], means: np.ndarray, most: int = RELATED) -> list[list[str]]:
+    """Names in groups of at most ``most``, halved again and again along the direction in which their means differ most."""
+    if len(names) <= most:
+        return [names]
+    centred = means - means.mean(0)
+    gram = centred @ centred.T
+    order = np.argsort(np.linalg.eigh(gram)[1][:, -1], kind="stable")
+    half = len(names) // 2
+    return [g for part in (order[:half], order[half:]) for g in likeness_groups([names[i] for i in part], means[part], most)]
+
+
 def fit(texts: list[str], langs: list[str], seed: int = 3) -> dict:
     """Family machines and one-versus-one machines within each family, as one weight matrix over n-grams."""
     draw = np.random.default_rng(seed)
@@ -113,13 +146,33 @@ def fit(texts: list[str], langs: list[str], seed: int = 3) -> dict:
     groups: dict[str, list[str]] = {}
     for name in names:
         groups.setdefault(family_of(name), []).append(name)
-    families = np.array([family_of(v) for v in y])
+    if len(groups) > MANY:
+        alone = sorted(name for family, own in groups.items() if family.startswith("own:") for name in own)
+        groups = {f: own for f, own in groups.items() if not f.startswith("own:")}
+        means = np.stack([x[y == name].mean(0) for name in alone])
+        groups |= {f"own:{own[0]}": sorted(own) for own in likeness_groups(alone, means)}
+    family = {name: f for f, own in groups.items() for name in own}
+    families = np.array([family[v] for v in y.tolist()])
+    at = {name: np.nonzero(y == name)[0] for name in names}
     duels, columns, biases = [], [], []
-    for level, who, options in [("family", families, sorted(groups)), *(("lang", y, g) for g in groups.values())]:
-        for a, b in combinations(options, 2):
-            rows = (who == a) | (who == b)
-            w, bias = linear_svm(x[rows], np.where(who[rows] == a, 1.0, -1.0))
-            duels.append((level, a, b))
+    if len(groups) > MANY:
+        options = sorted(groups)
+        rest, bias = rest_machines(x, families, options)
+        duels += [("family", a, None) for a in options]
+        columns += list((rest * scale[:, None]).astype(np.float32).T)
+        biases += bias.tolist()
+    else:
+        for a, b in combinations(sorted(groups), 2):
+            rows = (families == a) | (families == b)
+            w, bias = linear_svm(x[rows], np.where(families[rows] == a, 1.0, -1.0))
+            duels.append(("family", a, b))
+            columns.append((w * scale).astype(np.float32))
+            biases.append(bias)
+    for own in groups.values():
+        for a, b in combinations(own, 2):
+            rows = np.sort(np.concatenate([at[a], at[b]]))
+            w, bias = linear_svm(x[rows], np.where(y[rows] == a, 1.0, -1.0))
+            duels.append(("lang", a, b))
             columns.append((w * scale).astype(np.float32))
             biases.append(bias)
     weights = np.stack(columns, 1) if columns else np.zeros((1 << BITS, 0), np.float32)
@@ -158,12 +211,18 @@ def decide(model: dict, sums: np.ndarray) -> tuple[list[str], np.ndarray]:
     chance = 1 / (1 + np.exp(-np.clip(3 * margins, -30, 30)))
     groups = model["groups"]
 
-    def share(level: str, options: list[str]) -> np.ndarray:
-        out = np.zeros((len(sums), len(options)))
-        for k, (kind, a, b) in enumerate(model["duels"]):
-            if kind == level and a in options and b in options:
-                out[:, options.index(a)] += np.log(chance[:, k])
-                out[:, options.index(b)] += np.log1p(-chance[:, k] + 1e-13)
+    owner = {name: family for family, own in groups.items() for name in own}
+    duels = defaultdict(list)
+    for k, (level, a, b) in enumerate(model["duels"]):
+        duels[level if level == "family" else owner[a]].append((k, a, b))
+
+    def share(among: str, options: list[str], rows=slice(None)) -> np.ndarray:
+        own = chance[rows]
+        out, place = np.zeros((len(own), len(options))), {name: i for i, name in enumerate(options)}
+        for k, a, b in duels[among]:
+            out[:, place[a]] += np.log(own[:, k])
+            if b is not None:
+                out[:, place[b]] += np.log1p(-own[:, k] + 1e-13)
         out = np.exp(out - out.max(1, keepdims=True))
         return out / out.sum(1, keepdims=True)
 
@@ -176,7 +235,7 @@ def decide(model: dict, sums: np.ndarray) -> tuple[list[str], np.ndarray]:
         for f, family in enumerate(families):
             rows = np.nonzero((pick == f) & lettered)[0]
             if len(rows):
-                within = share("lang", groups[family])[rows]
+                within = share(family, groups[family], rows)
                 best = within.argmax(1)
                 names[rows] = np.array(groups[family], object)[best]
                 scores[rows] = by_family[rows, f] * within[np.arange(len(rows)), best]
@@ -187,7 +246,7 @@ def train(docs: DataFrame, condition, per_language: int = PER_LANGUAGE, most_row
     """A model of every value of ``lang`` among the rows that meet ``condition``, however many there are."""
     ids = docs.where(condition).select("doc_id", F.col("lang").cast("string").alias("y")).where("y IS NOT NULL")
     languages = ids.select("y").distinct().count()
-    rows, _ = sample(docs, ids, max(4, min(per_language, most_rows // max(1, languages))))
+    rows, _ = sample(docs, ids, max(4, min(per_language, most_rows // max(1, languages))), min(CLASS_BYTES, ALL_BYTES // max(1, languages)))
     return fit(rows["text"].tolist(), rows["y"].tolist())
 
 

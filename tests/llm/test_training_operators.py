@@ -691,6 +691,18 @@ def test_signs_are_no_letters(spark):
     assert [r["lang_pred"] for r in langid.identify(docs, model).orderBy("doc_id").collect()] == ["und", "und", "en"]
 
 
+def test_many_unknown_codes_make_families():
+    """The number of machines grows with that of the languages, and all languages are still told apart."""
+    draw = np.random.default_rng(0)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    words = [["".join(draw.choice(letters, 6)) for _ in range(30)] for _ in range(60)]
+    texts = [" ".join(draw.choice(own, 30)) for own in words for _ in range(6)]
+    model = langid.fit(texts, [f"q{k:02d}" for k in range(60) for _ in range(6)])
+    assert len(model["duels"]) <= 60 * langid.RELATED and max(map(len, model["groups"].values())) <= langid.RELATED
+    names, scores = langid.decide(model, langid.WordMargins(model).sums([" ".join(own) for own in words] + [None, "12"]))
+    assert names == [f"q{k:02d}" for k in range(60)] + ["und", "und"] and (scores[:60] > 0).all()
+
+
 def test_duels_within_the_family():
     """Family first, then one against one within it, as a plain count of products says."""
     model = langid.fit(["the house of the river", "das haus an dem fluss", "la casa del rio grande", "la maison de la riviere"] * 10, ["en", "de", "es", "fr"] * 10)
