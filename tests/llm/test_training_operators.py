@@ -362,6 +362,55 @@ def test_near_vectors(spark):
     assert embeddings.near_vectors(frame.where("vec_id < 0")).count() == 0
 
 
+def signed(sets):
+    """Signature to (set, flags) of a batch of sets."""
+    sizes = np.array([len(v) for v in sets])
+    found = nearset.set_signatures(np.concatenate([np.sort(v) for v in sets]), np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes, 80, 100)
+    held = {}
+    for key, who, flags in zip(*(x.tolist() for x in found), strict=True):
+        held.setdefault(key, set()).add((who, flags))
+    return held
+
+
+def in_one_segment(draw, n, size):
+    """Shingles that all fall into one segment of the band of sets of ``size``: too few filled segments to probe."""
+    limits = nearset.band_limits(size, 80, 100)
+    band = np.array([np.searchsorted(limits, size, side="right") - 1])
+    segments = nearset.scheme(limits, band, 80, 100)[0].astype(np.uint64)
+    values = np.unique(draw.integers(1, 1 << 63, 40 * n * int(segments[0]), dtype=np.uint64))
+    cell = (nearset.mix(values + band.astype(np.uint64) * nearset.GOLDEN) >> np.uint64(33)) * segments >> np.uint64(31)
+    return values[cell == 0][:n]
+
+
+@pytest.mark.parametrize("crowded", [False, True])
+@pytest.mark.parametrize("size", [1, 2, 4, 5, 8, 9, 12, 13, 20, 40, 75, 99, 101, 130, 260])
+def test_every_near_pair_shares_a_probed_signature(size, crowded):
+    draw = np.random.default_rng(size)
+    for turn in range(12 if size < 100 else 3):
+        pool = in_one_segment(draw, size + 40, size) if crowded else np.unique(draw.integers(1, 1 << 63, 2 * size + 80, dtype=np.uint64))
+        draw.shuffle(pool)
+        a = pool[:size]
+        gone = int(draw.integers(0, size // 5 + 1))
+        more = int(draw.integers(0, size // 4 + 1))
+        b = np.concatenate([a[gone:], pool[size : size + more]])
+        common = size - gone
+        if not len(b) or 100 * common < 80 * (size + len(b) - common):
+            continue
+        held = signed([a, b])
+        together = [v for v in held.values() if {w for w, _ in v} == {0, 1}]
+        smaller = {0, 1} if len(a) == len(b) else {int(len(b) < len(a))}
+        assert any(w in smaller and f & nearset.PROBE and any(o != w and g & nearset.INDEX for o, g in v) for v in together for w, f in v), (size, turn)
+
+
+@pytest.mark.parametrize("low, high", [(5, 12), (10, 39), (40, 100)])
+def test_unrelated_small_sets_stay_apart(low, high):
+    """No signature that many unrelated sets share, and no group that a rare set would chain."""
+    draw = np.random.default_rng(2)
+    held = signed([draw.integers(1, 1 << 63, draw.integers(low, high + 1), dtype=np.uint64) for _ in range(8000)])
+    probed = [v for v in held.values() if len({w for w, _ in v}) > 1 and any(f & nearset.PROBE for _, f in v)]
+    assert not probed
+
+
 def linked_counts(spark, x, exact=False):
     frame = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
     return {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_vectors(frame, exact=exact).collect()}
