@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import analytics, checks, detection, enrichment, feeds, learning, packages, scalars, store, streams, structure, supply  # noqa: F401  (they register their queries)
+from .plans import analytics, checks, community, detection, enrichment, feeds, learning, packages, scalars, store, streams, structure, supply  # noqa: F401  (they register their queries)
 from .registry import QUERIES, SQL
 
 

@@ -75,8 +75,9 @@ def maintenance(days_since: Column) -> Column:
 def popularity(downloads: Column, stars: Column, dependents: Column) -> Column:
     """Downloads on a log scale, stars and dependents up to their limits (F22); unknown ones count half."""
     d = F.least(F.lit(1.0), F.when(downloads > 0, F.log10(downloads + 1)).otherwise(0.0) / 6)
-    s = F.coalesce(F.least(F.lit(1.0), stars / 10000), F.lit(0.5))
-    p = F.coalesce(F.least(F.lit(1.0), dependents / 100), F.lit(0.5))
+    # The least of a number and null is the number, so unknown ones are asked for first.
+    s = F.when(stars.isNull(), 0.5).otherwise(F.least(F.lit(1.0), stars / 10000))
+    p = F.when(dependents.isNull(), 0.5).otherwise(F.least(F.lit(1.0), dependents / 100))
     return F.least(F.lit(1.0), 0.5 * d + 0.3 * s + 0.2 * p)
 
 

@@ -214,7 +214,7 @@ def maintenance_score(spark, d):
 
 
 @query("popularity_score", """
-SELECT s_suppkey, round(least(1.0, 0.5 * least(1.0, CASE WHEN dl > 0 THEN log10(dl + 1) ELSE 0 END / 6) + 0.3 * coalesce(least(1.0, stars / 10000), 0.5) + 0.2 * coalesce(least(1.0, deps / 100), 0.5))::DOUBLE, 6) AS popularity
+SELECT s_suppkey, round(least(1.0, 0.5 * least(1.0, CASE WHEN dl > 0 THEN log10(dl + 1) ELSE 0 END / 6) + 0.3 * CASE WHEN stars IS NULL THEN 0.5 ELSE least(1.0, stars / 10000) END + 0.2 * CASE WHEN deps IS NULL THEN 0.5 ELSE least(1.0, deps / 100) END)::DOUBLE, 6) AS popularity
 FROM (SELECT s_suppkey, floor(s_acctbal) * 10 AS dl, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE s_acctbal END AS stars, CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE s_nationkey * 5.0 END AS deps FROM supplier)""")
 def popularity_score(spark, d):
     stars, deps = F.when(F.col("s_suppkey") % 3 != 0, F.col("s_acctbal")), F.when(F.col("s_suppkey") % 4 != 0, F.col("s_nationkey") * 5.0)

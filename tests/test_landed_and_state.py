@@ -17,7 +17,7 @@ from pyspark.sql.datasource import EqualTo, GreaterThan, In
 from ferrule import settings
 from ferrule.operators import advisories, learn, relate, samples, validate, windows
 from ferrule.sinks import webhooks
-from ferrule.sources import archives, landed
+from ferrule.sources import archives, community, landed
 from ferrule.sources.files import commit_log
 from ferrule.streaming import processors
 
@@ -96,6 +96,29 @@ def test_commits_span_lines(spark, tmp_path):
     assert rows(found.distinct().select("sha", "author", "message", "additions", "deletions")) == [("abc", "Ann", "first\n\nsecond line", 10, 1), ("def", "Bob", "", 6, 2)]
 
 
+def test_package_documents(spark):
+    lines = [
+        {"name": "a", "readme": 7, "versions": {"1.0.0": {"description": "one"}, "2.0.0": {"description": "two", "repository": {"type": "git", "url": "git+https://github.com/o/r.git"}}}, "dist-tags": {"latest": "2.0.0"}},
+        {"name": "b", "readme": "hello", "versions": {"1.0.0": {"repository": "https://github.com/o/s"}, "0.9.0": {"description": "last listed"}}, "repository": "o/top"},
+        {"name": "c", "versions": {}}, {"name": "d"}, {"versions": {"1.0.0": {}}}, [1], "text",
+    ]
+    found = community.package_docs(spark.createDataFrame([(json.dumps(x),) for x in lines] + [("{broken",), (None,)], "value string"))
+    assert rows(found) == [("a", "7", "two", "https://github.com/o/r"), ("b", "hello", "last listed", "o/top")]
+
+
+def test_issues_downloads_and_stars(spark):
+    items = [{"title": "Security hole", "labels": [{"name": "Security"}, {}]}, {"body": "b", "state": "closed"}, {"title": "third"}]
+    lines = spark.createDataFrame([(json.dumps({"repository": "o/r", "issues": items}),), ("{",), (json.dumps({"repository": "o/none", "issues": []}),)], "value string")
+    assert [tuple(r) for r in community.issues(lines, most=2).orderBy("place").collect()] == [("o/r", 0, "Security hole", None, "open", ["Security", ""]), ("o/r", 1, "", "b", "closed", [])]
+    assert community.issue_evidence(community.issues(lines)).select("issues", "security_labels").collect()[0][:] == (3, 1)
+    docs = spark.createDataFrame([("p", "x", "y", "https://github.com/o/r"), ("q", "", "", None), ("z", "", "", "https://github.com/o/other")], "package string, readme string, description string, repository_url string")
+    number = lambda key, field, *pairs: community.number_of(spark.createDataFrame([(json.dumps({key: k, field: n}),) for k, n in pairs], "value string"), key, field)
+    found = community.community(docs, number("package", "downloads", ("p", 999_999), ("q", "many")), number("full_name", "stargazers_count", ("o/r", 5000), ("o/other", None)))
+    assert [(p, d, s, round(x, 6)) for p, _, d, s, x in rows(found)] == [("p", 999_999, 5000, 0.75), ("q", 0, None, 0.25), ("z", 0, None, 0.25)]
+    merged = community.package_evidence(docs, community.issue_evidence(community.issues(lines)))
+    assert {r["package"] for r in merged.collect()} == {"p", "q", "z"}
+
+
 # ---- archives ----
 
 def packed(*entries, link: bool = False) -> bytes:
