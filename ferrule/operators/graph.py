@@ -33,6 +33,11 @@ def highest_risk(risks: DataFrame) -> DataFrame:
     return risks.agg(F.max("risk").alias("risk"))
 
 
+def root_risks(risks: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, base, risk) of nodes without a parent."""
+    return risks.join(edges.select(F.col("child").alias("node")).distinct(), "node", "left_anti")
+
+
 def impacted(risks: DataFrame, threshold: float = 0.3) -> DataFrame:
     """Nodes at or above the threshold, highest first."""
     return risks.where(F.col("risk") >= threshold).orderBy(F.desc("risk"), "node")

@@ -40,6 +40,20 @@ def risk_propagation(spark, d):
     return found.select("node", F.round("base", 6).alias("base"), F.round("risk", 6).alias("risk"))
 
 
+@query("highest_risk", f"SELECT max(risk) AS risk FROM ({PROPAGATED})")
+def highest_risk(spark, d):
+    """The highest propagated risk of the whole graph."""
+    return graph.highest_risk(risk_propagation(spark, d))
+
+
+@query("root_risks", f"SELECT node, base, risk FROM ({PROPAGATED}) WHERE node LIKE 'r%'")
+def root_risks(spark, d):
+    """Risks of the roots alone."""
+    nodes, edges = tree(spark, d)
+    found = graph.root_risks(graph.propagate_risk(nodes, edges), edges)
+    return found.select("node", F.round("base", 6).alias("base"), F.round("risk", 6).alias("risk"))
+
+
 @query("impacted_nodes", f"SELECT node, risk FROM ({PROPAGATED}) WHERE risk >= 0.3")
 def impacted_nodes(spark, d):
     return graph.impacted(risk_propagation(spark, d)).select("node", "risk")
