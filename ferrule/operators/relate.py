@@ -13,8 +13,13 @@ from .risk import severity_rank
 
 
 def advisory_matches(deps: DataFrame, advisories: DataFrame) -> DataFrame:
-    """Dependencies (name, version) with the advisories (name, affected, ...) whose range holds the version (J3): an equi-join with the range as residual."""
-    return deps.join(advisories, "name").where(in_range(F.col("version"), F.col("affected")))
+    """Dependencies (name, version) with the advisories (name, affected, ...) whose range holds the version.
+
+    Each version of a name is tested once against each of its ranges; rows that repeat them are joined to what was found.
+    """
+    asked, offered = deps.select("name", "version").distinct(), advisories.select("name", "affected").distinct()
+    hits = asked.join(offered, "name").where(in_range(F.col("version"), F.col("affected")))
+    return deps.join(hits, ["name", "version"]).join(advisories, ["name", "affected"])
 
 
 def merge_advisories(existing: DataFrame, found: DataFrame) -> DataFrame:
@@ -22,27 +27,27 @@ def merge_advisories(existing: DataFrame, found: DataFrame) -> DataFrame:
 
     Findings whose vulnerability and package are known already are skipped.  The first dependency threat of
     the same package, if there is one, takes the highest severity among the rest and the highest confidence
-    of those that raised it; otherwise the findings are added, one for each vulnerability.
+    of those that raised it, in order; otherwise the findings are added, one for each vulnerability.  Null packages and
+    vulnerabilities equal nothing.  Both tables are dealt by package once, and all that follows are windows within it.
     """
-    rank = severity_rank(F.col("severity"))
-    fresh = found.join(existing.select("package", "vulnerability").distinct(), ["package", "vulnerability"], "left_anti")
-    once = W.partitionBy("package", "vulnerability").orderBy("ord")
-    fresh = fresh.withColumn("turn_", F.row_number().over(once)).where("turn_ = 1").drop("turn_")
-    dependency = F.col("type").isin("SUSPICIOUS_DEPENDENCY", "VULNERABLE_PACKAGE")
-    first = W.partitionBy("package").orderBy(F.when(dependency, 0).otherwise(1), "ord")
-    marked = existing.withColumn("target_", dependency & (F.row_number().over(first) == 1))
-    # Findings come in order; those that raise the severity so far also raise the confidence.
-    rises = fresh.groupBy("package").agg(F.array_sort(F.collect_list(F.struct("ord", rank.alias("r"), "severity", "confidence"))).alias("list_"))
-    start = F.struct(rank.alias("r"), F.col("severity").alias("severity"), F.col("confidence").alias("confidence"))
-    raised = F.aggregate(
-        "list_", start,
-        lambda acc, x: F.when(x["r"] > acc["r"], F.struct(x["r"].alias("r"), x["severity"].alias("severity"), F.greatest(acc["confidence"], x["confidence"]).alias("confidence"))).otherwise(acc),
-    )
-    joined = marked.join(rises, "package", "left").withColumn("new_", F.when(F.col("target_") & F.col("list_").isNotNull(), raised).otherwise(start))
-    kept = joined.select("package", "type", F.col("new_.severity").alias("severity"), F.col("new_.confidence").alias("confidence"), "vulnerability", "ord")
-    targets = marked.where("target_").select("package").distinct()
-    added = fresh.join(targets, "package", "left_anti").select(kept.columns)
-    return kept.unionByName(added)
+    columns = ["package", "type", "severity", "confidence", "vulnerability", "ord"]
+    both = existing.select(*columns, F.lit(False).alias("new_")).unionByName(found.select(*columns, F.lit(True).alias("new_"))).repartition("package")
+    pair = W.partitionBy("package", "vulnerability")
+    known = F.max(~F.col("new_")).over(pair) & F.col("package").isNotNull() & F.col("vulnerability").isNotNull()
+    first = F.row_number().over(W.partitionBy("package", "vulnerability", "new_").orderBy("ord")) == 1
+    kept = both.withColumn("fresh_", F.col("new_") & ~known & first).where("NOT new_ OR fresh_")
+    dependency = ~F.col("new_") & F.col("type").isin("SUSPICIOUS_DEPENDENCY", "VULNERABLE_PACKAGE") & F.col("package").isNotNull()
+    target = dependency & (F.row_number().over(W.partitionBy("package").orderBy(F.when(dependency, 0).otherwise(1), "ord")) == 1)
+    ranked = kept.withColumn("target_", target).withColumn("rank_", F.when(F.col("target_") | F.col("fresh_"), severity_rank(F.col("severity"))))
+    # The target comes first and findings after it in order; those above all before them raise the severity and the confidence.
+    before = W.partitionBy("package").orderBy(F.when(F.col("target_"), 0).when(F.col("fresh_"), 1).otherwise(2), "ord", "rank_", "severity", "confidence").rowsBetween(W.unboundedPreceding, -1)
+    raised = ranked.withColumn("counts_", F.col("target_") | (F.col("fresh_") & F.coalesce(F.col("rank_") > F.max("rank_").over(before), F.lit(False))))
+    whole = W.partitionBy("package")
+    top = F.max(F.when(F.col("counts_"), F.struct("rank_", "severity"))).over(whole)["severity"]
+    sure = F.max(F.when(F.col("counts_"), F.col("confidence"))).over(whole)
+    merged = raised.select("*", F.max("target_").over(whole).alias("has_target_"), top.alias("top_"), sure.alias("sure_")).where("NOT fresh_ OR NOT has_target_")
+    own = lambda name, new: F.when(F.col("target_"), F.col(new)).otherwise(F.col(name)).alias(name)
+    return merged.select("package", "type", own("severity", "top_"), own("confidence", "sure_"), "vulnerability", "ord")
 
 
 def first_by_order(rows: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
