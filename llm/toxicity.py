@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import langid
-from .common import chunks, small_batches, split_of, table, text_bytes
+from .common import chunks, small_batches, split_of, table, text_bytes, trim
 from .training import labelled, sample
 
 BITS, WIDTH, DIM, FILTERS, SIZES = 18, 1 << 18, 8, 12, (1, 2, 3)
@@ -252,9 +252,13 @@ class Scorer:
 def train(docs: DataFrame, labels: DataFrame, condition, label: str = "toxic", per_class: int = PER_CLASS, steps: int = STEPS) -> dict:
     """A model of the labels of rows that meet ``condition``; rows without a label of 0 or 1, or without an id, teach nothing."""
     extra = tuple(c for c in ("lang",) if c in docs.columns)
+    trim()  # an earlier model's training may have left memory that is free
     rows, _ = sample(docs, labelled(docs, labels, label, condition), per_class, extra=extra)
     langs = [x if isinstance(x, str) else None for x in rows["lang"]] if extra else None
-    return fit(rows["text"].tolist(), (rows["y"] == "1").to_numpy().astype(int), langs, steps=steps)
+    texts, toxic = rows["text"].tolist(), (rows["y"] == "1").to_numpy().astype(int)
+    del rows
+    trim()
+    return fit(texts, toxic, langs, steps=steps)
 
 
 def with_score(docs: DataFrame, model: dict, name: str = "score") -> DataFrame:
