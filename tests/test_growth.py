@@ -32,3 +32,55 @@ def test_merging_makes_no_match_of_all_pairs(spark, monkeypatch):
 
     monkeypatch.setattr(advisories, "feed_matches", refuse)
     assert catalog.queries()["feed_threats_merged"](spark, SMALL).count() > 0
+
+
+def test_schedules_touch_their_state_once_a_batch():
+    """However many changes a key has, and what comes due is what the changes one by one give."""
+    import pandas as pd
+
+    from ferrule.streaming.processors import Schedule
+
+    class Handle:
+        def __init__(self):
+            self.held, self.timers, self.calls = None, set(), 0
+
+        def getValueState(self, *a):  # noqa: N802
+            return self
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            return self.held
+
+        def update(self, value):
+            self.held, self.calls = value, self.calls + 1
+
+        def clear(self):
+            self.held, self.calls = None, self.calls + 1
+
+        def registerTimer(self, at):  # noqa: N802
+            self.timers.add(at)
+            self.calls += 1
+
+        def deleteTimer(self, at):  # noqa: N802
+            self.timers.discard(at)
+            self.calls += 1
+
+    draw, handle = random.Random(3), Handle()
+    schedule = Schedule()
+    schedule.init(handle)
+    wanted, held, first = [], None, 0
+    for _ in range(5):
+        changes = [(t, t, draw.choice([0, 7, 30, 90]), draw.random() < 0.6) for t in sorted(draw.sample(range(first, first + 3000), 300))]
+        first += 3000
+        found = [t for frame in schedule.handleInputRows(("a",), iter([pd.DataFrame(draw.sample(changes, 300), columns=["at_ms", "place", "every_ms", "enabled"])]), None) for t in frame["due"]]
+        wanted = []
+        for at, _, every, enabled in changes:
+            while held and held[0] < at:
+                wanted.append(held[0])
+                held = (held[0] + held[1], held[1])
+            held = (at + every, every) if enabled and every else None
+        assert found == wanted
+        assert handle.held == held and handle.timers == ({held[0]} if held else set())
+    assert handle.calls <= 5 * 4
