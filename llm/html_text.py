@@ -5,9 +5,9 @@ are sorted by host and URL path; each is aligned with the nearest page of its ho
 longest common subsequence, and shared lines are deleted as boilerplate.  Lines of containers that the
 markup itself calls menus, forms, adverts, comments and the like go in any case, as those that differ from
 page to page can't be told by differencing; an article inside a container with such a name only counts if
-the page has no other.  Lines inside an ``<article>`` (or ``<main>``, or an articleBody) stay, because
-neighbours that carry the same article share it too, unless half of the host's different articles repeat
-them: those are its notices.  For the same reason a page isn't compared with its near copies, pages that
+the page has no other.  Lines inside an ``<article>`` (or ``<main>``, or an articleBody) go by the same alignment, with the
+nearest pages whose article differs; as neighbours may share a byline or a passage too, only those of the shared lines
+go that half of the host's different articles repeat: its notices.  For the same reason a page isn't compared with its near copies, pages that
 share half of what it has beyond the lines that the most different page of its host shares.
 """
 
@@ -58,6 +58,8 @@ OPEN, INSIDE = 1, 2
 ARTICLES = 5
 #: Pages that one task of the alignment holds.
 CHUNK = 4096
+#: Pages of the runs before and after that it holds too: all the nearest places that a page is paired with.
+OVERLAP = 8
 
 
 def standing(tag: str, attributes: str, outer: int) -> int:
@@ -308,6 +310,25 @@ def deletions(page: dict, others: list[dict]) -> np.ndarray:
     return np.zeros(len(lines), bool)  # there are only copies
 
 
+def article_deletions(page: dict, others: list[dict], repeated: np.ndarray) -> np.ndarray:
+    """Which lines inside ``page``'s article go: those that it shares, in order, with the articles of ``others`` that are no near copies of its own, and that are ``repeated``.
+
+    An article of which half of what isn't repeated is in the other's is its near copy and no evidence.
+    """
+    lines, sizes, inside = page["lines"], page["sizes"].astype(np.int64), page["inside"]
+    gone, often = np.zeros(len(lines), bool), inside & np.isin(lines, repeated)
+    own = inside & ~often
+    places = np.flatnonzero(inside)
+    for other in others:
+        if (gone == often).all():
+            break
+        shared = np.zeros(len(lines), bool)
+        shared[places] = common_lines(lines[places].tolist(), other["lines"][other["inside"]].tolist())
+        if sizes[shared & own].sum() * 2 < sizes[own].sum():
+            gone |= shared & often
+    return gone
+
+
 def repeated_lines(pages: list[dict]) -> np.ndarray:
     """Lines that half of the different articles of one host's pages hold, none if these are fewer than ``ARTICLES``."""
     articles = {np.unique(p["lines"][p["inside"]]).tobytes() for p in pages if p["inside"].any()}
@@ -367,7 +388,7 @@ def shared_lines(signatures: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
     Pages with equal keys are one, at the least of their paths.
     Pages are numbered in the order of host, path and key, over all partitions, and dealt in runs of
-    ``chunk`` with one page of overlap at either end; a host of any size is spread over many tasks.
+    ``chunk`` with ``OVERLAP`` pages of overlap at either end; a host of any size is spread over many tasks.
     """
     order = ["host", "path", "row_key"]
     fields = ["path", "host", "lines", "sizes", "open"]
@@ -387,7 +408,7 @@ def shared_lines(signatures: DataFrame, chunk: int = CHUNK) -> DataFrame:
             at += batch.num_rows
 
     placed = ordered.mapInArrow(number, "row_key long, host string, path string, lines binary, sizes binary, open binary, place long")
-    runs = F.array_distinct(F.array(*[F.floor((F.col("place") + d) / F.lit(chunk)).cast("long") for d in (-1, 0, 1)]))
+    runs = F.array_distinct(F.array(*[F.floor((F.col("place") + d) / F.lit(chunk)).cast("long") for d in (-OVERLAP, 0, OVERLAP)]))
 
     def align(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("place", ignore_index=True)
@@ -401,14 +422,17 @@ def shared_lines(signatures: DataFrame, chunk: int = CHUNK) -> DataFrame:
                 continue
             turn = bisect_right(borders, i)
             inside = pages[i]["inside"]
-            if inside.any() and len(repeated[turn - 1]):
-                gone = inside & np.isin(pages[i]["lines"], repeated[turn - 1])
+            odd = len(repeated[turn - 1]) and np.isin(pages[i]["lines"][inside], repeated[turn - 1]).any()
+            if not odd and not pages[i]["open"].any():
+                continue
+            near = sorted(places_around(i, borders[turn - 1], borders[turn]), key=lambda k: (-nearness(r.path, paths[k]), abs(k - i), k))
+            if odd:
+                gone = article_deletions(pages[i], [pages[k] for k in near], repeated[turn - 1])
                 if gone.any() and (gone != inside).any():  # an article of nothing else stays
                     keys.append(r.row_key)
                     drops.append(gone.tobytes())
             if not pages[i]["open"].any():
                 continue
-            near = sorted(places_around(i, borders[turn - 1], borders[turn]), key=lambda k: (-nearness(r.path, paths[k]), abs(k - i), k))
             if near:
                 gone = deletions(pages[i], [pages[k] for k in near])
                 if gone.any():

@@ -84,3 +84,75 @@ def test_schedules_touch_their_state_once_a_batch():
         assert found == wanted
         assert handle.held == held and handle.timers == ({held[0]} if held else set())
     assert handle.calls <= 5 * 4
+
+
+def test_hooks_keys_are_padded_once_a_hook(spark):
+    """The join's own side has the padded keys, so no message pads one."""
+    plan = catalog.queries()["webhook_messages"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "rpad(" in plan and "rpad(" not in plan[: plan.index("Join")]
+
+
+def test_content_ids_turn_few_numbers(spark):
+    import base64
+    import hashlib
+
+    from ferrule.operators import report
+
+    texts = ["", "a", "é" * 50, *(f"text {i}" for i in range(200))]
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select("t", report.content_id(F.col("t")).alias("cid"))
+    wanted = lambda t: "b" + base64.b32encode(bytes.fromhex("01551220") + hashlib.sha256(t.encode()).digest()).decode().rstrip("=").lower()
+    assert {r["t"]: r["cid"] for r in found.collect()} == {t: wanted(t) for t in texts}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("conv(") <= 10 and "transform(" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_plugins_get_bounded_batches(spark):
+    """However many rows a partition has, a batch of texts holds a few megabytes."""
+    import pandas as pd
+
+    from ferrule.operators.plugins import run_plugin
+
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(bound, None)
+    spark.conf.unset(bound)
+    files = spark.range(0, 60, 1, 1).select(F.col("id").alias("file_id"), F.repeat(F.lit("x" * 1000), F.lit(500)).alias("content"))
+    try:
+        run_plugin(files, lambda content, file_id: [])
+        sizes = [r["n"] for r in files.mapInPandas(lambda parts: (pd.DataFrame({"n": [len(p)]}) for p in parts), "n long").collect()]
+    finally:
+        spark.conf.unset(bound) if before is None else spark.conf.set(bound, before)
+    assert sum(sizes) == 60 and max(sizes) <= 8
+
+
+def test_small_crowded_tables_go_through_passes(spark, monkeypatch):
+    import numpy as np
+
+    from llm import embeddings
+
+    def refuse(*a, **k):
+        raise AssertionError("all pairs were compared")
+
+    monkeypatch.setattr(embeddings, "all_links", refuse)
+    rng = np.random.default_rng(1)
+    x = np.sqrt(0.7) * np.eye(32)[0] + np.sqrt(0.3) * rng.normal(size=(1500, 32)) / np.sqrt(32)
+    frame = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    found = {r["vec_id"]: r["n_links"] for r in embeddings.near_vectors(frame).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (u @ u.T >= 0.9).sum(1) - 1
+    assert sum(found.values()) >= 0.99 * links.sum()
+
+
+def test_articles_lose_what_their_neighbours_share_in_order():
+    import numpy as np
+
+    from llm import html_text
+
+    def page(lines):
+        n = len(lines)
+        return {"lines": np.array(lines, "<u8"), "sizes": np.full(n, 10, "<u4"), "open": np.zeros(n, bool), "inside": np.ones(n, bool)}
+
+    repeated = np.array([1, 2], np.uint64)
+    own = page([1, 50, 51, 2])
+    assert html_text.article_deletions(own, [page([1, 60, 61])], repeated).tolist() == [True, False, False, False]
+    assert html_text.article_deletions(own, [page([1, 60]), page([70, 2])], repeated).tolist() == [True, False, False, True]
+    assert not html_text.article_deletions(own, [page([1, 50, 51, 2, 9])], repeated).any()  # a near copy is no evidence
+    assert not html_text.article_deletions(own, [page([60, 61])], repeated).any()  # nothing is shared, however often others repeat it
