@@ -5,7 +5,7 @@ vectors tend to stand close together.  Every vector is compared with its next ``
 double precision, and verified pairs are united over all passes.  Projections are taken from the vectors' common
 mean, which encoders' vectors have.  The number of passes grows with that of the vectors and with how crowded they
 stand, which a bounded sample tells, so that a pair at the threshold is met with a stated probability (see
-``passes_among``).  Where crowding asks for so many passes that comparing all pairs costs less, all pairs are compared.
+``passes_among``).  Tables of all sizes go through passes.
 Within each component, links are then counted exactly, tile against tile, so a component may be of any size.
 """
 
@@ -26,11 +26,14 @@ from .vector_blocks import all_links, links_of, unit_rows, valid_vectors
 WINDOW, BITS = 128, 62
 #: Probability that a pair at the threshold is met in some pass.
 RECALL = 0.995
+#: The same where vectors stand crowded: there the sample's average tells less of the single pair.
+CROWDED_RECALL = 0.9999
 #: Passes of one job, and members of a tile.
 AT_ONCE, TILE = 8, 2048
 #: Vectors that tell the mean and the crowding of all.
 SAMPLE = 1000
-#: Vectors that all can be compared with for what one pass costs, and passes beyond which a table is compared as a whole.
+#: Passes beyond which the rest of crowded pairs would be lost by any number that can be run, so that all pairs are compared instead.
+#: ``PASS_COST`` (vectors that all can be compared with for what a pass costs) once chose all pairs for smaller tables and decides nothing now.
 PASS_COST, MOST = 5000, 20_000
 
 
@@ -81,21 +84,23 @@ def passes_among(x: np.ndarray, vectors: int, threshold: float, window: int = WI
 
 
 def crowding(vectors: DataFrame, threshold: float, window: int) -> tuple[dict[int, np.ndarray], int, bool]:
-    """By length of vector the mean of unit vectors, from a sample of ``SAMPLE`` in hashed order; the passes that the vectors ask for; whether all pairs cost less.
+    """By length of vector the mean of unit vectors, from a sample of ``SAMPLE`` in hashed order; the passes that the vectors ask for; whether no number of passes would do.
 
-    All pairs are an answer to crowding only: vectors that are evenly spread go through passes at any number.
+    What the sample asks for counts only if evenly spread vectors would ask for less than half of it.
     """
     counts = {r["dim"]: r["count"] for r in vectors.groupBy("dim").count().collect()}
     rows = vectors.select("dim", "vec").orderBy(F.xxhash64(F.lit(5), "vec"), "vec").limit(SAMPLE).collect()
-    means, even = {}, max((passes_for(n, threshold, window) for n in counts.values()), default=1)
-    passes = even
+    means, passes = {}, max((passes_for(n, threshold, window) for n in counts.values()), default=1)
     for dim in counts:
         own = [r["vec"] for r in rows if r["dim"] == dim]
         if len(own) > 1:
             x = unit_rows(own)
             means[dim] = x.mean(axis=0)
-            passes = max(passes, passes_among(x, counts[dim], threshold, window))
-    return means, passes, passes >= MOST or (passes > 2 * even and sum(counts.values()) <= passes * PASS_COST)
+            asked = passes_among(x, counts[dim], threshold, window)
+            if asked > 2 * passes_for(counts[dim], threshold, window):
+                asked = passes_among(x, counts[dim], threshold, window, CROWDED_RECALL)
+            passes = max(passes, asked)
+    return means, passes, passes >= MOST
 
 
 def projection_keys(vectors: DataFrame, passes: range, seed: int, means: dict[int, np.ndarray] | None = None) -> DataFrame:
