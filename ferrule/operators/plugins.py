@@ -8,13 +8,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import small_batches
+
 THREAT = "file_id long, type string, severity string, confidence double"
 
 
 def run_plugin(files: DataFrame, detect: Callable[[str, int], list[dict]], messages: bool = False) -> DataFrame:
     """A plugin (content, file_id) -> threats over (file_id, content) (X3); a file on which it fails gives an error row.
 
-    With ``messages`` there is a column ``message``: the plugin's own, or what went wrong.
+    With ``messages`` there is a column ``message``: the plugin's own, or what went wrong.  Files reach Python in batches of
+    bounded bytes, however many rows a partition has.
     """
 
     columns = ["file_id", "type", "severity", "confidence"] + (["message"] if messages else [])
@@ -29,7 +32,7 @@ def run_plugin(files: DataFrame, detect: Callable[[str, int], list[dict]], messa
                     rows.append((file_id, "ANALYSIS_ERROR", "LOW", 0.0, f"{type(error).__name__}: {error}"))
             yield pd.DataFrame(rows, columns=["file_id", "type", "severity", "confidence", "message"])[columns]
 
-    return files.select("file_id", "content").mapInPandas(step, THREAT + (", message string" if messages else ""))
+    return small_batches(files).select("file_id", "content").mapInPandas(step, THREAT + (", message string" if messages else ""))
 
 
 def model_column(model: Callable[[pd.DataFrame], pd.Series], columns: list[str]):

@@ -28,6 +28,16 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
 
 
+#: Bytes of the record batches that texts reach Python in.
+BATCH = "2m"
+
+
+def small_batches(rows: DataFrame) -> DataFrame:
+    """``rows``, with the session told to hand Python record batches of few bytes; without it a task holds 64 MB of texts or more at once."""
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+    return rows
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where driver and executors are one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
