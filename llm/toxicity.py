@@ -203,6 +203,10 @@ def calibrate(z: np.ndarray, y: np.ndarray, lang: np.ndarray, languages: int) ->
     return out
 
 
+def held_logits(model: dict, texts: list[str], rows: np.ndarray, known: WordCodes) -> np.ndarray:
+    return np.concatenate([logits(model, *codes_of([texts[i].encode() for i in own], known)) for own in np.array_split(rows, max(1, len(rows) // 200))])
+
+
 def fit(texts: list[str], y: np.ndarray, langs: list[str | None] | None = None, seed: int = 1, steps: int = STEPS) -> dict:
     """A network on four fifths of the rows gives thresholds on the rest; one on all rows, trained alike, then scores with them.
 
@@ -211,25 +215,36 @@ def fit(texts: list[str], y: np.ndarray, langs: list[str | None] | None = None,
     y = np.asarray(y, np.int64)
     if len(set(y.tolist())) < 2:
         return {"constant": float(y.mean()) if len(y) else 0.0}
-    raw, known = [t.encode() for t in texts], WordCodes()
-    coded = [codes_of(raw[i : i + 200], known) for i in range(0, len(raw), 200)]
+    by_language: dict[str, list[int]] = {}
+    for i, name in enumerate(langs or []):
+        if name is not None:
+            by_language.setdefault(name, []).append(i)
+    some = [i for name in sorted(by_language) for i in by_language[name][:PER_LANGUAGE]]
+    asked = {"languages": sorted(by_language), "language_model": langid.fit([texts[i] for i in some], [langs[i] for i in some]) if some else None}
+    known = WordCodes()
+    coded = [codes_of([t.encode() for t in texts[i : i + 200]], known) for i in range(0, len(texts), 200)]
     codes, counts = (np.concatenate(x) for x in zip(*coded, strict=True))
+    del coded
     codes = without_rare(codes, counts)
     fold = np.random.default_rng(seed).permutation(len(y)) % 5 == 0
     if y[fold].sum() < 5:
         fold[:] = False
-    model = fit_network(codes, counts, y, seed, steps)
-    part = fit_network(codes[np.repeat(~fold, counts)], counts[~fold], y[~fold], seed, steps) if fold.any() else model
-    by_language: dict[str, list[int]] = {}
-    for i, name in enumerate(langs or []):
-        if name is not None:
-            by_language.setdefault(name, []).append(i)
-    model["languages"] = sorted(by_language)
-    some = [i for name in model["languages"] for i in by_language[name][:PER_LANGUAGE]]
-    model["language_model"] = langid.fit([texts[i] for i in some], [langs[i] for i in some]) if some else None
+    # What gives the thresholds is done with before the network on all rows is fitted, so the two never take memory together.
     rows = np.flatnonzero(fold if fold.any() else ~fold)
-    z = np.concatenate([logits(part, *codes_of([raw[i] for i in some], known)) for some in np.array_split(rows, max(1, len(rows) // 200))])
-    lang = languages_of(model, [raw[i] for i in rows], langid.WordMargins(model["language_model"]) if some else None)
+    trim()
+    if fold.any():
+        part = fit_network(codes[np.repeat(~fold, counts)], counts[~fold], y[~fold], seed, steps)
+        z = held_logits(part, texts, rows, known)
+        del part
+        trim()
+    model = fit_network(codes, counts, y, seed, steps)
+    if not fold.any():
+        z = held_logits(model, texts, rows, known)
+    del codes, known
+    trim()
+    model |= asked
+    words = langid.WordMargins(model["language_model"]) if some else None
+    lang = np.concatenate([languages_of(model, [texts[i].encode() for i in own], words) for own in np.array_split(rows, max(1, len(rows) // 200))])
     model["calibration"] = calibrate(z, y[rows], lang, len(model["languages"]))
     return model
 
