@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -73,20 +74,69 @@ def cache_steps(held: dict, events: list[tuple], ttl: float, size: int) -> list[
     return out
 
 
-def cache_hits(reads: DataFrame, cache: str, key: str, ts: str, order: str, ttl_s: float = 300.0, size: int = 1000) -> DataFrame:
-    """(cache, order, hit) of every read of a stream; state per cache is at most ``size`` keys (R2).  Nulls are a key of their own."""
-    kind = reads.schema[cache].dataType.simpleString()
+def cache_hits(reads: DataFrame, cache: str, key: str, ts: str, order: str, ttl_s: float = 300.0, size: int = 1000, held: DataFrame | None = None) -> DataFrame:
+    """(cache, order, hit, keys, entered): every read of a batch, found or not, and for each cache a row without ``hit`` of what it holds then (R2).
 
-    def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = dict(zip(*state.get, strict=True)) if state.exists else {}
-        rows = pd.concat(list(parts)).sort_values([ts, order])
-        times = (rows[ts].astype("datetime64[us]").astype("int64") / 1e6).tolist()
-        hits = cache_steps(held, list(zip(times, rows["key_"].tolist(), strict=True)), ttl_s, size)
-        state.update((list(held), list(held.values())))
-        yield pd.DataFrame({cache: [k[0]] * len(rows), order: rows[order].to_numpy(), "hit": hits})
+    ``held`` has such rows of what caches held before.  Nulls are a key of their own.  Spark sorts a cache's reads by time and
+    a task follows them batch by batch, so it holds ``size`` keys however many reads there are.
+    """
+    kind, place = reads.schema[cache].dataType.simpleString(), reads.schema[order].dataType.simpleString()
+    named = reads.select(
+        F.col(cache).alias("cache_"), F.lit(1).alias("read_"), (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("at_"), F.col(order).alias("order_"),
+        F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")).alias("key_"), F.lit(None).cast("array<string>").alias("keys"), F.lit(None).cast("array<double>").alias("entered"),
+    )
+    if held is not None:
+        named = named.unionByName(held.select(F.col(cache).alias("cache_"), F.lit(0).alias("read_"), "keys", "entered"), allowMissingColumns=True)
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, state, began = None, {}, False
+
+        def row(caches: list, orders: list, hits: list, keys: list, entered: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(caches, own_type), pa.array(orders, order_type), pa.array(hits, pa.bool_()), pa.array(keys, pa.list_(pa.string())), pa.array(entered, pa.list_(pa.float64()))], names=[cache, order, "hit", "keys", "entered"])
+
+        for batch in batches:
+            own_type, order_type = batch.schema.field("cache_").type, batch.schema.field("order_").type
+            columns = {n: batch.column(n).to_pylist() for n in ("cache_", "read_", "at_", "order_", "key_")}
+            at = 0
+            while at < batch.num_rows:
+                name, stop = columns["cache_"][at], at
+                while stop < batch.num_rows and columns["cache_"][stop] == name:
+                    stop += 1
+                if began and name != own:
+                    yield row([own], [None], [None], [list(state)], [list(state.values())])
+                if not began or name != own:
+                    own, state, began = name, {}, True
+                if not columns["read_"][at]:
+                    state = dict(zip(batch.column("keys")[at].as_py(), batch.column("entered")[at].as_py(), strict=True))
+                    at += 1
+                n = stop - at
+                hits = cache_steps(state, list(zip(columns["at_"][at:stop], columns["key_"][at:stop], strict=True)), ttl_s, size)
+                yield row([name] * n, columns["order_"][at:stop], hits, [None] * n, [None] * n)
+                at = stop
+        if began:
+            yield row([own], [None], [None], [list(state)], [list(state.values())])
+
+    sorted_reads = named.repartition("cache_").sortWithinPartitions("cache_", "read_", "at_", "order_")
+    return sorted_reads.mapInArrow(step, f"{cache} {kind}, {order} {place}, hit boolean, keys array<string>, entered array<double>")
+
+
+def replay(stream: DataFrame, out: str, cache: str, key: str, ts: str, order: str, ttl_s: float = 300.0, size: int = 1000):
+    """Starts a stream whose every batch is followed by ``cache_hits`` and written to ``out`` under its number, with what the caches hold after it.
+
+    A batch begins from the latest state of each cache before it and replaces what an earlier attempt at it wrote, so one
+    that is repeated after a failure neither doubles a read nor counts it as seen.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
+    schema = f"{cache} {kinds[cache]}, {order} {kinds[order]}, hit boolean, keys array<string>, entered array<double>, batch long"
+
+    def step(rows: DataFrame, batch: int) -> None:
+        held = None
+        if batch:
+            states = rows.sparkSession.read.schema(schema).parquet(f"{out}/data").where(F.col("keys").isNotNull() & (F.col("batch") < batch))
+            held = states.groupBy(cache).agg(F.max_by(F.struct("keys", "entered"), "batch").alias("s_")).select(cache, "s_.keys", "s_.entered")
+        cache_hits(rows, cache, key, ts, order, ttl_s, size, held).write.mode("overwrite").parquet(f"{out}/data/batch={batch}")
 
-    named = reads.select(cache, F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")).alias("key_"), ts, order)
-    return named.groupBy(cache).applyInPandasWithState(step, f"{cache} {kind}, {order} long, hit boolean", "keys array<string>, entered array<double>", "append", GroupStateTimeout.NoTimeout)
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{out}/check").trigger(availableNow=True).start(), schema
 
 
 def daily_counts(events: DataFrame, ts: str, kind: str, late: str = "1 day") -> DataFrame:

@@ -156,3 +156,41 @@ def test_articles_lose_what_their_neighbours_share_in_order():
     assert html_text.article_deletions(own, [page([1, 60]), page([70, 2])], repeated).tolist() == [True, False, False, True]
     assert not html_text.article_deletions(own, [page([1, 50, 51, 2, 9])], repeated).any()  # a near copy is no evidence
     assert not html_text.article_deletions(own, [page([60, 61])], repeated).any()  # nothing is shared, however often others repeat it
+
+
+def test_caches_over_batches_without_a_whole_group(spark, tmp_path):
+    """Batches end within a cache's reads; no Python call sees all reads of a cache, and a repeated batch changes nothing."""
+    import pandas as pd
+
+    from ferrule.streaming import state
+
+    draw = random.Random(6)
+    source, out, kind = str(tmp_path / "in"), str(tmp_path / "out"), "c string, k long, ts timestamp, n long"
+    reads = [(draw.choice(["a", "b", None]), draw.choice([None, *range(8)]), i, i) for i in range(400)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        for part in (reads[:150], reads[150:160], reads[160:]):
+            spark.createDataFrame(draw.sample(part, len(part)), "c string, k long, s long, n long").select("c", "k", F.timestamp_seconds("s").alias("ts"), "n").write.mode("append").parquet(source)
+            for _ in range(2):
+                q, schema = state.replay(spark.readStream.schema(kind).parquet(source), out, "c", "k", "ts", "n", 60.0, 4)
+                q.awaitTermination()
+        commits = sorted((tmp_path / "out" / "check" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+        (commits[-1].parent / f".{commits[-1].name}.crc").unlink(missing_ok=True)
+        commits[-1].unlink()  # the last batch ran, but the stream never learned of it
+        q, schema = state.replay(spark.readStream.schema(kind).parquet(source), out, "c", "k", "ts", "n", 60.0, 4)
+        q.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    found = {r["n"]: r["hit"] for r in spark.read.schema(schema).parquet(f"{out}/data").where("hit IS NOT NULL").collect()}
+    wanted = {}
+    for c in ("a", "b", None):
+        own = [(float(s), k, n) for o, k, s, n in reads if o == c]
+        wanted.update(zip([n for *_, n in own], state.cache_steps({}, [(t, k) for t, k, _ in own], 60.0, 4), strict=True))
+    assert found == wanted and pd.Series(list(found.values())).nunique() == 2
+
+
+def test_scripts_are_spread_over_the_cores(spark):
+    from ferrule.plans.detection import script_files
+
+    assert script_files(spark, SMALL).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
