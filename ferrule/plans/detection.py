@@ -50,7 +50,7 @@ def script_files(spark, d):
 
     number = F.col("p_partkey") % 10
     head = F.coalesce(*[F.when(number == i, F.lit(x)) for i, x in enumerate(RISKY)])
-    return table(spark, d, "part").select(F.col("p_partkey").alias("file_id"), F.concat(head, F.lit("\n"), "p_name", F.lit("\nmail "), "p_brand", F.lit("@host.example")).alias("content"))
+    return spread(table(spark, d, "part")).select(F.col("p_partkey").alias("file_id"), F.concat(head, F.lit("\n"), "p_name", F.lit("\nmail "), "p_brand", F.lit("@host.example")).alias("content"))
 
 
 @query("rule_hits", hits_sql(f"(SELECT * FROM {SCRIPTS} UNION ALL SELECT * FROM {PAGES})", fixed.RULES))
