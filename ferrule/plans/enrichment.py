@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..functions import versions as V
 from ..operators import enrich, relate, validate
 from ..registry import query, table
+from ..session import parts_for
 from . import sqltext as S
 from .detection import rounded
 
@@ -130,12 +131,13 @@ SELECT e.package, e.type, coalesce(CASE WHEN e.ord = t.ord THEN u.severity END,
 FROM e LEFT JOIN t ON t.package = e.package LEFT JOIN u ON u.package = e.package
 UNION ALL SELECT package, type, severity, confidence, vulnerability, ord FROM f ANTI JOIN t USING (package)""")
 def advisory_merge(spark, d):
-    rows = table(spark, d, "lineitem").select(
+    lines = table(spark, d, "lineitem")
+    rows = lines.select(
         F.col("l_partkey").alias("package"), F.when(F.col("l_linenumber") % 2 == 0, "SUSPICIOUS_DEPENDENCY").otherwise("MALICIOUS_CODE").alias("type"), F.expr(S.SEVERITY).alias("severity"),
         F.round(1 - F.col("l_discount"), 2).alias("confidence"), F.concat(F.lit("V"), (F.col("l_suppkey") % 20).cast("string")).alias("vulnerability"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), "l_returnflag",
     )
-    return relate.merge_advisories(rows.where("l_returnflag = 'R'").drop("l_returnflag"), rows.where("l_returnflag <> 'R'").drop("l_returnflag"))
+    return relate.merge_advisories(rows.where("l_returnflag = 'R'").drop("l_returnflag"), rows.where("l_returnflag <> 'R'").drop("l_returnflag"), parts_for(lines))
 
 
 @query("registry_first_created", "SELECT o_custkey, arg_min(created, pos) AS created, min(pos)::BIGINT AS pos FROM (SELECT o_custkey, o_orderdate AS created, o_orderkey AS pos FROM orders WHERE o_orderstatus <> 'P') GROUP BY o_custkey")

@@ -194,3 +194,36 @@ def test_scripts_are_spread_over_the_cores(spark):
     from ferrule.plans.detection import script_files
 
     assert script_files(spark, SMALL).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_merging_sorts_twice_whatever_the_rows(spark):
+    """Each sort of a window holds a task's rows at once."""
+    from ferrule.operators import relate
+
+    kind = "package string, type string, severity string, confidence double, vulnerability string, ord long"
+    draw = random.Random(9)
+    some = lambda n, at: [(draw.choice([None, "p", "q", "r", "s"]), draw.choice(["SUSPICIOUS_DEPENDENCY", "MALICIOUS_CODE"]), draw.choice(["LOW", "MEDIUM", "HIGH"]), draw.random(), draw.choice([None, *"abcdefgh"]), at + i) for i in range(n)]
+    known, found = some(12, 0), some(40, 100)
+    merged = relate.merge_advisories(spark.createDataFrame(known, kind), spark.createDataFrame(found, kind), 3)
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 2, plan
+    rank = ["LOW", "MEDIUM", "HIGH"].index
+    pairs = {(p, v) for p, *_, v, _ in known if p is not None and v is not None}
+    fresh, seen = [], set()
+    for row in found:
+        if (row[0], row[4]) not in pairs | seen:
+            seen.add((row[0], row[4]))
+            fresh.append(row)
+    wanted = []
+    for row in known:
+        firsts = [r for r in known if r[0] == row[0] is not None and r[1] == "SUSPICIOUS_DEPENDENCY"]
+        if firsts and firsts[0] is row:
+            severity, confidence = row[2], row[3]
+            for other in (r for r in fresh if r[0] == row[0]):
+                if rank(other[2]) > rank(severity):
+                    severity, confidence = other[2], max(confidence, other[3])
+            row = (*row[:2], severity, confidence, *row[4:])
+        wanted.append(row)
+    targets = {r[0] for r in known if r[1] == "SUSPICIOUS_DEPENDENCY" and r[0] is not None}
+    wanted += [r for r in fresh if r[0] not in targets]
+    assert rows(merged) == sorted(wanted, key=str)
