@@ -16,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BUCKET_BYTES, WordHashes, hashed_words, mix, partitions, per_process, table, text_bytes
+from .common import BUCKET_BYTES, mix, partitions, table
 
 ORDER, LEAST, FACTOR = 3, 2, 0.4
 BATCH_BYTES = 8 << 20
+#: The bits of an n-gram's hash that are known besides its bucket.
+REST = (1 << 40) - 1
 ASK = "bucket int, batch int, n int, rest binary, counts binary"
 ANSWER = "batch int, bucket int, n int, counts binary, tokens long"
 
@@ -56,28 +58,85 @@ def ngrams(h: np.ndarray, counts: np.ndarray, order: int) -> tuple[list[np.ndarr
     return grams, inside
 
 
-def distinct(grams: np.ndarray, mask: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct n-grams as sorted (bucket, rest) keys: keys' buckets, rests, counts, and for each masked position its key."""
-    bucket, rest = grams[mask] % np.uint64(buckets), grams[mask] // np.uint64(buckets) & np.uint64((1 << 40) - 1)
-    keys, at, counts = np.unique(bucket << np.uint64(40) | rest, return_inverse=True, return_counts=True)
-    return (keys >> np.uint64(40)).astype(np.int64), keys & np.uint64((1 << 40) - 1), counts, at
+def keys_of(grams: np.ndarray, buckets: int) -> np.ndarray:
+    """N-grams as keys that sort by bucket, then by the 40 bits known of the rest."""
+    return grams % np.uint64(buckets) << np.uint64(40) | grams // np.uint64(buckets) & np.uint64(REST)
+
+
+def bucket_edges(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket's stretch of sorted keys begins, and the end."""
+    return np.searchsorted(keys, np.arange(buckets, dtype=np.uint64) << np.uint64(40)).tolist() + [len(keys)]
+
+
+#: Bytes inside words, bytes of words in lower case, and masks that keep the first bytes of eight.
+INSIDE = np.ones(256, bool)
+INSIDE[[9, 10, 11, 12, 13, 32]] = False
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Bytes of text whose words are hashed at a time: few enough to stay in the processor's cache.
+STRETCH = 1 << 18
+
+
+def stretch_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes and counts of texts that lie one after the other in ``data``, between ``bounds``.
+
+    Words are read eight bytes at a time, all words at once, each step mixed into what came before; words of one length up
+    to eight never share a hash.
+    """
+    word = INSIDE[data]
+    begins, ends = word.copy(), word.copy()
+    begins[1:] &= ~word[:-1]
+    ends[:-1] &= ~word[1:]
+    edge = bounds[bounds < len(data)]
+    begins[edge] = word[edge]
+    edge = bounds[bounds > 0] - 1
+    ends[edge] = word[edge]
+    start = np.flatnonzero(begins)
+    size = np.flatnonzero(ends) + 1 - start
+    padded = np.concatenate([LOWER[data], np.zeros(8, np.uint8)])
+    eights = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+    h = mix(size.astype(np.uint64))
+    own, at = np.arange(len(start)), 0
+    while len(own):
+        part = eights[start[own] + at] & FIRST_BYTES[np.minimum(size[own] - at, 8)]
+        h[own] = mix(h[own] * np.uint64(0x9E3779B97F4A7C15) ^ part)
+        at += 8
+        own = own[size[own] > at]
+    return h, np.diff(np.searchsorted(start, bounds))
 
 
 def batch_words(docs: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes and counts of a batch's texts, in the order of its rows."""
-    return hashed_words(text_bytes(docs.column("text")), per_process("word hashes", WordHashes))
+    hashes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for column in docs.column("text").chunks:
+        texts = column.cast(pa.large_binary()).fill_null(b"")
+        bounds = np.frombuffer(texts.buffers()[1], "<i8", len(texts) + 1, 8 * texts.offset)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+        i = 0
+        while i < len(texts):
+            j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + STRETCH, side="right")) - 1)
+            h, n = stretch_words(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
+            hashes.append(h)
+            counts.append(n)
+            i = j
+    return np.concatenate(hashes), np.concatenate(counts)
 
 
 def asks(batch: int, n: int, grams: np.ndarray, mask: np.ndarray, buckets: int) -> list[tuple]:
     if not mask.any():
         return []
-    bucket, rest, counts, _ = distinct(grams, mask, buckets)
-    edges = np.searchsorted(bucket, np.arange(buckets + 1))
+    keys, counts = np.unique(keys_of(grams[mask], buckets), return_counts=True)
+    edges = bucket_edges(keys, buckets)
+    rest = keys & np.uint64(REST)
     return [(b, batch, n, pack_rests(rest[i:j]), pack_counts(counts[i:j])) for b, (i, j) in enumerate(zip(edges, edges[1:], strict=False)) if j > i]
 
 
-def answered(answers: pa.Table, grams: list[np.ndarray], inside: list[np.ndarray], buckets: int, least: int, order: int) -> tuple[list[np.ndarray], int]:
-    """Corpus counts at each position of the orders answered so far, 0 below the least count, and the corpus's number of words."""
+def answered(answers: pa.Table, grams: list[np.ndarray], inside: list[np.ndarray], buckets: int, least: int, order: int, first: int = 1) -> tuple[list[np.ndarray], int]:
+    """Corpus counts at each position of the orders answered so far, 0 below the least count, and the corpus's number of words.
+
+    Orders below ``first``, at most 2, are passed over; they tell nothing about which longer ones were asked for.
+    """
     rows: dict[int, dict[int, bytes]] = {}
     words: dict[int, int] = {}
     for r in answers.select(["bucket", "n", "counts", "tokens"]).to_pylist():
@@ -86,12 +145,15 @@ def answered(answers: pa.Table, grams: list[np.ndarray], inside: list[np.ndarray
             words[r["bucket"]] = r["tokens"]
     found: list[np.ndarray] = []
     for n in range(1, order + 1):
+        if n < first:
+            found.append(np.zeros(0, np.int64))
+            continue
         mask = inside[n - 1] if n <= 2 else inside[n - 1] & parts_frequent(found, n)
         value = np.zeros(len(mask), np.int64)
         if mask.any():
-            bucket, _, _, at = distinct(grams[n - 1], mask, buckets)
-            edges = np.searchsorted(bucket, np.arange(buckets + 1))
-            total = np.concatenate([unpack_counts(rows[n][b], int(j - i)) for b, (i, j) in enumerate(zip(edges, edges[1:], strict=False)) if j > i])
+            keys, at = np.unique(keys_of(grams[n - 1][mask], buckets), return_inverse=True)
+            edges = bucket_edges(keys, buckets)
+            total = np.concatenate([unpack_counts(rows[n][b], j - i) for b, (i, j) in enumerate(zip(edges, edges[1:], strict=False)) if j > i])
             value[mask] = total[at]
             if n > 1:
                 value[value < least] = 0
@@ -153,7 +215,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, least: int = LEAST, fac
             if not part.num_rows:
                 return asked([])
             grams, inside = ngrams(*batch_words(part), n)
-            found, _ = answered(answers, grams, inside, buckets, least, n - 1)
+            found, _ = answered(answers, grams, inside, buckets, least, n - 1, 2)
             return asked(asks(part.column("batch")[0].as_py(), n, grams[n - 1], inside[n - 1] & parts_frequent(found, n), buckets))
 
         return run
