@@ -227,3 +227,16 @@ def test_merging_sorts_twice_whatever_the_rows(spark):
     targets = {r[0] for r in known if r[1] == "SUSPICIOUS_DEPENDENCY" and r[0] is not None}
     wanted += [r for r in fresh if r[0] not in targets]
     assert rows(merged) == sorted(wanted, key=str)
+
+
+def test_matches_of_one_package_are_spread(spark):
+    """The advisories' splits don't say how many tasks make the matches, and each is still there with its nulls and repeats."""
+    draw = random.Random(6)
+    version = lambda: draw.choice([None, *(f"{a}.{b}.0" for a in (1, 2, 3) for b in range(4))])
+    asked = spark.createDataFrame([(i % 150, draw.choice([None, "p", "p", "q"]), version()) for i in range(200)], "ord long, name string, version string")
+    ranges = lambda: draw.choice([None, [], ["<=1.3.0", "2.0.0 - 2.2.0"], [">=1.2.0 <3.0.0"], [">=3.4.0", None]])
+    feeds = spark.createDataFrame([(draw.choice(["snyk", "npm", None]), draw.choice([None, "p", "p", "s"]), f"V{i % 25}", ranges()) for i in range(60)], "provider string, package string, vulnerability string, ranges array<string>").coalesce(1)
+    every = asked.join(feeds, F.col("name") == F.col("package")).where(advisories.in_ranges(F.col("version"), F.col("provider"), F.col("ranges"))).drop("package")
+    found = advisories.feed_matches(asked, feeds)
+    assert found.columns == every.columns and rows(found) == rows(every)
+    assert found.select(F.spark_partition_id().alias("p")).distinct().count() > 2
