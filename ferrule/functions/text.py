@@ -115,8 +115,10 @@ def contains_any(text: str | Column, words: list[str]) -> Column:
 
 
 def imports_any(text: str | Column, libraries: list[str]) -> Column:
+    """Whether a text imports one of the libraries; their names are looked for only behind the words that import any."""
     forms = [f'from "{{}}"', "from '{}'", "require('{}')", 'require("{}")']
-    return contains_any(text, [form.format(lib) for lib in libraries for form in forms])
+    begun = contains_any(text, [form.split("{")[0] for form in forms])
+    return begun & contains_any(text, [form.format(lib) for lib in libraries for form in forms])
 
 
 #: Code points and counters that one step of the entropy handles at a time.

@@ -18,14 +18,19 @@ def session(app: str = "ferrule", master: str | None = None, **settings: str) ->
     return builder.getOrCreate()
 
 
+#: Texts that one task scans, about: a page takes all rules and classifiers a few milliseconds.
+TASK_TEXTS = 2_000
+
+
 def spread(rows: DataFrame) -> DataFrame:
-    """``rows`` over at least as many partitions as there are cores.
+    """``rows`` over at least as many partitions as there are cores, and of about ``TASK_TEXTS`` rows at most.
 
-    Scanning texts takes far more time than reading them, and a file of one row group is one task.  An input with
-    enough splits, as any large one has, is left as it is.
+    Scanning texts takes far more time than reading them; a file of one row group is one task, into however many splits
+    it is cut, and a longer one would be a longer task.  Rows are counted, so hand it a table as it is read, whose files
+    tell their number.  An input that has as many partitions is left as it is.
     """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+    wanted = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // TASK_TEXTS))
+    return rows if rows.rdd.getNumPartitions() >= wanted else rows.repartition(wanted)
 
 
 #: Rows that one task sorts, about.

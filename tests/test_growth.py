@@ -240,3 +240,22 @@ def test_matches_of_one_package_are_spread(spark):
     found = advisories.feed_matches(asked, feeds)
     assert found.columns == every.columns and rows(found) == rows(every)
     assert found.select(F.spark_partition_id().alias("p")).distinct().count() > 2
+
+
+def test_a_task_scans_a_bounded_number_of_texts(spark, tmp_path, monkeypatch):
+    """One row group is one task, into however many splits its file is cut."""
+    from ferrule import session
+
+    monkeypatch.setattr(session, "TASK_TEXTS", 50)
+    spark.range(1000).select("id", F.sha2(F.col("id").cast("string"), 512).alias("text")).coalesce(1).write.parquet(str(tmp_path / "t"))
+    spread = session.spread(spark.read.parquet(str(tmp_path / "t")))
+    sizes = [r["count"] for r in spread.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(sizes) == 1000 and len(sizes) >= 20 and max(sizes) <= 55
+
+
+def test_imports_are_looked_for_behind_their_words(spark):
+    from ferrule.functions.text import imports_any
+
+    texts = ['import a from "three"', "import a from 'three'", "require('three')", 'require("three")', "from three", "require(three)", 'from "two"', 'from "two"; "three"', "", None]
+    found = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", imports_any("t", ["three", "regl"]).alias("hit"))
+    assert [r.hit for r in found.orderBy("i").collect()] == [True] * 4 + [False] * 6
