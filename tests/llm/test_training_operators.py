@@ -320,6 +320,36 @@ def test_near_sets_of_odd_rows(odd, empty):
     assert kept.columns[:5] == odd.columns[:5] and sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "3", "4", "6", "None"]
 
 
+@pytest.mark.parametrize("counted", [1 << 25, 4000])
+def test_a_passage_does_not_make_all_its_texts_one_group(spark, monkeypatch, counted):
+    """Different texts chained by a passage go no further than their shingles' order; their near copies are compared and found."""
+    monkeypatch.setattr(nearset, "TILE", 20)
+    monkeypatch.setattr(nearset, "COUNTED", counted, raising=False)
+    compared, real = [], nearset.tile_pairs
+    monkeypatch.setattr(nearset, "tile_pairs", lambda *a: compared.append(real(*a).count()) or real(*a))
+    draw = np.random.default_rng(16)
+    passage = [f"p{k}" for k in range(40)]
+    texts = [[f"u{k}" for k in draw.integers(0, 10**7, 40)] + passage for _ in range(300)]
+    texts += [[*t[:-1], "edit"] for t in texts[:20]] + [[*t[:1], "other", *t[2:]] for t in texts[:10]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in nearset.near_sets(documents(spark, [(i, t, "s") for i, t in rows])).collect()}
+    assert found == brute_components(rows)
+    assert 50 <= compared[0] < 400
+
+
+def test_similar_sets_share_a_rarest_shingle():
+    draw = np.random.default_rng(17)
+    names = np.sort(draw.integers(0, 400, 60).astype(np.uint64))
+    names = np.unique(names)
+    times = draw.integers(3, 9, len(names)).astype(np.int32)
+    for _ in range(400):
+        union = draw.choice(400, draw.integers(1, 60), replace=False).astype(np.uint64)
+        lost = draw.permutation(union)[: len(union) // 5]
+        a, b = (np.sort(np.setdiff1d(union, x)) for x in np.split(lost, [draw.integers(0, len(lost) + 1)]))
+        shingle, who = nearset.rarest(np.concatenate([a, b]), np.array([len(a), len(b)]), names, times, 80, 100)
+        assert set(shingle[who == 0].tolist()) & set(shingle[who == 1].tolist())
+
+
 def test_null_ids_and_a_common_passage(spark, monkeypatch):
     """A thousand rows without an id in pairs, a passage that many texts share, one row many times."""
     monkeypatch.setattr(nearset, "TILE", 200)
