@@ -6,9 +6,10 @@ for as long as a worker remembers it.  Tokens of the two sides whose bytes overl
 its connected components, found by union-find over the units at hand, are exactly the minimal groups of tokens that
 end at the same byte, and every component's members expand into its links.
 
-Each stretch of texts is written once as a row: its documents as units with counts, its units as pairs, its pairs with
-counts.  Pairs are counted over all stretches; the counts go back to the stretches by pair, where they are added up by
-document.  Neither texts nor links are shuffled.
+Each stretch of texts is written once as a row of two packed blocks: its documents as units with counts and its units as
+pairs, and its pairs with counts.  Pairs are counted over all stretches; the counts go back to the stretches as plain
+rows, sorted by Spark, and are added up by document in Python, one stretch at a time, so no task of Spark's holds the
+answers of several.  Neither texts nor links are shuffled.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import least_labels, per_process, shared_folder, small_batches, table, trim
+from .common import cut, least_labels, per_process, release, small_batches, sweep, table, trim
 
 #: Characters of text in a stretch, and units that a worker remembers.
 STRETCH, REMEMBERED = 4 << 20, 100_000
@@ -223,16 +224,32 @@ def aligned_groups(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     return per_stretch(docs, a_path, b_path, make, "doc_id long, groups string")
 
 
-STRETCH_KIND = (
-    "stretch string, doc_id array<long>, numbers array<long>, marks array<string>, doc_units array<int>, unit array<int>, times array<int>, "
-    "unit_pairs array<int>, unit_pair array<int>, pair array<long>, links array<long>"
-)
+#: Rows of pairs handed to Spark at a time.
+PAIR_ROWS = 1 << 15
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    """Integer arrays as one compressed block."""
+    sink = pa.BufferOutputStream()
+    batch = [pa.array(a.astype(np.int32) if len(a) == 0 or (a.min() >= -(1 << 31) and a.max() < 1 << 31) else a) for a in arrays]
+    longest = max(map(len, batch))
+    columns = [pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a) for a in batch] if longest else [pa.array([[]], pa.list_(pa.int32())) for _ in batch]
+    record = pa.RecordBatch.from_arrays(columns, names=[str(i) for i in range(len(batch))])
+    with pa.ipc.new_stream(sink, record.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(record)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(block: bytes) -> list[np.ndarray]:
+    record = pa.ipc.open_stream(block).read_next_batch()
+    return [c.flatten().to_numpy().astype(np.int64) for c in record.columns]
 
 
 def stretches(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """A row a stretch: documents with their numbers and hashes, their distinct units with counts, units' pairs, and pairs with counts.
+    """(stretch, doc_id, marks, units, pairs): a row a stretch, documents with their hashes and two packed blocks.
 
-    ``doc_units`` and ``unit_pairs`` say how many entries of the arrays after them belong to each document and unit.
+    ``units`` has the documents' four numbers, how many distinct units each has, those units and how often it has them, how
+    many links each unit has and which pair each link is; ``pairs`` has the distinct pairs and how many links hold them.
     """
 
     def listed(values, kind) -> pa.Array:
@@ -252,13 +269,28 @@ def stretches(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         pair, of_unit = np.unique(aligner.links_of(own), return_inverse=True)
         used = np.bincount(unit, times, minlength=len(own)).astype(np.int64)
         links = np.bincount(of_unit, np.repeat(used, counts[:, 3]), minlength=len(pair)).astype(np.int64)
-        return pa.RecordBatch.from_arrays([
-            pa.array([uuid.uuid4().hex]), listed(ids, pa.int64()), listed(numbers.ravel(), pa.int64()), listed(marks, pa.string()),
-            listed(np.bincount(doc, minlength=len(found)), pa.int32()), listed(unit, pa.int32()), listed(times, pa.int32()),
-            listed(counts[:, 3], pa.int32()), listed(of_unit, pa.int32()), listed(pair, pa.int64()), listed(links, pa.int64()),
-        ], names=[c.split()[0] for c in STRETCH_KIND.split(", ")])
+        units = packed(numbers.ravel(), np.bincount(doc, minlength=len(found)), unit, times, counts[:, 3], of_unit)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([uuid.uuid4().int >> 65], pa.int64()), listed(ids, pa.int64()), listed(marks, pa.string()), pa.array([units], pa.binary()), pa.array([packed(pair, links)], pa.binary())],
+            names=["stretch", "doc_id", "marks", "units", "pairs"],
+        )
 
-    return per_stretch(docs, a_path, b_path, make, STRETCH_KIND)
+    return per_stretch(docs, a_path, b_path, make, "stretch long, doc_id array<long>, marks array<string>, units binary, pairs binary")
+
+
+def pair_rows(written: DataFrame) -> DataFrame:
+    """(stretch, at, pair, links) of every pair of every stretch."""
+
+    def run(batches):
+        release()
+        for batch in batches:
+            for name, block in zip(batch.column("stretch").to_pylist(), batch.column("pairs"), strict=True):
+                pair, links = unpacked(block.as_py())
+                for at in range(0, len(pair), PAIR_ROWS):
+                    some = pair[at : at + PAIR_ROWS]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), name)), pa.array(np.arange(at, at + len(some), dtype=np.int32)), pa.array(some), pa.array(links[at : at + PAIR_ROWS])], names=["stretch", "at", "pair", "links"])
+
+    return written.select("stretch", "pairs").mapInArrow(run, "stretch long, at int, pair long, links long")
 
 
 def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -270,41 +302,33 @@ def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     out each, rows with a null id too.  Further columns aren't read; no rows give no rows.  The stretches are written
     to the shared folder, so that a text is encoded once and a stretch keeps its name.
     """
-    spark = docs.sparkSession
-    folder = f"{shared_folder(spark)}/alignment-{uuid.uuid4().hex}"
-    stretches(docs, a_path, b_path).write.parquet(folder)
-    written = spark.read.parquet(folder)
-    counted = written.select(F.explode(F.arrays_zip("pair", "links")).alias("p")).groupBy(F.col("p.pair").alias("pair")).agg(F.sum("p.links").alias("n"))
-    counted = counted.withColumn("b", F.col("pair").bitwiseAND(0xFFFFFFFF))
+    written = cut(stretches(docs, a_path, b_path))
+    pairs = pair_rows(written)
+    counted = pairs.groupBy("pair").agg(F.sum("links").alias("n")).withColumn("b", F.col("pair").bitwiseAND(0xFFFFFFFF))
     best = counted.groupBy(F.col("b").alias("of_b")).agg(F.max("n").alias("most"))
-    weights = counted.join(best, F.col("b") == F.col("of_b")).select(F.col("pair").alias("same"), "n", (F.col("n") == F.col("most")).alias("best"))
-    asked = written.select("stretch", F.posexplode("pair").alias("at", "pair"))
-    answers = asked.join(weights, F.col("pair") == F.col("same")).groupBy(F.col("stretch").alias("of")).agg(F.collect_list(F.struct("at", "n", "best")).alias("answers"))
-    joined = written.drop("pair", "links").join(answers, F.col("stretch") == F.col("of"), "left").drop("stretch", "of")
+    weights = cut(counted.join(best, F.col("b") == F.col("of_b")).select(F.col("pair").alias("same"), "n", (F.col("n") == F.col("most")).alias("best")))
+    sweep(docs.sparkSession)
+    answers = pairs.select("stretch", "at", "pair").join(weights, F.col("pair") == F.col("same")).select("stretch", "at", "n", "best")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, marks = (left.column(c).combine_chunks().flatten() for c in ("doc_id", "marks"))
+        numbers, doc_units, unit, times, unit_pairs, unit_pair = unpacked(left.column("units")[0].as_py())
+        weight = np.zeros((max(1, right.num_rows), 2), np.int64)
+        at = right.column("at").to_numpy()
+        weight[at, 0], weight[at, 1] = right.column("best").cast(pa.int64()).to_numpy(), right.column("n").to_numpy()
+        per_unit = np.zeros((len(unit_pairs), 2), np.int64)
+        np.add.at(per_unit, np.repeat(np.arange(len(unit_pairs)), unit_pairs), weight[unit_pair])
+        numbers = numbers.reshape(-1, 4)
+        per_doc = np.zeros((len(numbers), 2), np.int64)
+        np.add.at(per_doc, np.repeat(np.arange(len(numbers)), doc_units), per_unit[unit] * times[:, None])
+        trim()
+        return pa.Table.from_arrays(
+            [ids, *(pa.array(numbers[:, j]) for j in range(4)), pa.array(per_doc[:, 0]), pa.array(per_doc[:, 1]), marks],
+            names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
+        )
 
-    def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                flat = lambda name, row=row: row.column(name).flatten()
-                whole = lambda name, flat=flat: flat(name).to_numpy(zero_copy_only=False)
-                numbers = whole("numbers").reshape(-1, 4)
-                weight = np.zeros((max(1, len(flat("answers"))), 2), np.int64)
-                if len(flat("answers")):
-                    at, n, best = flat("answers").flatten()
-                    weight[at.to_numpy()] = np.stack([best.cast(pa.int64()).to_numpy(), n.to_numpy()], axis=1)
-                per_pair = weight[whole("unit_pair")]
-                holder = np.repeat(np.arange(len(whole("unit_pairs"))), whole("unit_pairs"))
-                per_unit = np.zeros((len(whole("unit_pairs")), 2), np.int64)
-                np.add.at(per_unit, holder, per_pair)
-                per_doc = np.zeros((len(numbers), 2), np.int64)
-                np.add.at(per_doc, np.repeat(np.arange(len(numbers)), whole("doc_units")), per_unit[whole("unit")] * whole("times")[:, None])
-                yield pa.RecordBatch.from_arrays(
-                    [flat("doc_id"), *(pa.array(numbers[:, j]) for j in range(4)), pa.array(per_doc[:, 0]), pa.array(per_doc[:, 1]), flat("marks")],
-                    names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
-                )
-
-    return joined.mapInArrow(run, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
+    joined = written.select("stretch", "doc_id", "marks", "units").groupBy("stretch").cogroup(answers.groupBy("stretch"))
+    return joined.applyInArrow(run, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
 
 
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

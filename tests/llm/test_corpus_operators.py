@@ -240,6 +240,19 @@ def test_groups_are_those_of_common_ends(spark, plain_alignment):
     assert found == {i: ";".join(plain_alignment.one(t)[2]) for i, t in rows}
 
 
+def test_answers_of_stretches_are_sorted_and_not_gathered(spark):
+    """No task of Spark's holds the answers of several stretches as objects, however many stretches come to a partition."""
+    found = alignment.align(documents(spark, [(1, "some words"), (2, None)]), A_PATH, B_PATH)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "FlatMapCoGroupsInArrow" in plan
+
+
+@pytest.mark.parametrize("arrays", [[[], []], [[1, 2], []], [[-5, 7 << 40], [3]], [list(range(70000)), [0], []]])
+def test_blocks_come_back(arrays):
+    found = alignment.unpacked(alignment.packed(*(np.array(a, np.int64) for a in arrays)))
+    assert [f.tolist() for f in found] == arrays
+
+
 def test_alignment_of_an_empty_table(spark):
     assert alignment.align(documents(spark, []), A_PATH, B_PATH).collect() == []
 
