@@ -337,6 +337,19 @@ def test_a_passage_does_not_make_all_its_texts_one_group(spark, monkeypatch, cou
     assert 50 <= compared[0] < 400
 
 
+def test_pipeline_stage_keeps_one_of_texts_with_a_passage(spark, monkeypatch):
+    monkeypatch.setattr(nearset, "TILE", 20)
+    compared, real = [], nearset.tile_pairs
+    monkeypatch.setattr(nearset, "tile_pairs", lambda *a: compared.append(real(*a).count()) or real(*a))
+    draw = np.random.default_rng(18)
+    passage = [f"p{k}" for k in range(40)]
+    texts = [[f"u{k}" for k in draw.integers(0, 10**7, 40)] + passage for _ in range(200)]
+    texts += [[*t[:-1], "edit"] for t in texts[:10]]
+    kept = nearset.keep_one(documents(spark, [(i, " ".join(t), "s") for i, t in enumerate(texts)]))
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(200))
+    assert 20 <= compared[0] < 200
+
+
 def test_similar_sets_share_a_rarest_shingle():
     draw = np.random.default_rng(17)
     names = np.sort(draw.integers(0, 400, 60).astype(np.uint64))
